@@ -20,8 +20,10 @@ from .common import Scratch, words_of
 #: One regular-expression class each; a last class holds all other characters.
 CHAR_CLASSES = (r"\p{Ll}", r"\p{Lu}", "0-9", r"\x20\x09-\x0D", r".,;:!?'\x22()\-", "#*$%&|<>", r"\x21-\x7E")
 SYMBOLS = "#*$%&|<>"
+#: Bits that hold a window's place beside its hash.
+_PLACE_BITS = 20
 MIN_WORDS = 50
-COMMON_WORDS = 24
+COMMON_WORDS = 16
 #: Beyond these distances a document is rejected.
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.32
@@ -31,30 +33,36 @@ MIN_WORDS_FOR_COMMON = 100
 BROADCAST_LANGUAGES = 10_000
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in ``words``.
+def window_hashes(words: Column) -> Column:
+    """64-bit hashes of the 3-word windows, in order; none for under 3 words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    places = F.when(F.size(words) >= 3, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array(hashes), lambda hs: F.transform(places, lambda i: F.xxhash64(hs[i], hs[i + 1], hs[i + 2])))[0]
 
-    Windows that repeat are found by sorting (window, place) pairs; each
-    adds what it covers beyond the one before it.
+
+def repeated_words(hashes: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more, from the windows' ``hashes``.
+
+    A text with as many different hashes as windows repeats none. In the
+    others, sorting numbers made of 44 bits of a hash and the place finds the
+    places that may repeat; sorted (whole hash, place) pairs of these find
+    those that do. Each adds what it covers beyond the one before it. (Two
+    windows of a text of 100,000 words share 64 bits by chance once in 10**9.)
     """
-    places = F.sequence(F.lit(0), F.size(words) - 3)
-    window = lambda i: F.concat_ws(" ", *[words[i + k] for k in range(3)])
-    windows = F.transform(places, window)
-
-    def covered(pairs: Column) -> Column:
-        same = lambda k: (k >= 0) & (k < F.size(pairs) - 1) & (F.get(pairs, k)["w"] == F.get(pairs, k + 1)["w"])
-        hits = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda k: same(k) | same(k - 1))
-        return F.aggregate(
-            F.sort_array(F.transform(hits, lambda k: F.get(pairs, k)["i"])),
-            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
-            lambda acc: acc["n"],
-        )
-
-    # Applied through a one-element array, so that the sorted pairs are made once.
-    pairs = F.sort_array(F.transform(places, lambda i: F.struct(window(i).alias("w"), i.alias("i"))))
-    counted = F.transform(F.array(pairs), covered)[0]
-    return F.when(F.size(words) < 4, 0).when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(counted).cast("long")
+    low = F.lit((1 << _PLACE_BITS) - 1).cast("long")
+    marked = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    beside = lambda xs, f: F.flatten(F.filter(F.zip_with(xs, F.slice(xs, 2, F.size(xs)), f), lambda x: x.isNotNull()))
+    likely = F.transform(F.array(marked), lambda xs: F.array_distinct(beside(xs, lambda a, b: F.when(F.shiftright(a.bitwiseXOR(b), _PLACE_BITS) == 0, F.array(a.bitwiseAND(low), b.bitwiseAND(low))))))[0]
+    likely = F.when(F.size(hashes) < (1 << _PLACE_BITS), likely.cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(hashes) - 1))
+    pairs = F.sort_array(F.transform(likely, lambda i: F.struct(hashes[i].alias("h"), i.alias("i"))))
+    hits = F.transform(F.array(pairs), lambda ps: beside(ps, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))))[0]
+    counted = F.aggregate(
+        F.sort_array(hits),
+        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+        lambda acc: acc["n"],
+    )
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(counted).cast("long")
 
 
 def class_counts(text: Column) -> list[Column]:
@@ -71,8 +79,9 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """doc_id, lang, ``_carry``, the words and the counts that need no reference."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # The words and lines are columns of their own step: each is made once.
+    # Words, lines and hashes are columns of their own steps: each is made once.
     base = docs.select("doc_id", "lang", text.alias("_text"), words_of(F.col("text")).alias("_words"), lines.alias("_lines"), F.struct(*(carry or ["doc_id"])).alias("_carry"))
+    base = base.select("*", window_hashes(F.col("_words")).alias("_hashes"))
     return base.select(
         "doc_id",
         "lang",
@@ -83,7 +92,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
+        repeated_words(F.col("_hashes")).alias("n_repeat_words"),
     )
 
 
@@ -106,9 +115,10 @@ def language_references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFram
     shares = listed.join(sums, listed["lang"].eqNullSafe(sums["lang"])).select(
         listed["lang"],
         F.col("top.word").alias("ref_words"),
+        F.array_max(F.transform("top.word", lambda w: F.char_length(w))).alias("ref_chars"),
         F.concat(F.transform("top.n", lambda n: n / F.col("total")), F.array((F.col("total") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)) / F.col("total"))).alias("ref_word_p"),
     )
-    return chars.join(shares, chars["lang"].eqNullSafe(shares["lang"]), "left").select(chars["lang"].alias("ref_lang"), "ref_char_p", "ref_words", "ref_word_p")
+    return chars.join(shares, chars["lang"].eqNullSafe(shares["lang"]), "left").select(chars["lang"].alias("ref_lang"), "ref_char_p", "ref_words", "ref_chars", "ref_word_p")
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -141,7 +151,9 @@ def quality_rules(
         refs = F.broadcast(refs)
     rows = measured(docs, carry or [])
     rows = rows.join(refs, rows["lang"].eqNullSafe(refs["ref_lang"]), "left")
-    found = F.transform("_words", lambda w: F.coalesce(F.array_position(F.col("ref_words"), F.lower(w)).cast("int"), F.lit(0)))
+    # Most words are longer than any common one.
+    place = lambda w: F.when(F.char_length(w) <= F.col("ref_chars"), F.coalesce(F.array_position(F.col("ref_words"), F.lower(w)).cast("int"), F.lit(0))).otherwise(0)
+    found = F.transform("_words", place)
     rows = rows.select("*", found.alias("_found"), F.array(*class_counts(F.col("_text"))).alias("_chars"))
     of = [F.size("_found") - F.size(F.array_remove("_found", k)) for k in [*range(1, COMMON_WORDS + 1)]]
     n = F.col("n_words")
