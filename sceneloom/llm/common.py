@@ -62,19 +62,34 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, keys: list[str], scratch: Scratch, name: str, index: str) -> DataFrame:
-    """``df`` with ``index``: the row's place, from 0, in the order of ``keys`` (nulls first).
+def _ranged(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` in the order of ``keys`` (nulls first): ``__part``, then ``__row`` in it.
 
-    Sampled splitters range-partition the rows, each partition sorts its own,
-    and the partitions' row counts give each one's first number, so no task
-    sees more than its share. Rows equal in all keys take neighbouring
-    numbers in any order.
+    Sampled splitters range-partition the rows and each partition sorts its
+    own, so no task sees more than its share. The table is written, so that
+    the places stay as they are. Rows equal in all keys may swap places.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    placed = scratch.keep(ranged.withColumns({"__part": F.shiftright(row, 33).cast("int"), "__row": row.bitwiseAND(F.lit((1 << 33) - 1))}), name)
-    # One row for each partition: bounded by their number, whatever the input.
+    return scratch.keep(ranged.withColumns({"__part": F.shiftright(row, 33).cast("int"), "__row": row.bitwiseAND(F.lit((1 << 33) - 1))}), name)
+
+
+def _starts(placed: DataFrame, weight: Column) -> DataFrame:
+    """The sum of ``weight`` before each partition. One row for each: bounded by their number, whatever the input."""
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return placed.join(F.broadcast(starts), "__part").withColumn(index, F.col("__start") + F.col("__row")).drop("__part", "__row", "__start")
+    return placed.groupBy("__part").agg(F.sum(weight).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+
+
+def numbered(df: DataFrame, keys: list[str], scratch: Scratch, name: str, index: str) -> DataFrame:
+    """``df`` with ``index``: the row's number, from 0, in the order of ``keys``."""
+    placed = _ranged(df, keys, scratch, name)
+    return placed.join(F.broadcast(_starts(placed, F.lit(1))), "__part").withColumn(index, F.col("__from") + F.col("__row")).drop("__part", "__row", "__from")
+
+
+def summed_before(df: DataFrame, keys: list[str], weight: str, scratch: Scratch, name: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``weight`` over the rows that come before in the order of ``keys``."""
+    placed = _ranged(df, keys, scratch, name)
+    inside = W.partitionBy("__part").orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.withColumn("__sum", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return sums.join(F.broadcast(_starts(placed, F.col(weight))), "__part").withColumn(out, F.col("__from") + F.col("__sum")).drop("__part", "__row", "__from", "__sum")
