@@ -55,3 +55,32 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND NOT coalesce(char_distance > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(word_distance > {MAX_WORD_DISTANCE}, false) AS kept
 FROM f
 """
+
+
+def mixing_sql(weights, most: int, block: int, seed: str) -> str:
+    """All quotients of all sources ranked outright."""
+    upto = lambda w: f"(base * ({w}) + {block} * ((({w}) // {block} * rest + off) // n) + ((({w}) // {block} + 1) * rest + off) // n * (({w}) % {block}) - (({w}) // {block} * rest + off) // n * (({w}) % {block}))"
+    return f"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [{", ".join(map(str, weights))}][place % {len(weights)} + 1] AS weight, {most} * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+o AS (
+  SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shared
+  FROM w
+),
+held AS (SELECT *, cap * shared < weight * rest AS above FROM o),
+level AS (SELECT any_value(total) - coalesce(sum(cap) FILTER (WHERE above), 0) AS rest, coalesce(sum(weight) FILTER (WHERE NOT above), 1) AS shared FROM held),
+t AS (SELECT source, source_size, place, CASE WHEN above THEN cap::DOUBLE ELSE (weight * level.rest)::DOUBLE / level.shared::DOUBLE END AS target, total FROM held, level),
+q AS (SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place) AS r, total FROM (SELECT place, target, total, unnest(generate_series(0, (target // {block})::BIGINT + 2)) AS k FROM t WHERE target > 0)),
+seats AS (SELECT place, count(*) AS seats FROM q WHERE r <= (total + {block} - 1) // {block} GROUP BY place),
+n AS (SELECT *, greatest((source_size + {block} - 1) // {block}, 1) AS n FROM t LEFT JOIN seats USING (place)),
+b AS (
+  SELECT source, source_size, target, n, least(coalesce(seats, 0), {most} * n) // n AS base, least(coalesce(seats, 0), {most} * n) % n AS rest,
+    ('0x' || substr(md5('{seed}:' || coalesce(source, '-')), 1, 12))::BIGINT % n AS off
+  FROM n
+),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
+SELECT doc_id, p.size::BIGINT AS size, source_size, target, ({upto("(pos + p.size)")} - {upto("pos")})::BIGINT AS taken
+FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+"""
