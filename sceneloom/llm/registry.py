@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sql
+from . import mixing, quality, sharding, simhash, sql
 from .common import Scratch, table
 
 
@@ -15,9 +16,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("source")
+
+
+def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_quality_rules,)}
+    return {f.__name__: f for f in (op5_hilbert_shards, op6_quality_rules, op8_mix_sources, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": sql.QUALITY_RULES}
+    return {
+        "op6_quality_rules": sql.QUALITY_RULES,
+        "op8_mix_sources": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST_REPEATS, mixing.BLOCK, mixing.SEED),
+    }
