@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, sql
+from . import lm_scoring, mixing, quality, sharding, simhash, sql, suffix_dedup
 from .common import Scratch, table
 
 
@@ -16,6 +16,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
@@ -24,13 +28,17 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("source")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_hilbert_shards, op6_quality_rules, op8_mix_sources, op10_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op5_hilbert_shards, op6_quality_rules, op8_mix_sources, op9_suffix_dedup, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
