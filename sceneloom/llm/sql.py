@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express, written from their definitions."""
 
+import string
+
 from .quality import CHAR_CLASSES, COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS_FOR_COMMON
 
 _REST = "t"
@@ -15,7 +17,7 @@ _PART = "(CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END)"
 
 def _distance(p: str, q: str) -> str:
     a, b = _PART.format(a="z[1]", b="z[2]"), _PART.format(a="z[2]", b="z[1]")
-    return f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: {a} + {b})) / 2, 0))"
+    return f"sqrt(abs(list_sum(list_transform(list_zip({p}, {q}), lambda z: {a} + {b}))) / 2)"
 
 
 QUALITY_RULES = f"""
@@ -84,3 +86,21 @@ p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size
 SELECT doc_id, p.size::BIGINT AS size, source_size, target, ({upto("(pos + p.size)")} - {upto("pos")})::BIGINT AS taken
 FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
+
+
+def url_rules_sql(host_rules, pattern_rules, default: str, regex_of) -> str:
+    """Every rule on every URL: host rules by string comparison, pattern rules by regular expression."""
+    rows = ", ".join(f"('{r.verdict}', '{r.text[2:].partition('/')[0]}', '/{r.text[2:].partition('/')[2]}')" for r in host_rules)
+    pick = lambda v: " OR ".join(f"regexp_matches(host || tail, '{regex_of(r.text)}')" for r in pattern_rules if r.verdict == v) or "false"
+    return f"""
+WITH rules(verdict, rhost, rpath) AS (VALUES {rows}),
+p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail
+  FROM p
+),
+fit AS (SELECT r, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {pick("block")} THEN 'block' WHEN {pick("allow")} THEN 'allow' ELSE '{default}' END) AS verdict
+FROM h LEFT JOIN fit USING (r)
+"""
