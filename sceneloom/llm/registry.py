@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, mixing, quality, sharding, simhash, sql, suffix_dedup
+from . import decontaminate, lm_scoring, mixing, quality, secrets, sharding, simhash, sql, suffix_dedup, token_counts, url_rules
 from .common import Scratch, table
 
 
@@ -20,10 +20,26 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), Scratch(spark, "op3"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.redacted_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("source")
 
@@ -38,11 +54,12 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op5_hilbert_shards, op6_quality_rules, op8_mix_sources, op9_suffix_dedup, op10_simhash_near_duplicates)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_url_rules, op4_decontaminate, op5_hilbert_shards, op6_quality_rules, op7_token_counts, op8_mix_sources, op9_suffix_dedup, op10_simhash_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_rules": sql.url_rules_sql(url_rules.HOST_RULES, url_rules.PATTERN_RULES, url_rules.DEFAULT, url_rules.regex_of),
         "op6_quality_rules": sql.QUALITY_RULES,
         "op8_mix_sources": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST_REPEATS, mixing.BLOCK, mixing.SEED),
     }
