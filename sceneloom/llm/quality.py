@@ -125,7 +125,7 @@ def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of the same length, each of sum 1 (or all 0: distance null)."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     total = F.aggregate(F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a)), F.lit(0.0), lambda s, x: s + x)
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+    return F.sqrt(F.abs(total) / 2)
 
 
 def quality_rules(
