@@ -62,6 +62,14 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_ids(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` written with ``__rid``, a number that only the row has, so that narrow results can be joined back to it.
+
+    Names that begin with two underscores are the operators' own.
+    """
+    return scratch.keep(docs.withColumn("__rid", F.monotonically_increasing_id()), "documents")
+
+
 def _ranged(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
     """``df`` in the order of ``keys`` (nulls first): ``__part``, then ``__row`` in it.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SEED_WORDS = 3
 #: The share of an item's different 3-grams that seed, the rarest ones, and how many at least.
-SEED_SHARE, LEAST_SEEDS = 0.5, 8
+SEED_SHARE, LEAST_SEEDS = 0.75, 24
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score, as a share of the item's score with itself, from which a passage counts as a copy.
 LEAST_SCORE = 0.5

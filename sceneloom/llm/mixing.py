@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words_of, numbered, summed_before
+from .common import Scratch, n_words_of, numbered, summed_before, with_row_ids
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -78,8 +78,8 @@ def _seeded(seed: str, what: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(what.cast("string"), F.lit("-"))))
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken for each row of ``docs``, and ``carry`` in a struct ``_carry``.
+def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, block: int = BLOCK, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken for each row of ``docs``, and its columns ``carry``, which should be narrow.
 
     The words of a source stand in a row, its documents in seeded order, cut
     in blocks. A quota of q blocks takes each of the source's n blocks
@@ -89,8 +89,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, m
     size 0 and nothing taken; null sources are one source, the last; rows that
     repeat count each; an empty table gives no rows. Reruns agree.
     """
-    own = [F.struct(*[F.col(c) for c in carry]).alias("_carry")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), _seeded(seed, F.col("doc_id")).alias("__key"), *own)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words_of(F.col("text")).alias("size"), _seeded(seed, F.col("doc_id")).alias("__key"), *carry)
     placed = scratch.keep(summed_before(rows, ["source", "__key", "size"], "size", scratch, "ordered", "__before"), "placed")
     sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("__before").alias("__start"))
     targets = scratch.keep(source_targets(sources, scratch, weights, most), "targets")
@@ -107,7 +106,22 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, m
     upto = lambda w: F.expr(f"__base * ({w}) + {block} * {once(f'(({w}) DIV {block})')} + ({once(f'(({w}) DIV {block} + 1)')} - {once(f'(({w}) DIV {block})')}) * (({w}) % {block})")
     rows = rows.withColumn("__at", F.col("__before") - F.col("__start"))
     taken = (upto("__at + size") - upto("__at")).cast("long")
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *(["_carry"] if carry else []))
+    return rows.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *carry)
+
+
+def mixed_documents(docs: DataFrame, scratch: Scratch, seed: str = SEED, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, whole, with all their columns.
+
+    A row whose taken words are r times its size comes the whole part of r
+    times, and once more with the chance of the rest, by a seeded draw on its
+    id; so a source's words come to its target on average. Rows without words
+    are left out.
+    """
+    rows = with_row_ids(docs, scratch)
+    taken = mix(rows, scratch, seed=seed, carry=("__rid",), **options)
+    draw = F.conv(F.substring(_seeded(f"{seed}:draw", F.col("doc_id")), 1, 8), 16, 10).cast("double") / (1 << 32)
+    times = taken.filter("size > 0").select("__rid", F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__times")).filter("__times > 0")
+    return rows.join(times, "__rid").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
 
 
 #: Distinct sources whose quotas may be broadcast; beyond, the join shuffles.

@@ -128,6 +128,11 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.abs(total) / 2)
 
 
+def passing_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return quality_rules(docs, scratch, carry=docs.columns, **options).filter("kept").select("_carry.*")
+
+
 def quality_rules(
     docs: DataFrame,
     scratch: Scratch,

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, summed_before
+from .common import Scratch, numbered, summed_before, with_row_ids
 
 SHARDS = 40
 BITS = 4
@@ -89,8 +89,8 @@ def quantised(cells: DataFrame, rows: DataFrame, dimension: str, bits: int, scra
     return cells.join(steps, cells[dimension].eqNullSafe(steps["__value"])).drop(dimension, "__value").withColumnRenamed("__step", dimension)
 
 
-def hilbert_shards(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row, and ``carry`` in a struct ``_carry``.
+def hilbert_shards(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row, and its columns ``carry``, which should be narrow.
 
     Shards are runs of the curve; their row counts are at most one apart.
     ``slot`` is the row's place in its shard. Rows of equal text stand
@@ -102,12 +102,10 @@ def hilbert_shards(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, dime
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + ROW_BYTES
     group = [F.xxhash64(text).alias("__a"), F.crc32(text.cast("binary")).alias("text_crc32")]
-    # A document's own columns travel as one struct, so that their names can't clash.
-    own = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("boolean")
     dims = [(F.floor(F.log2(size) * PER_OCTAVE).cast("int") if c == "size" else F.col(c)).alias(f"__d{k}") for k, c in enumerate(dimensions)]
     names = [f"__d{k}" for k in range(len(dims))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), *group, *dims, own.alias("_carry"))
-    rows = scratch.keep(rows if carry else rows.drop("_carry"), "rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), *group, *dims, *carry)
+    rows = scratch.keep(rows, "rows")
     key = ["__a", "text_crc32", "size"]
     cells = scratch.keep(rows.groupBy(*key).agg(*[F.min(n).alias(n) for n in names]), "groups")
     for n in names:
@@ -121,5 +119,14 @@ def hilbert_shards(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, dime
     shard = F.expr(f"(__rank * {shards}L) DIV {max(total, 1)}L")
     start = F.expr(f"(__shard * {max(total, 1)}L + {shards - 1}L) DIV {shards}L")
     out = ranked.withColumn("__shard", shard).withColumn("__slot", F.col("__rank") - start)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").cast("int").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["_carry"] if carry else []))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").cast("int").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carry)
+
+
+def sharded_documents(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, ``shard`` and ``slot``, a partition for each shard, in order. A ``shard`` or ``slot`` of their own goes."""
+    rows = with_row_ids(docs, scratch)
+    places = hilbert_shards(rows, scratch, shards, carry=("__rid",), **options).select("__rid", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = rows.join(places, "__rid").repartitionByRange(shards, "__shard").sortWithinPartitions("__shard", "__slot")
+    return out.select(*own, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, with_row_ids
 from .components import components
 
 MAX_BITS = 3
@@ -43,15 +43,17 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``fp``: the fingerprint of ``text`` as a signed long. Other columns stay, but for an ``fp`` of its own."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the long columns ``carry``, and ``fp``: the fingerprint of ``text`` as a signed long."""
+    kept = ["doc_id", *(carry or [])]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             values = np.array([fingerprint(t if isinstance(t, str) else None, width) for t in rows["text"]], np.uint64)
-            yield rows[["doc_id"]].assign(fp=values.view(np.int64))
+            yield rows[kept].assign(fp=values.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(add, "doc_id long, fp long")
+    longs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(carry or []), "text")
+    return longs.mapInPandas(add, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def _keys(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,6 +119,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bits:
     return rows.join(component_ids(rows, scratch, bits), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, with all its columns: the one of the least doc_id (null last), of repeated rows any one."""
+    rows = with_row_ids(docs, scratch)
+    marked = scratch.keep(fingerprints(rows, width, ["__rid"]), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"]
+    kept = marked.join(component_ids(marked, scratch, bits).select("fp", "root"), "fp").groupBy("root").agg(first.alias("__rid")).select("__rid")
+    return rows.join(kept, "__rid", "left_semi").select(docs.columns)
+
+
 def component_ids(rows: DataFrame, scratch: Scratch, bits: int = MAX_BITS) -> DataFrame:
     """(fp, root, component_id) for each distinct fp of ``rows`` (doc_id, fp)."""
     fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -59,5 +59,6 @@ def test_edges(spark):
     rows = mx.mix(documents(spark, [None, " "]), scratch(spark)).collect()
     assert {(r["size"], r.target, r.taken) for r in rows} == {(0, 0.0, 0)}
     same = documents(spark, ["a b c"] * 3).withColumn("doc_id", F.lit(None).cast("long")).withColumn("target", F.lit("x"))
-    rows = mx.mix(same, scratch(spark), carry=same.columns).collect()
-    assert sum(r.taken for r in rows) == 9 and rows[0]._carry.target == "x"
+    assert sum(r.taken for r in mx.mix(same, scratch(spark)).collect()) == 9
+    rows = mx.mixed_documents(same, scratch(spark)).collect()
+    assert len(rows) == 3 and rows[0].target == "x"

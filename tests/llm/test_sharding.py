@@ -47,5 +47,5 @@ def test_few_repeated_and_no_rows(spark):
     assert sorted((r.shard, r.slot) for r in sd.hilbert_shards(one, scratch(spark)).collect()) == [(0, 0), (20, 0)]
     assert sd.hilbert_shards(documents(spark, []), scratch(spark)).collect() == []
     clash = documents(spark, ["a"]).withColumn("shard", F.lit("x")).withColumn("__d0", F.lit(3))
-    got = sd.hilbert_shards(clash, scratch(spark), carry=clash.columns).collect()[0]
-    assert (got.shard, got._carry.shard, got._carry["__d0"]) == (0, "x", 3)
+    got = sd.sharded_documents(clash, scratch(spark)).collect()[0]
+    assert (got.shard, got.slot, got["__d0"], got.text) == (0, 0, 3, "a")
