@@ -27,7 +27,7 @@ PATTERNS = {
 LEAST_ASSIGNED = 6
 #: One of these, in lower case, is in any text that "assign" matches.
 ASSIGN_WORDS = ("passw", "secret", "token", "api_key", "apikey")
-SENSITIVE = re.compile(r"passw|pwd|secret|token|api[_-]?key|credential|bearer|authorization|private[_-]?key|access[_-]?key", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"passw|pwd|secret|token|api[ _-]?key|credential|bearer|authorization|private[ _-]?key|access[ _-]?key", re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "api", "credential", "bearer", "authorization", "private", "access")
 LEAST_NOVEL = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_NOVEL},}}")
