@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from .common import Scratch
 LENGTH = 200
 GRAM = 80
 #: Different contexts of one gram that one task compares; with more, each string around a place is hashed and counted by Spark.
-HOT = 20_000
+HOT = 100_000
 #: Texts with repeated places whose keys may be broadcast to the scan; beyond, all texts are shuffled.
 BROADCAST_TEXTS = 500_000
 _BATCH = 1 << 20
@@ -106,19 +107,24 @@ def _places(length: int, gram: int):
     return run
 
 
+def _frames(rows: Iterator[tuple], names: dict[str, str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of up to _TASK_ROWS rows."""
+    while part := list(islice(rows, _TASK_ROWS)):
+        yield pd.DataFrame(dict(zip(names, zip(*part, strict=True), strict=True))).astype(names)
+
+
 def _contexts(length: int, gram: int):
     side = length - gram
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for rows in batches:
             for a, b, text, places in zip(rows["a"], rows["b"], rows["text"], rows["places"], strict=True):
                 text = bytes(text)
-                got = [(p, min(p, side), text[max(0, p - side) : p + length]) for p in sorted(places)]
-                yield pd.DataFrame(
-                    {"a": a, "b": b, "pos": [p for p, _, _ in got], "left": [n for _, n, _ in got], "gram": [xxhash.xxh64_intdigest(c[n : n + gram]) for _, n, c in got], "ctx": [c for _, _, c in got]}
-                ).astype({"pos": "int64", "left": "int32", "gram": "uint64"}).astype({"gram": "int64"})
+                for p in sorted(places):
+                    left = min(p, side)
+                    yield a, b, p, left, xxhash.xxh64_intdigest(text[p : p + gram]) >> 1, text[p - left : p + length]
 
-    return run
+    return lambda batches: _frames(each(batches), {"a": "int64", "b": "int64", "pos": "int64", "left": "int32", "gram": "int64", "ctx": "object"})
 
 
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,15 +199,14 @@ def _compare(length: int, gram: int):
 
 
 def _hashed(length: int, gram: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for rows in batches:
             for c1, c2, n, left, ctx in zip(rows["c1"], rows["c2"], rows["n"], rows["left"], rows["ctx"], strict=True):
                 ctx = bytes(ctx)
-                at = [o for o in range(min(left, length - gram) + 1) if left - o + length <= len(ctx)]
-                digests = np.array([[xxhash.xxh64_intdigest(ctx[left - o : left - o + length], s) for s in (1, 2)] for o in at], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pd.DataFrame({"c1": c1, "c2": c2, "n": n, "o": at, "w1": digests[:, 0], "w2": digests[:, 1]}).astype({"o": "int64"})
+                for o in range(max(0, left + length - len(ctx)), min(left, length - gram) + 1):
+                    yield c1, c2, n, o, xxhash.xxh3_128_digest(ctx[left - o : left - o + length])
 
-    return run
+    return lambda batches: _frames(each(batches), {"c1": "int64", "c2": "int64", "n": "int64", "o": "int64", "string": "object"})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,6 +243,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     # Two different occurrences, not two copies of one text, make a gram repeated.
     one = F.xxhash64("a", "pos")
     grams = places.groupBy("gram").agg(F.min(one).alias("x"), F.max(one).alias("y")).filter("x < y").select("gram")
+    # Written, so that the join may be split where one gram has very many places.
+    grams = scratch.keep(grams, "grams")
     repeated = places.join(grams, "gram").groupBy("a", "b").agg(F.collect_set("pos").alias("places"))
     repeated = scratch.keep(repeated, "repeated")
     if repeated.count() <= BROADCAST_TEXTS:
@@ -255,10 +262,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     few = different.join(sizes.filter(F.col("m") <= hot).select("gram"), "gram").withColumn("leading", leading)
     few = few.repartitionByRange(parts, "leading").sortWithinPartitions("leading").drop("leading")
     answers = few.mapInPandas(_compare(length, gram), "c1 long, c2 long, low long, high long")
-    crowded = different.join(sizes.filter(F.col("m") > hot).select("gram"), "gram").select("c1", "c2", "n", "left", "ctx")
-    strings = crowded.mapInPandas(_hashed(length, gram), "c1 long, c2 long, n long, o long, w1 long, w2 long")
-    counts = strings.groupBy("w1", "w2", "o").agg(F.sum("n").alias("k")).filter("k > 1").select("w1", "w2", "o")
-    answers = answers.unionByName(strings.join(counts, ["w1", "w2", "o"]).groupBy("c1", "c2").agg(F.min("o").alias("low"), F.max("o").alias("high")))
+    # A crowded gram's contexts come from anywhere: they are dealt out again before the costly step.
+    crowded = different.join(sizes.filter(F.col("m") > hot).select("gram"), "gram").select("c1", "c2", "n", "left", "ctx").repartition(parts, "c1", "c2")
+    strings = crowded.mapInPandas(_hashed(length, gram), "c1 long, c2 long, n long, o long, string binary")
+    counts = strings.groupBy("string", "o").agg(F.sum("n").alias("k")).filter("k > 1").select("string", "o")
+    answers = answers.unionByName(strings.join(counts, ["string", "o"]).groupBy("c1", "c2").agg(F.min("o").alias("low"), F.max("o").alias("high")))
     span = F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + length).alias("e"))
     spans = contexts.select("a", "b", "pos", "c1", "c2").join(answers, ["c1", "c2"]).groupBy("a", "b").agg(F.collect_set(span).alias("spans"))
     cut = texts.select("a", "b", "text").join(spans, ["a", "b"]).mapInPandas(_cut, "a long, b long, n_removed long, n_spans long, kept_sha256 string")
