@@ -25,7 +25,7 @@ RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 64
 #: Different pre-tokens whose counts one task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 TREE = "leaf_chars array<int>, leaf_tokens array<int>"
 EDIT = "array<struct<start:int,end:int,put:string>>"
 
