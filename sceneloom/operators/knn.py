@@ -26,13 +26,15 @@ def _near(k: int):
         if not len(asking) or not len(there):
             return pd.DataFrame({"scene_id": [], "place": [], "d2": []}).astype({"scene_id": "int32", "place": "int64"})
         q, p = asking[["x", "y", "z"]].to_numpy(), there[["p_x", "p_y", "p_z"]].to_numpy()
-        others = there["p_place"].to_numpy()
+        others, times = there["p_place"].to_numpy(), np.minimum(there["p_n"].to_numpy(), k)
         out = []
         for i, place in enumerate(asking["place"].to_numpy()):
             d = ((p - q[i]) ** 2).sum(1)
             d[others == place] = np.inf
-            d = np.partition(d, k - 1)[:k] if len(d) > k else d
-            out.append(np.sort(d[np.isfinite(d)]))
+            first = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+            first = first[np.isfinite(d[first])]
+            # A place counts as often as it has points.
+            out.append(np.sort(np.repeat(d[first], times[first]))[:k])
         return pd.DataFrame({"scene_id": asking["scene_id"].to_numpy(), "place": asking["place"].to_numpy(), "d2": out})
 
     return run
@@ -60,7 +62,7 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
         there = cell(places)
         # Only cells that hold anyone are met.
         blocks = there.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        there = there.join(blocks, cells).withColumn("b", F.pmod("place", F.col("blocks")).cast("int")).select(*cells, "b", "place", *axes)
+        there = there.join(blocks, cells).withColumn("b", F.pmod("place", F.col("blocks")).cast("int")).select(*cells, "b", "place", "n", *axes)
         around = asking.join(F.broadcast(edge), "scene_id")
         for a in axes:
             around = around.withColumn(f"c{a}", F.explode(F.array(*[F.floor(F.col(a) / F.col("edge")) + d for d in (-1, 0, 1)])))
@@ -71,7 +73,7 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
         there = there.join(parts, cells).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         key = [*cells, "b", "part"]
         # Both sides come from the same points: names of its own keep them apart.
-        there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", *axes)])
+        there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", "n", *axes)])
         near = around.select(*key, "place", *axes).groupBy(*key).cogroup(there.groupBy(*[f"p_{c}" for c in key])).applyInPandas(_near(k), "scene_id int, place long, d2 array<double>")
         merged = near.groupBy("scene_id", "place").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d2"))), 1, k).alias("d2"))
         state = asking.join(merged, ["scene_id", "place"], "left").join(F.broadcast(edge), "scene_id")
