@@ -173,4 +173,6 @@ def quality_rules(
     )
     far = F.coalesce(F.col("char_distance") > max_char, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word, F.lit(False))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return rows.select(*out, "char_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"), *(["_carry"] if carry else []))
+    # As the row of a one-row table: a filter on the verdict is then not worked out again at each step below.
+    kept = F.inline(F.array(F.struct((~F.col("base_failed") & ~far).alias("kept"))))
+    return rows.select(*out, "char_distance", "word_distance", *(["_carry"] if carry else []), kept)
