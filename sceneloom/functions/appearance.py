@@ -68,8 +68,10 @@ def channel_coefficients(dc: Column, rest: Column, channel: int, per_channel: in
     return F.concat(F.array(F.get(dc, F.lit(channel))), F.slice(rest, channel * per_channel + 1, per_channel))
 
 
-def view_color(degree: int, dc: Column, rest: Column, position: list[Column], centre: list[Column], per_channel: int = 15) -> list[Column]:
-    """RGB seen from ``centre``: harmonics in the direction to the primitive, plus a half, not below 0."""
+def view_color(degree: int, dc: Column, rest: Column, position: list[Column], centre: list[Column], per_channel: int = 15, override: list[Column] | None = None) -> list[Column]:
+    """RGB seen from ``centre``: harmonics in the direction to the primitive, plus a half, not below 0; or the colours that ``override`` gives."""
+    if override is not None:
+        return override
     d = [p - c for p, c in zip(position, centre, strict=True)]
     norm = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     unit = [v / norm for v in d]

@@ -32,6 +32,28 @@ def half_frame(pixels: Column, width: Column) -> Column:
     return F.filter(pixels, lambda _, i: i % width >= F.floor(width / 2))
 
 
+def half_size(pixels: Column, height: int, width: int) -> Column:
+    """A row-major image of even sides at half its size, by the mean of each 2x2."""
+    w = width // 2
+
+    def mean(i: Column) -> Column:
+        at = F.floor(i / w).cast("int") * 2 * width + (i % w) * 2
+        corners = [F.get(pixels, at + d) for d in (0, 1, width, width + 1)]
+        return (corners[0] + corners[1] + corners[2] + corners[3]) / 4
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height // 2 * w - 1)), mean)
+
+
+def resize_pyramid(pixels: Column, height: int, width: int, levels: int = 3) -> list[Column]:
+    """The image at a half, a quarter, an eighth and so on."""
+    out = []
+    for _ in range(levels):
+        pixels = half_size(pixels, height, width)
+        out.append(pixels)
+        height, width = height // 2, width // 2
+    return out
+
+
 def expon_decay(step: Column, first: float, last: float, delay_steps: int = 0, delay_mult: float = 1.0, steps: int = 1_000_000) -> Column:
     """Log-linear from ``first`` to ``last``, eased in by a sine over ``delay_steps``; 0 before step 0 or if both ends are 0."""
     if first == 0 and last == 0:

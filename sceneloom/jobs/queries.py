@@ -309,6 +309,12 @@ def half_frame(spark, sf):
     return X.tiles(spark, sf).select("scene_id", "method", "name", F.size(half).alias("n"), r(F.aggregate(half, F.lit(0.0), lambda a, x: a + x), "total"))
 
 
+@query(with_views("SELECT scene_id, method, name, round((render[1] + render[2] + render[9] + render[10]) / 4, 6) + 0.0 AS half0, round(list_sum(render) / 64, 6) + 0.0 AS eighth, 16 AS n_half FROM tiles", "tiles"))
+def resize_pyramid(spark, sf):
+    half, _, eighth = S.resize_pyramid(F.col("render"), 8, 8)
+    return X.tiles(spark, sf).select("scene_id", "method", "name", r(F.get(half, F.lit(0)), "half0"), r(F.get(eighth, F.lit(0)), "eighth"), F.size(half).alias("n_half"))
+
+
 @query(with_views("SELECT DISTINCT iteration, round((0.01e0 + 0.99e0 * sin(pi() / 2 * least(iteration / 1000e0, 1))) * exp(ln(1e0) * (1 - least(iteration / 2000e0, 1)) + ln(0.01e0) * least(iteration / 2000e0, 1)), 6) + 0.0 AS weight FROM view_stats", "view_stats"))
 def expon_decay(spark, sf):
     rows = X.view_stats(spark, sf).select("iteration").distinct()
@@ -732,11 +738,11 @@ def perceptual_distance(spark, sf):
 
 def scored(spark, sf) -> DataFrame:
     rows = pairs(spark, sf)
-    dataset = F.when(F.col("scene_id") < 4, "m360").when(F.col("scene_id") < 7, "tandt").otherwise("db")
+    dataset = F.when(F.col("scene_id") < 4, "outdoor").when(F.col("scene_id") < 7, "street").otherwise("indoor")
     return rows.select(dataset.alias("dataset"), "scene_id", "method", "name", metrics.l1(F.col("render"), F.col("gt")).alias("l1"), finite(metrics.psnr_image(F.col("render"), F.col("gt"))).alias("psnr"))
 
 
-_SCORED = f"SELECT CASE WHEN scene_id < 4 THEN 'm360' WHEN scene_id < 7 THEN 'tandt' ELSE 'db' END AS dataset, scene_id, method, name, l1, CASE WHEN e > 0 THEN -10 * log10(e) END AS psnr FROM (SELECT *, {_ABS} AS l1, {_SQ} AS e FROM pairs)"
+_SCORED = f"SELECT CASE WHEN scene_id < 4 THEN 'outdoor' WHEN scene_id < 7 THEN 'street' ELSE 'indoor' END AS dataset, scene_id, method, name, l1, CASE WHEN e > 0 THEN -10 * log10(e) END AS psnr FROM (SELECT *, {_ABS} AS l1, {_SQ} AS e FROM pairs)"
 _AVGS = "round(avg(l1), 6) + 0.0 AS l1, round(avg(psnr), 5) + 0.0 AS psnr, count(*) AS n_views"
 
 

@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.appearance import IDENTITY_EXPOSURE, logit, rgb_to_sh, sigmoid
-from ..functions.geometry import _dot, items, qvec_to_rotmat, normalized
+from ..functions.appearance import IDENTITY_EXPOSURE, logit, rgb_to_sh, sh_to_rgb, sigmoid
+from ..functions.geometry import _dot, items, normalized, qvec_to_rotmat
 
 PERCENT_DENSE = 0.01
 MIN_OPACITY = 0.005
@@ -137,8 +137,6 @@ def init_exposures(views: DataFrame) -> DataFrame:
 
 def random_point_cloud(spark, n: int = 100_000, half: float = 1.3, seed: int = 0, scene_id: int = 0) -> DataFrame:
     """Points spread evenly over a cube, with dim random colours; the same ones however they are partitioned."""
-    from ..functions.appearance import sh_to_rgb
-
     unit = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(1 << 53)) / float(1 << 53)
     place = [(unit(k) * 2 * half - half).alias(a) for k, a in enumerate("xyz")]
     colour = [sh_to_rgb(unit(3 + k) / 255).alias(c) for k, c in enumerate("rgb")]
