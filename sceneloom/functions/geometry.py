@@ -19,6 +19,11 @@ def items(array: Column, n: int) -> list[Column]:
     return [F.get(array, F.lit(i)) for i in range(n)]
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def qvec_to_rotmat(q: Column) -> Column:
     """3x3 of a quaternion (w, x, y, z), which is not normalised first."""
     w, x, y, z = items(q, 4)
@@ -31,11 +36,11 @@ def qvec_to_rotmat(q: Column) -> Column:
 
 def normalized(v: Column, n: int) -> Column:
     parts = items(v, n)
-    return F.transform(v, lambda x: x / F.sqrt(_dot(parts, parts)))
+    return F.array(*[x / F.sqrt(_dot(parts, parts)) for x in parts])
 
 
 def quat_to_rotmat_normalized(q: Column) -> Column:
-    return qvec_to_rotmat(normalized(q, 4))
+    return once(normalized(q, 4), qvec_to_rotmat)
 
 
 def fov_to_focal(fov: Column, pixels: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .appearance import sigmoid
-from .geometry import _dot, items, normalized, qvec_to_rotmat
+from .geometry import _dot, items, normalized, once, quat_to_rotmat_normalized
 
 
 def activate(opacity: Column, scale: Column, rot: Column, opacity_of: Callable = sigmoid, scale_of: Callable = F.exp) -> dict[str, Column]:
@@ -18,6 +18,10 @@ def activate(opacity: Column, scale: Column, rot: Column, opacity_of: Callable =
 
 def covariance6(scale: Column, rot: Column, modifier: float = 1.0) -> Column:
     """xx, xy, xz, yy, yz, zz of R S S R^T, from activated scales and a quaternion of any length."""
-    r, s = items(qvec_to_rotmat(normalized(rot, 4)), 9), items(scale, 3)
-    rows = [[r[3 * i + k] * s[k] * modifier for k in range(3)] for i in range(3)]
-    return F.array(*[_dot(rows[i], rows[j]) for i in range(3) for j in range(i, 3)])
+    rows = lambda r, s: F.array(*[F.get(r, F.lit(3 * i + k)) * F.get(s, F.lit(k)) * modifier for i in range(3) for k in range(3)])
+
+    def products(m: Column) -> Column:
+        v = items(m, 9)
+        return F.array(*[_dot(v[3 * i : 3 * i + 3], v[3 * j : 3 * j + 3]) for i in range(3) for j in range(i, 3)])
+
+    return once(once(scale, lambda s: once(quat_to_rotmat_normalized(rot), lambda r: rows(r, s))), products)

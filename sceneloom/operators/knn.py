@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 2048
-CELL_POINTS = 4.0
+BLOCK = 1024
+CELL_POINTS = 48.0
 LEAST = 1e-7
 
 
@@ -25,17 +25,14 @@ def _near(k: int):
     def run(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(there):
             return pd.DataFrame({"scene_id": [], "place": [], "d2": []}).astype({"scene_id": "int32", "place": "int64"})
-        q, p = asking[["x", "y", "z"]].to_numpy(), there[["p_x", "p_y", "p_z"]].to_numpy()
-        others, times = there["p_place"].to_numpy(), np.minimum(there["p_n"].to_numpy(), k)
-        out = []
-        for i, place in enumerate(asking["place"].to_numpy()):
-            d = ((p - q[i]) ** 2).sum(1)
-            d[others == place] = np.inf
-            first = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-            first = first[np.isfinite(d[first])]
-            # A place counts as often as it has points.
-            out.append(np.sort(np.repeat(d[first], times[first]))[:k])
-        return pd.DataFrame({"scene_id": asking["scene_id"].to_numpy(), "place": asking["place"].to_numpy(), "d2": out})
+        # A place counts as often as it has points.
+        times = np.minimum(there["p_n"].to_numpy(), k)
+        d = np.zeros((len(asking), int(times.sum())))
+        for a in "xyz":
+            d += (asking[a].to_numpy()[:, None] - np.repeat(there[f"p_{a}"].to_numpy(), times)[None]) ** 2
+        d[asking["place"].to_numpy()[:, None] == np.repeat(there["p_place"].to_numpy(), times)[None]] = np.inf
+        near = np.sort(np.partition(d, k - 1)[:, :k] if d.shape[1] > k else d)
+        return pd.DataFrame({"scene_id": asking["scene_id"].to_numpy(), "place": asking["place"].to_numpy(), "d2": list(near)})
 
     return run
 
@@ -75,7 +72,7 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
         # Both sides come from the same points: names of its own keep them apart.
         there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", "n", *axes)])
         near = around.select(*key, "place", *axes).groupBy(*key).cogroup(there.groupBy(*[f"p_{c}" for c in key])).applyInPandas(_near(k), "scene_id int, place long, d2 array<double>")
-        merged = near.groupBy("scene_id", "place").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d2"))), 1, k).alias("d2"))
+        merged = near.groupBy("scene_id", "place").agg(F.slice(F.filter(F.sort_array(F.flatten(F.collect_list("d2"))), lambda x: x < float("inf")), 1, k).alias("d2"))
         state = asking.join(merged, ["scene_id", "place"], "left").join(F.broadcast(edge), "scene_id")
         # The point's own place holds n - 1 others at distance 0.
         d2 = F.slice(F.concat(F.array_repeat(F.lit(0.0), F.col("n").cast("int") - 1), F.coalesce("d2", F.array().cast("array<double>"))), 1, k)
