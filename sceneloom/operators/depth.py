@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .views import small
 
 LEAST_POINTS = 10
 LEAST_RANGE = 1e-3
@@ -15,9 +16,8 @@ LEAST_RANGE = 1e-3
 
 def matched_observations(observations: DataFrame, points: DataFrame) -> DataFrame:
     """Observations whose point id is between 0 and the scene's greatest."""
-    # One row for each scene.
     top = points.groupBy("scene_id").agg(F.max("point3d_id").alias("_top"))
-    return observations.join(F.broadcast(top), "scene_id").filter((F.col("point3d_id") >= 0) & (F.col("point3d_id") <= F.col("_top"))).drop("_top")
+    return observations.join(small(top), "scene_id").filter((F.col("point3d_id") >= 0) & (F.col("point3d_id") <= F.col("_top"))).drop("_top")
 
 
 def observed_points(matched: DataFrame, points: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .views import small
+
 BLOCK = 1024
 CELL_POINTS = 48.0
 LEAST = 1e-7
@@ -54,13 +56,13 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
     while True:
         rounds += 1
         edge = edges.select("scene_id", (F.col("h") * 2.0 ** (rounds - 1)).alias("edge"), "m", "span")
-        cell = lambda df: df.join(F.broadcast(edge), "scene_id").withColumns({f"c{a}": F.floor(F.col(a) / F.col("edge")) for a in axes})
+        cell = lambda df: df.join(small(edge), "scene_id").withColumns({f"c{a}": F.floor(F.col(a) / F.col("edge")) for a in axes})
         cells = ["scene_id", "cx", "cy", "cz"]
         there = cell(places)
         # Only cells that hold anyone are met.
         blocks = there.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
         there = there.join(blocks, cells).withColumn("b", F.pmod("place", F.col("blocks")).cast("int")).select(*cells, "b", "place", "n", *axes)
-        around = asking.join(F.broadcast(edge), "scene_id")
+        around = asking.join(small(edge), "scene_id")
         for a in axes:
             around = around.withColumn(f"c{a}", F.explode(F.array(*[F.floor(F.col(a) / F.col("edge")) + d for d in (-1, 0, 1)])))
         around = around.join(blocks, cells)
@@ -73,7 +75,7 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
         there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", "n", *axes)])
         near = around.select(*key, "place", *axes).groupBy(*key).cogroup(there.groupBy(*[f"p_{c}" for c in key])).applyInPandas(_near(k), "scene_id int, place long, d2 array<double>")
         merged = near.groupBy("scene_id", "place").agg(F.slice(F.filter(F.sort_array(F.flatten(F.collect_list("d2"))), lambda x: x < float("inf")), 1, k).alias("d2"))
-        state = asking.join(merged, ["scene_id", "place"], "left").join(F.broadcast(edge), "scene_id")
+        state = asking.join(merged, ["scene_id", "place"], "left").join(small(edge), "scene_id")
         # The point's own place holds n - 1 others at distance 0.
         d2 = F.slice(F.concat(F.array_repeat(F.lit(0.0), F.col("n").cast("int") - 1), F.coalesce("d2", F.array().cast("array<double>"))), 1, k)
         state = state.withColumn("d2", d2)

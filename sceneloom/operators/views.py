@@ -10,11 +10,11 @@ from ..functions import geometry as G
 from ..functions.appearance import IDENTITY_EXPOSURE
 from ..functions.scalars import image_stem
 
-#: Cameras that may be broadcast to the images; beyond, the join shuffles.
-BROADCAST_CAMERAS = 1_000_000
+#: Rows of a narrow table (cameras, a row for each scene) that may be broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_CAMERAS) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -51,7 +51,7 @@ def median_positive_scale(params: DataFrame) -> DataFrame:
 
 def join_depth_params(views: DataFrame, params: DataFrame) -> DataFrame:
     """Depth scale and offset by the image's stem, with the scene's median scale; null where there is no row."""
-    params = params.join(F.broadcast(median_positive_scale(params)), "scene_id")
+    params = params.join(small(median_positive_scale(params)), "scene_id")
     return views.withColumn("image_stem", image_stem(F.col("name"))).join(params, ["scene_id", "image_stem"], "left")
 
 
