@@ -123,10 +123,15 @@ def hilbert_shards(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, dime
 
 
 def sharded_documents(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, **options) -> DataFrame:
-    """The rows of ``docs`` with all their columns, ``shard`` and ``slot``, a partition for each shard, in order. A ``shard`` or ``slot`` of their own goes."""
+    """The rows of ``docs`` with all their columns, ``shard`` and ``slot``; a ``shard`` or ``slot`` of their own goes.
+
+    Partitions are runs of shard and slot in order, so files are too, and a
+    large shard takes several.
+    """
     rows = with_row_ids(docs, scratch)
     places = hilbert_shards(rows, scratch, shards, carry=("__rid",), **options).select("__rid", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    out = rows.join(places, "__rid").repartitionByRange(shards, "__shard").sortWithinPartitions("__shard", "__slot")
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = rows.join(places, "__rid").repartitionByRange(parts, "__shard", "__slot").sortWithinPartitions("__shard", "__slot")
     return out.select(*own, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
 
