@@ -26,14 +26,18 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+#: New folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; only a local session may fall back to a new one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-scratch-")
+        _OWN[spark.sparkContext.applicationId] = root
     return root
 
 
