@@ -11,7 +11,7 @@ the way up are updated.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,19 +134,23 @@ def edited(text: str, tree: Tree, counter: Counter, start: int, end: int, put: s
     return new, until + shift - at
 
 
-def build_trees(docs: DataFrame, ranks_file: str = RANKS_FILE, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text, the leaves of the text's tree, and the columns ``carry``. A null text is empty, of one empty leaf."""
+def build_trees(docs: DataFrame, ranks_file: str = RANKS_FILE, carry: list[str] | None = None, edits_of: Callable[[str], list[dict]] | None = None) -> DataFrame:
+    """doc_id, text, the leaves of the text's tree, the columns ``carry``, and ``edits`` if ``edits_of`` finds them in the text.
+
+    A null text is empty, of one empty leaf.
+    """
     ranks, extra = open(ranks_file, "rb").read(), carry or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counter(ranks)
         for rows in batches:
             chars, tokens = zip(*[counter.leaves(t) for t in rows["text"]], strict=True) if len(rows) else ((), ())
-            yield rows.assign(leaf_chars=list(chars), leaf_tokens=list(tokens))
+            found = {"edits": [edits_of(t) for t in rows["text"]]} if edits_of else {}
+            yield rows.assign(leaf_chars=list(chars), leaf_tokens=list(tokens), **found)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{kinds}, {TREE}")
+    return rows.mapInPandas(run, f"{kinds}, {TREE}" + (f", edits {EDIT}" if edits_of else ""))
 
 
 def apply_edits(trees: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
@@ -181,12 +185,11 @@ def apply_edits(trees: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
 REDACTED = regex.compile(r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|[0-9]{5,}")
 
 
-def redactions(texts: pd.Series) -> pd.Series:
-    """The edits that redact each text."""
-    return pd.Series([[{"start": m.start(), "end": m.end(), "put": "<mail>" if "@" in m[0] else "<number>"} for m in REDACTED.finditer(t)] for t in texts])
+def redactions(text: str) -> list[dict]:
+    """The edits that redact a text."""
+    return [{"start": m.start(), "end": m.end(), "put": "<mail>" if "@" in m[0] else "<number>"} for m in REDACTED.finditer(text)]
 
 
 def redacted_counts(docs: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
     """Counts of each row of ``docs`` before and after its redaction."""
-    find = F.pandas_udf(redactions, EDIT)
-    return apply_edits(build_trees(docs, ranks_file).withColumn("edits", find("text")), ranks_file)
+    return apply_edits(build_trees(docs, ranks_file, edits_of=redactions), ranks_file)
