@@ -23,7 +23,7 @@ SYMBOLS = "#*$%&|<>"
 #: Bits that hold a window's place beside its hash.
 _PLACE_BITS = 20
 MIN_WORDS = 50
-COMMON_WORDS = 16
+COMMON_WORDS = 24
 #: Beyond these distances a document is rejected.
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.32
@@ -160,10 +160,14 @@ def quality_rules(
     place = lambda w: F.when(F.char_length(w) <= F.col("ref_chars"), F.coalesce(F.array_position(F.col("ref_words"), F.lower(w)).cast("int"), F.lit(0))).otherwise(0)
     found = F.transform("_words", place)
     rows = rows.select("*", found.alias("_found"), F.array(*class_counts(F.col("_text"))).alias("_chars"))
-    of = [F.size("_found") - F.size(F.array_remove("_found", k)) for k in [*range(1, COMMON_WORDS + 1)]]
+    # Sorted behind one of each place, equal places stand together: where each begins tells how many there are.
+    rows = rows.select("*", F.sort_array(F.concat(F.sequence(F.lit(0), F.lit(COMMON_WORDS + 1)), "_found")).alias("_sorted"))
+    begins = F.array(*[F.array_position("_sorted", k).cast("int") for k in range(COMMON_WORDS + 2)])
     n = F.col("n_words")
-    hist = F.slice(F.array(*of), 1, F.size("ref_words"))
-    rows = rows.select("*", F.concat(hist, F.array(F.size("_found") - F.size(F.array_remove("_found", 0)))).alias("_hist"))
+    rows = rows.select("*", begins.alias("_begins"))
+    of = F.zip_with("_begins", F.slice("_begins", 2, COMMON_WORDS + 1), lambda a, b: b - a - 1)
+    rows = rows.select("*", of.alias("_of"))
+    rows = rows.select("*", F.concat(F.slice("_of", 2, F.size("ref_words")), F.slice("_of", 1, 1)).alias("_hist"))
     share = lambda counts, total: F.transform(counts, lambda c: c / F.greatest(total, F.lit(1)))
     rows = rows.select(
         "*",

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -48,6 +50,22 @@ def test_far_texts_go_and_clean_ones_stay(spark):
     assert rows[60].char_distance > 0.3 and rows[62].word_distance > 0.32
 
 
+def test_word_distance_counts_24_words(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(words, weights=range(40, 10, -1), k=120)) for _ in range(20)] + ["W5 w29 " * 60, "q " * 120, " ".join(words[16:24] * 15)]
+    rows = sorted(ql.quality_rules(documents(spark, texts, langs=["en"] * 22 + ["fr"]), scratch(spark)).collect())
+    for mine in (range(22), [22]):
+        pool = Counter(w for i in mine for w in texts[i].lower().split())
+        top = sorted(pool, key=lambda w: (-pool[w], w))[:24]
+        shares = lambda c: [x / c.total() for x in [*(c[w] for w in top), c.total() - sum(c[w] for w in top)]]
+        for i in mine:
+            p, q = shares(Counter(texts[i].lower().split())), shares(pool)
+            part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0
+            want = math.sqrt(abs(sum(part(a, b) + part(b, a) for a, b in zip(p, q, strict=True))) / 2)
+            assert abs(rows[i].word_distance - want) < 1e-9, i
+
+
 def test_divergence(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.5, 0.5], None)], "p array<double>, q array<double>")
     assert [r.d for r in rows.select(ql.divergence(F.col("p"), F.col("q")).alias("d")).collect()] == [1.0, 0.0, None]
