@@ -3,7 +3,8 @@
 A candidate is a run of key characters close after a sensitive word. Its
 novelty is what it adds to the compressed size of the code around it, with a
 zstandard dictionary of identifiers primed: a name seen around or elsewhere
-costs little, a key costs nearly its length.
+costs little, a key costs nearly its length. Strings of a key's shape are kept
+out of what primes, so that copies of a key don't hide it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ SENSITIVE = re.compile(r"passw|pwd|secret|token|api[ _-]?key|credential|bearer|a
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "api", "credential", "bearer", "authorization", "private", "access")
 LEAST_NOVEL = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_NOVEL},}}")
+_PIECE = re.compile(rf"[A-Za-z0-9]{{{LEAST_NOVEL},}}")
+_WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+_NOT_WORD = re.compile(r"[^aeiouy]+|.*[^aeiouy]{5}.*", re.IGNORECASE)
+#: A name has fewer runs of digits.
+KEY_DIGITS = 3
+#: The share of a string's letters and digits that stand in words from which it is a name and may prime.
+NAME_SHARE = 0.6
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,30}")
 #: A candidate starts within so many characters of the sensitive word's end.
 REACH = 80
@@ -59,9 +67,26 @@ def sensitive_ends(text: str) -> list[int]:
     return [m.end() for m in SENSITIVE.finditer(text)] if any(w in low for w in SENSITIVE_WORDS) else []
 
 
+def fits(value: str) -> bool:
+    """Whether a string has a candidate's length and two kinds of characters."""
+    return len(value) >= LEAST_NOVEL and sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]")) >= 2
+
+
+def like_key(value: str) -> bool:
+    """Whether a string fits a candidate's shape and isn't made of words (letters of one case, after a capital or not, with vowels)."""
+    words = sum(len(w) for w in _WORD.findall(value) if not _NOT_WORD.fullmatch(w))
+    return fits(value) and (words < NAME_SHARE * sum(c.isalnum() for c in value) or len(re.findall("[0-9]+", value)) >= KEY_DIGITS)
+
+
+def blanked(text: str) -> str:
+    """The text, as long as before, with spaces for strings like keys."""
+    blank = lambda m: " " * len(m[0]) if like_key(m[0]) else m[0]
+    return CANDIDATE.sub(lambda m: _PIECE.sub(blank, blank(m)), text)
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty) -> list[tuple[int, str, int]]:
     """Candidates after sensitive words, apart from spans that are already taken, of enough novelty."""
-    out, seen = [], set()
+    out, seen, plain = [], set(), None
     for end in sensitive_ends(text):
         for m in CANDIDATE.finditer(text, end, end + REACH + 4 * AROUND):
             s, e = m.start(), CANDIDATE.match(text, m.start()).end()
@@ -69,13 +94,15 @@ def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty) -> list[t
                 break
             value = text[s:e].lstrip("=.-/+_")
             # Right after the word, with nothing between, it is a longer name.
-            if s == end and len(value) == e - s or len(value) < LEAST_NOVEL or sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
+            if s == end and len(value) == e - s or not fits(value):
                 continue
             s = e - len(value)
             if s in seen or any(s < y and x < e for x, _, y in taken):
                 continue
             seen.add(s)
-            if novelty(text[max(0, s - AROUND) : s], value, text[e : e + AROUND]) >= NOVELTY:
+            plain = blanked(text) if plain is None else plain
+            around = plain.replace(value, " " * len(value)) if like_key(value) else plain
+            if novelty(around[max(0, s - AROUND) : s], value, around[e : e + AROUND]) >= NOVELTY:
                 out.append((s, "novel", e))
     return out
 
@@ -96,22 +123,28 @@ class Novelty:
 
 
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> bytes:
-    """The ``words`` most frequent identifiers around sensitive words in all texts, the most frequent last. A bounded size by its parameter."""
+    """The ``words`` identifiers around sensitive words in the most different texts, the most frequent last. A bounded size by its parameter.
+
+    Strings like keys, and what stands in them, are left out.
+    """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for text in rows["text"]:
-                found, upto = [], 0
-                for end in sensitive_ends(text):
+            for text, number in zip(rows["text"], rows["number"], strict=True):
+                found, upto = set(), 0
+                ends = sensitive_ends(text)
+                plain = blanked(text) if ends else text
+                for end in ends:
                     start = max(upto, end - AROUND)
                     upto = max(upto, min(len(text), end + AROUND))
-                    found += IDENTIFIER.findall(text, start, upto)
+                    found.update(IDENTIFIER.findall(plain, start, upto))
                 if found:
-                    yield pd.DataFrame({"word": found}).value_counts().rename("n").reset_index()
+                    yield pd.DataFrame({"word": list(found), "number": number})
 
     low = F.lower("text")
-    likely = docs.select("text").filter(reduce(lambda a, b: a | b, [low.contains(w) for w in SENSITIVE_WORDS]))
-    counts = likely.mapInPandas(near, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    likely = docs.select("text", F.xxhash64("text").alias("number")).filter(reduce(lambda a, b: a | b, [low.contains(w) for w in SENSITIVE_WORDS]))
+    # Each text counts once, however often it and the identifier in it repeat.
+    counts = likely.mapInPandas(near, "word string, number long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
     return " ".join(reversed(top)).encode()
 

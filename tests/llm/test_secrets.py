@@ -89,6 +89,19 @@ def test_novel_keys_and_plain_names(spark):
     assert all(r.n_novel == 0 for r in rows[1:])
 
 
+def test_copied_keys_are_found(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    same, twice, many = make(28), make(40), make(30, "0123456789ABCDEF")
+    texts = [f"the credential {same} of all"] * 10 + [f"the bearer {twice} and then the credential {twice} again"] + [f"host {i} has the private key {many} too" for i in range(10)]
+    rows = sorted(sc.scan(documents(spark, texts)).collect())
+    for row, text in zip(rows, texts, strict=True):
+        key = next(k for k in (same, twice, many) if k in text)
+        assert row.n_novel == text.count(key), text
+        assert f"novel:{text.index(key)}:{text.index(key) + len(key)}" in row.spans.split(",")
+
+
 def test_no_rows_and_null_ids(spark):
     assert sc.scan(documents(spark, [])).collect() == []
     rows = sc.scan(documents(spark, ["token=abcdef"] * 2).selectExpr("cast(null as long) as doc_id", "text", "1 as spans")).collect()
