@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -158,12 +160,13 @@ def ema(losses: DataFrame, share: float = 0.4) -> DataFrame:
     A series is one training run, with as many rows as it has iterations.
     """
     by = W.partitionBy("series").orderBy("ts", "event_id")
-    so_far = F.collect_list("loss").over(by.rowsBetween(-EMA_REACH, 0))
+    so_far = F.collect_list("loss").over(by.rowsBetween(-ema_reach(share), 0))
     return losses.withColumn("ema", F.aggregate(so_far, F.lit(0.0), lambda a, x: (1 - share) * a + share * x))
 
 
-#: Rows back of which a running mean takes account: 0.6 ** 100 is under 1e-22 of the value.
-EMA_REACH = 100
+def ema_reach(share: float) -> int:
+    """Rows back of which a running mean takes account: what is left out weighs under 1e-17."""
+    return math.ceil(math.log(1e-17) / math.log1p(-share)) if 0 < share < 1 else 0
 
 
 def composite(fragments: DataFrame, background: float = 0.0, key: tuple[str, ...] = ("scene_id", "view_id", "pixel"), least: float = 1 / 255, most: float = 0.99, stop: float = 1e-4) -> DataFrame:

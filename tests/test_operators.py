@@ -133,3 +133,11 @@ def test_random_cloud(spark):
     a, b = (adapt.random_point_cloud(spark, 3000, seed=2).repartition(n).orderBy("point3d_id").toPandas() for n in (1, 5))
     pd.testing.assert_frame_equal(a, b)
     assert a[["x", "y", "z"]].abs().max().max() <= 1.3 and abs(a.x.mean()) < 0.06
+
+
+def test_ema_of_a_small_share_reaches_far(spark):
+    rows = spark.range(400).selectExpr("1L as series", "id as ts", "id as event_id", "if(id < 200, 5d, 1d) as loss")
+    want, got = 0.0, {r.event_id: r.ema for r in metrics.ema(rows, 0.01).collect()}
+    for i in range(400):
+        want = 0.99 * want + 0.01 * (5.0 if i < 200 else 1.0)
+        assert abs(got[i] - want) < 1e-9
