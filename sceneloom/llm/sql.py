@@ -88,16 +88,30 @@ FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
-def url_rules_sql(host_rules, pattern_rules, default: str, regex_of) -> str:
-    """Every rule on every URL: host rules by string comparison, pattern rules by regular expression."""
+#: What each pattern rule says, over ``t``, the lower-case host and tail, ``host``, and ``w``: t with a space for each separator and at both ends.
+_PATTERNS = {
+    "||spam-farm.": "starts_with(host, 'spam-farm.') OR contains(host, '.spam-farm.')",
+    "-spam.": "contains(t, '-spam.')",
+    "^casino^": "contains(w, ' casino ')",
+    "^poker^": "contains(w, ' poker ')",
+    "^adult^": "contains(w, ' adult ')",
+    "/wp-login.php": "contains(t, '/wp-login.php')",
+    "/cgi-bin/*.cgi^": "contains(t, '/cgi-bin/') AND regexp_matches(substr(t, strpos(t, '/cgi-bin/') + 9), '[.]cgi([^a-z0-9_%]|$)')",
+    "^phishing^": "contains(w, ' phishing ')",
+}
+
+
+def url_rules_sql(host_rules, pattern_rules, default: str) -> str:
+    """Every rule on every URL, by string comparison."""
     rows = ", ".join(f"('{r.verdict}', '{r.text[2:].partition('/')[0]}', '/{r.text[2:].partition('/')[2]}')" for r in host_rules)
-    pick = lambda v: " OR ".join(f"regexp_matches(host || tail, '{regex_of(r.text)}')" for r in pattern_rules if r.verdict == v) or "false"
+    pick = lambda v: " OR ".join(f"({_PATTERNS[r.text]})" for r in pattern_rules if r.verdict == v) or "false"
+    low = lambda x: f"translate({x}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     return f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {rows}),
 p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (
-  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-    substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail
+  SELECT r, page_id, {low("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {low("rest")} AS t,
+    ' ' || regexp_replace({low("rest")}, '[^a-z0-9_%]', ' ', 'g') || ' ' AS w
   FROM p
 ),
 fit AS (SELECT r, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r)

@@ -16,12 +16,23 @@ def plain(url):
     fits = [(len(h + p), h + p, v) for v, h, p in HOSTS if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    patterns = [r.verdict for r in ur.PATTERN_RULES if re.search(ur.regex_of(r.text), host + tail)]
-    return host, path, None, patterns[0] if patterns else "allow"
+    target = "".join(c.lower() if c.isascii() else c for c in host + tail)
+    parts = re.split("[^a-z0-9_%]", target)
+    cgi = target.partition("/cgi-bin/")[2]
+    blocked = (
+        host.startswith("spam-farm.")
+        or ".spam-farm." in host
+        or "-spam." in target
+        or {"casino", "poker", "adult", "phishing"} & set(parts)
+        or "/wp-login.php" in target
+        or any(not cgi[m.end() :] or cgi[m.end()] not in "abcdefghijklmnopqrstuvwxyz0123456789_%" for m in re.finditer(re.escape(".cgi"), cgi))
+    )
+    return host, path, None, "block" if blocked else "allow"
 
 
 URLS = [None, "", "no scheme", "http://", "http://com", "http://com/", "http://a.com/x", "https://EXAMPLE.com/en/1", "http://www.example.com/en/", "http://xexample.com/en/", "http://m.www.example.com/en/2?x#y", "http://a.net/es/", "http://a.net/es", "http://a.net/fr/1", "http://net.org/fr/"]
 URLS += ["http://spam-farm.example.org/a", "http://b.spam-farm.org", "http://x-spam.org/", "http://a.org/casino/1", "http://a.org/mycasino/1", "http://casino", "http://a.org/cgi-bin/run.cgi?x", "http://a.org/cgi-bin/run.cgis", "http://a.org/?q=phishing", "http://a.org?x=/wp-login.php", "x://y://com/", "http://a.com?/en/", "http://É.com/é", "http://a.org/\u212acasino/", "http://a.com/"]
+URLS += ["http://casino.org/", "http://www.casino.org/", "https://PHISHING.net", "http://adult.org?x", "http://a.org/CASINO/", "http://a.org/x-SPAM.html", "http://a.org/cgi-bin/a.cgis/b.CGI", "http://mycasino.org/", "http://a.org/pok%65r/poker", "http://a.org/\ncgi-bin/a\nb.cgi", "http://a.org/cgi-bin/a\nb.cgi", "http://example.com/EN/1"]
 
 
 def test_equals_plain(spark):
@@ -37,7 +48,7 @@ def test_every_fit_is_fetched_by_its_tokens():
         assert tokens
         for url in filter(None, URLS):
             host, path, *_ = plain(url)
-            if re.search(ur.regex_of(rule.text), host + path):
+            if re.search(ur.regex_of(rule.text), host + (path if rule.rank else path.lower())):
                 assert set(tokens) <= set(re.split("[^a-z0-9]+", "".join(c.lower() if c.isascii() else c for c in host + path)))
 
 
@@ -46,3 +57,10 @@ def test_rules_without_tokens_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a/azzb"), (1, "http://a/b"), (None, None)], "page_id long, url string")
     assert sorted(r.verdict for r in ur.judge(pages, scratch(spark), rules).collect()) == ["allow", "allow", "block"]
     assert ur.judge(pages.limit(0), scratch(spark)).collect() == []
+
+
+def test_rules_from_a_table(spark):
+    rules = spark.createDataFrame([*ur.HOST_RULES, *ur.PATTERN_RULES, ("block", "^CASINO^", None), ("allow", "^casino^", 0), (None, "^a^", 0), ("block", None, 0)], "verdict string, text string, rank int")
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rows = sorted(ur.judge(pages, scratch(spark), rules).collect())
+    assert [tuple(r)[1:] for r in rows] == [plain(u) for u in URLS]
