@@ -5,7 +5,9 @@ A document keeps a segment tree over its pre-tokens: leaves of up to
 An edit is found by going down the sums of characters; only the leaves it
 touches, one leaf before and as many after as it takes until old and new
 pre-tokens begin at the same place again are encoded anew, and the sums on
-the way up are updated.
+the way up are updated. No leaf is empty but the one of an empty text, and
+where leaves would grow or shrink too much the tree is laid out again from
+the leaves' sums.
 """
 
 from __future__ import annotations
@@ -60,6 +62,11 @@ class Tree:
     """Sums of characters and tokens over leaves, as one heap: node i has the children 2i and 2i+1."""
 
     def __init__(self, chars: np.ndarray, tokens: np.ndarray):
+        self._lay_out(chars, tokens)
+
+    def _lay_out(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        full = chars > 0
+        chars, tokens = (chars[full], tokens[full]) if full.any() else (chars[:1], tokens[:1])
         self.leaves = len(chars)
         self.width = 1 << max(0, self.leaves - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
@@ -100,12 +107,26 @@ class Tree:
             self.sums[node] += change
             node //= 2
 
+    def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
+        """Other leaves for those from ``first`` to ``last``. As many are put in place, else the tree is laid out again."""
+        if len(chars) == last - first + 1 and min(chars) > 0:
+            for leaf, (c, t) in enumerate(zip(chars, tokens, strict=True), first):
+                self.put(leaf, c, t)
+            return
+        old = self.sums[self.width : self.width + self.leaves]
+        self._lay_out(*np.concatenate([old[:first], np.array([chars, tokens], np.int64).T.reshape(-1, 2), old[last + 1 :], np.zeros((1, 2), np.int64)]).T)
+
     def size_of(self, leaf: int) -> int:
         return int(self.sums[self.width + leaf, 0])
 
 
-def edited(text: str, tree: Tree, counter: Counter, start: int, end: int, put: str) -> tuple[str, int]:
-    """The text with [start, end) replaced, and the characters that were split anew; the tree is updated."""
+def edited(text: str, tree: Tree, counter: Counter, start: int, end: int, put: str, size: int = LEAF) -> tuple[str, int]:
+    """The text with [start, end) replaced, and the characters that were split anew; the tree, of leaves of about ``size``, is updated.
+
+    Where a pre-token begins hangs on what follows alone. So all before one
+    stays if what it looked at stays: it looks no further than the next
+    pre-token and one character.
+    """
     new = text[:start] + put + text[end:]
     shift = len(new) - len(text)
     # The pre-token before the edit may reach into it, and what ends one looks one character ahead.
@@ -128,9 +149,12 @@ def edited(text: str, tree: Tree, counter: Counter, start: int, end: int, put: s
             break
         last, until = more, until + tree.size_of(more)
     pieces = pieces[: n + 1] if len(pieces) else []
-    cuts = np.linspace(0, len(pieces), last - first + 2).astype(int)
-    for leaf, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True), first):
-        tree.put(leaf, sum(map(len, pieces[i:j])), sum(counter[p] for p in pieces[i:j]))
+    had, needs = last - first + 1, -(-len(pieces) // size)
+    # Leaves of up to twice the size, or half of it, stay as many as they are.
+    into = had if had <= len(pieces) and needs <= 2 * had <= 4 * needs else needs
+    cuts = np.linspace(0, len(pieces), into + 1).astype(int)
+    runs = [pieces[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    tree.replace(first, last, [sum(map(len, r)) for r in runs], [sum(counter[p] for p in r) for r in runs])
     return new, until + shift - at
 
 
