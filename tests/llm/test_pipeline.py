@@ -1,19 +1,23 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from sceneloom.llm import decontaminate as dc
+from sceneloom.llm import simhash as sh
 
 from .helpers import SCHEMA
 from .test_decontaminate import plain_score
 from .test_quality import plain_counts, prose
-from .test_simhash import plain_fingerprint, reach
+from .test_simhash import groups_of
 
 
 def corpus():
     rng = random.Random(12)
     items = [prose(rng, 30) for _ in range(4)]
     texts = [prose(rng, rng.randint(80, 160)) for _ in range(120)]
-    leaked = [texts[0] + " " + items[0], items[1] + " " + texts[1], texts[2] + " " + " ".join(w if k % 9 else "edit" for k, w in enumerate(items[2].split()))]
+    own = [prose(rng, 100) for _ in range(3)]
+    leaked = [own[0] + " " + items[0], items[1] + " " + own[1], own[2] + " " + " ".join(w if k % 9 else "edit" for k, w in enumerate(items[2].split()))]
     copies = [texts[5], texts[5], texts[6] + " end", texts[7].upper()]
     junk = ["short one", None, "", "same words here " * 40, " ".join(w + "$$$" for w in texts[8].split())]
     return items, texts, leaked, copies, junk
@@ -40,8 +44,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert len(good) >= len(clean_ids) - 1
     by = {r[0]: r[1] for r in rows}
     kept = sorted(set(clean_ids))
-    least = reach(kept, [plain_fingerprint(by[i]) for i in kept], 3)
-    assert ids["near_dedup"] == sorted(set(least.values()))
+    wide = [sh.wide_fingerprint(by[i]) for i in kept]
+    most = sh.most_bits(0.8, 64 * sh.COPY_WORDS, 2)
+    least = groups_of(len(kept), [(a, b) for b in range(len(kept)) for a in range(b) if np.bitwise_count(wide[a] ^ wide[b]).sum() <= most])
+    assert len(set(least)) < len(kept) and ids["near_dedup"] == sorted({kept[k] for k in least})
     copied = {i for i in ids["near_dedup"] if any(plain_score(dc.words_in(item), dc.words_in(by[i])) >= dc.LEAST_SCORE for item in items)}
     assert {120, 121, 122} & set(ids["near_dedup"]) == copied
     assert ids["decontaminate"] == [i for i in ids["near_dedup"] if i not in copied]

@@ -101,3 +101,82 @@ def test_documents(spark):
 def test_trees_join_what_links():
     rows = pd.DataFrame({"fp": np.array([0, 1, 3, 1 << 20, 7 << 30], np.int64)})
     assert len(sh._trees(rows, 1)) == 3
+
+
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def copies(rng, n, cluster=0):
+    """Texts and near copies with up to one word in 30 changed, added or dropped; ``cluster`` copies of one text."""
+    new = lambda: f"w{rng.randrange(5000)}"
+    texts = [[new() for _ in range(rng.randint(60, 400))] for _ in range(n)]
+    out = [*texts]
+    for text in [*texts[: n // 2], *[texts[0]] * cluster]:
+        copy = []
+        for w in text:
+            kind = rng.random() * rng.choice([30, 60, 120, 240])
+            copy += [w] if kind > 1 else rng.choice([[new()], [w, new()], []])
+        out.append(copy)
+    return [" ".join(t) for t in out]
+
+
+def groups_of(n, links):
+    """Least index of each part of ``links``."""
+    root = list(range(n))
+    for a, b in links:
+        a, b = root[a], root[b]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_wide_fingerprints():
+    text = " ".join(f"w{i % 700}" for i in range(2000))
+    wide = sh.wide_fingerprint(text)
+    assert int(wide[0]) == sh.fingerprint(text, sh.COPY_WIDTH)
+    hashes = sh._hashed_again(sh._shingle_hashes(text, sh.COPY_WIDTH), sh.COPY_WORDS)
+    assert [int(w) for w in wide] == [int(sh._majority(h)) for h in hashes]
+    assert not sh.wide_fingerprint(None).any() and not sh.wide_fingerprint(" ").any()
+
+
+def test_near_copies_equal_all_pairs(spark):
+    rng = random.Random(21)
+    for few, block, cluster in ((sh.FEW, sh.BLOCK, 0), (4, 16, 60)):
+        texts = copies(rng, 120, cluster)
+        wide = [sh.wide_fingerprint(t) for t in texts]
+        most = sh.most_bits(sh.COPY_SIMILARITY, 64 * sh.COPY_WORDS, 2)
+        apart = lambda a, b: int(np.bitwise_count(wide[a] ^ wide[b]).sum())
+        pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+        near = {p for p in pairs if apart(*p) <= most}
+        same = {p for p in pairs if jaccard(shingles(texts[p[0]]), shingles(texts[p[1]])) >= 0.8}
+        assert len(same & near) >= 0.97 * len(same)
+        # Texts of one first word are one, and the least of their fingerprints stands for them.
+        one = {}
+        for i, w in enumerate(w.view(np.int64).tolist() for w in wide):
+            one[w[0]] = min(one.get(w[0], (w, i)), (w, i))
+        frame = spark.createDataFrame([(fp, w) for fp, (w, _) in one.items()], "fp long, wide array<long>")
+        keep = scratch(spark)
+        edges = sh.copy_links(frame, keep, few=few, block=block).collect()
+        at = {fp: i for fp, (_, i) in one.items()}
+        reached = groups_of(len(texts), near)
+        assert all(reached[at[e.a]] == reached[at[e.b]] for e in edges)
+        root = groups_of(len(texts), [(i, at[int(w.view(np.int64)[0])]) for i, w in enumerate(wide)] + [(at[e.a], at[e.b]) for e in edges])
+        # Balls of radius 1 around 24 segments: the worst pairs, at 0.8 and two deviations, meet nine times in ten.
+        assert len(same) > 40 and sum(root[a] == root[b] for a, b in same) >= 0.9 * len(same)
+        if few == sh.FEW:
+            kept = sh.one_of_each(documents(spark, texts), scratch(spark)).collect()
+            assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
+def test_one_of_each_edges(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = documents(spark, [None, "", long, long.upper(), long + " end", "a b", "A  b", "other words"])
+    docs = docs.unionByName(docs.filter("doc_id = 2")).unionByName(docs.filter("doc_id = 7").selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars")).withColumnRenamed("n_chars", "wide")
+    rows = sh.one_of_each(docs, scratch(spark)).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 2, 5, 7] and rows[0].asDict().keys() == {"doc_id", "text", "lang", "source", "wide"}
+    assert sh.one_of_each(docs.limit(0), scratch(spark)).collect() == []
