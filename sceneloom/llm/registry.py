@@ -61,5 +61,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_rules": sql.url_rules_sql(url_rules.HOST_RULES, url_rules.PATTERN_RULES, url_rules.DEFAULT),
         "op6_quality_rules": sql.QUALITY_RULES,
-        "op8_mix_sources": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST_REPEATS, mixing.BLOCK, mixing.SEED),
+        "op8_mix_sources": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST_REPEATS, mixing.BLOCK, mixing.SEED, mixing.SHARDS),
     }

@@ -59,9 +59,10 @@ FROM f
 """
 
 
-def mixing_sql(weights, most: int, block: int, seed: str) -> str:
+def mixing_sql(weights, most: int, block: int, seed: str, shards: int) -> str:
     """All quotients of all sources ranked outright."""
     upto = lambda w: f"(base * ({w}) + {block} * ((({w}) // {block} * rest + off) // n) + ((({w}) // {block} + 1) * rest + off) // n * (({w}) % {block}) - (({w}) // {block} * rest + off) // n * (({w}) % {block}))"
+    picks = lambda j: f"(base * {j} + ({j} * rest + off) // n)"
     return f"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
@@ -76,15 +77,18 @@ level AS (SELECT any_value(total) - coalesce(sum(cap) FILTER (WHERE above), 0) A
 t AS (SELECT source, source_size, place, CASE WHEN above THEN cap::DOUBLE ELSE (weight * level.rest)::DOUBLE / level.shared::DOUBLE END AS target, total FROM held, level),
 q AS (SELECT place, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, place) AS r, total FROM (SELECT place, target, total, unnest(generate_series(0, (target // {block})::BIGINT + 2)) AS k FROM t WHERE target > 0)),
 seats AS (SELECT place, count(*) AS seats FROM q WHERE r <= (total + {block} - 1) // {block} GROUP BY place),
+house AS (SELECT t.place, s, count(*) FILTER (WHERE r <= ((t.total + {block} - 1) // {block}) * (s + 1) // {shards}) AS c FROM t CROSS JOIN (SELECT unnest(range({shards})) AS s) LEFT JOIN q ON q.place = t.place GROUP BY ALL),
+uptos AS (SELECT place, list(c ORDER BY s) AS upto FROM house GROUP BY place),
 n AS (SELECT *, greatest((source_size + {block} - 1) // {block}, 1) AS n FROM t LEFT JOIN seats USING (place)),
 b AS (
-  SELECT source, source_size, target, n, least(coalesce(seats, 0), {most} * n) // n AS base, least(coalesce(seats, 0), {most} * n) % n AS rest,
+  SELECT source, source_size, target, n, upto, least(coalesce(seats, 0), {most} * n) // n AS base, least(coalesce(seats, 0), {most} * n) % n AS rest,
     ('0x' || substr(md5('{seed}:' || coalesce(source, '-')), 1, 12))::BIGINT % n AS off
-  FROM n
+  FROM n JOIN uptos USING (place)
 ),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
-SELECT doc_id, p.size::BIGINT AS size, source_size, target, ({upto("(pos + p.size)")} - {upto("pos")})::BIGINT AS taken
-FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN len(list_filter(upto, lambda u: u <= {picks(f"(pos // {block})")})) END::INT AS first_shard,
+  CASE WHEN taken > 0 THEN len(list_filter(upto, lambda u: u <= {picks(f"((pos + size + {block - 1}) // {block})")} - 1)) END::INT AS last_shard
+FROM (SELECT *, ({upto("(pos + size)")} - {upto("pos")})::BIGINT AS taken FROM (SELECT doc_id, p.size::BIGINT AS size, pos, source_size, target, n, upto, base, rest, off FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source))
 """
 
 

@@ -16,18 +16,22 @@ def plain_seats(targets, n):
 
 
 def test_seats_equal_one_by_one(spark):
-    for targets, n in [([5.0, 3.0, 1.0], 7), ([1.0] * 9, 4), ([100.0, 1.0, 1.0, 1.0, 0.0], 13), ([0.3, 0.3, 0.3], 100), ([7.0] + [0.4] * 30, 11), ([3.0, 0.0], 0)]:
+    for targets, n in [([5.0, 3.0, 1.0], 7), ([1.0] * 9, 4), ([100.0, 1.0, 1.0, 1.0, 0.0], 13), ([0.3, 0.3, 0.3], 100), ([7.0] + [0.4] * 30, 11), ([3.0, 0.0], 0), ([0.0], 5)]:
         frame = spark.createDataFrame(list(enumerate(targets)), "place long, target double")
-        rows = sorted(mx.seats(frame, n).collect())
-        assert [r.seats for r in rows] == plain_seats(targets, n), (targets, n)
+        houses = sorted({0, n // 3, n // 2, n})
+        rows = mx.seats_at(frame, houses).collect()
+        for k, h in enumerate(houses):
+            want = plain_seats(targets, h) if any(targets) else [0]
+            assert [r.seats for r in sorted(r for r in rows if r.house == k)] == want, (targets, h)
 
 
 def test_shard_quotas_add_up(spark):
     frame = spark.createDataFrame(list(enumerate([50.0, 30.0, 9.0])), "place long, target double")
-    rows = mx.shard_quotas(frame, 40, 4).collect()
-    assert all(r.quota >= 0 for r in rows)
-    assert [sum(r.quota for r in rows if r.shard == s) for s in range(4)] == [10] * 4
-    assert [sum(r.quota for r in rows if r.place == p) for p in range(3)] == plain_seats([50.0, 30.0, 9.0], 40)
+    rows = sorted(mx.shard_quotas(frame, 40, 4).collect())
+    assert all(q >= 0 for r in rows for q in r.quotas)
+    assert [sum(r.quotas[s] for r in rows) for s in range(4)] == [10] * 4
+    for s in range(4):
+        assert [r.upto[s] for r in rows] == [sum(r.quotas[: s + 1]) for r in rows] == plain_seats([50.0, 30.0, 9.0], 10 * (s + 1))
 
 
 def test_targets_stop_and_reshare(spark):
@@ -50,6 +54,7 @@ def test_mix(spark):
         mine = [r for r in rows if r.source == source]
         assert sum(r["size"] for r in mine) == mine[0].source_size
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 3 * mx.BLOCK
+    assert all((r.first_shard is None) == (r.taken == 0) and (r.taken == 0 or 0 <= r.first_shard <= r.last_shard < mx.SHARDS) for r in rows)
     again = {r.doc_id: r.taken for r in mx.mix(docs.repartition(2), scratch(spark)).collect()}
     assert again == {r.doc_id: r.taken for r in rows}
 
@@ -62,3 +67,41 @@ def test_edges(spark):
     assert sum(r.taken for r in mx.mix(same, scratch(spark)).collect()) == 9
     rows = mx.mixed_documents(same, scratch(spark)).collect()
     assert len(rows) == 3 and rows[0].target == "x"
+
+
+def test_picks_fill_the_shards_quotas(spark):
+    """Blocks picked one by one by plain code, and the shards that their picks go to."""
+    texts = ["w " * (i * 7 % 53) for i in range(200)]
+    docs = documents(spark, texts, [["a", "b", None][min(i % 5, 2)] for i in range(200)])
+    keep = scratch(spark)
+    rows = mx.mix(docs, keep, shards=5).collect()
+    quotas = {r.source: r for r in spark.read.parquet(keep.paths["quotas"]).collect()}
+    placed = spark.read.parquet(keep.paths["placed"]).collect()
+    for source, quota in quotas.items():
+        words = [r.doc_id for r in sorted((r for r in placed if r.source == source), key=lambda r: r["__before"]) for _ in range(r["size"])]
+        n, q, off = quota["__n"], quota["__q"], quota["__offset"]
+        picked = [b for b in range(n) for _ in range(q // n + ((b + 1) * (q % n) + off) // n - (b * (q % n) + off) // n)]
+        assert len(picked) == q == quota["__upto"][-1]
+        taken, shards = {}, {}
+        for k, b in enumerate(picked):
+            s = next(s for s, u in enumerate(quota["__upto"]) if k < u)
+            for d in words[b * mx.BLOCK : (b + 1) * mx.BLOCK]:
+                taken[d] = taken.get(d, 0) + 1
+                shards.setdefault(d, set()).add(s)
+        for r in rows:
+            if r.source == source:
+                assert r.taken == taken.get(r.doc_id, 0)
+                assert (r.first_shard, r.last_shard) == ((min(shards[r.doc_id]), max(shards[r.doc_id])) if r.doc_id in shards else (None, None))
+
+
+def test_whole_documents_come_to_the_targets(spark):
+    sizes = [i % 90 + 1 for i in range(600)] + [4000, 3000, 2500]
+    docs = documents(spark, ["w " * n for n in sizes], [["big", "mid", "few"][0 if i >= 600 or i % 2 else 1 + (i % 20 == 0)] for i in range(603)])
+    keep = scratch(spark)
+    rows = mx.mixed_documents(docs, keep).collect()
+    for r in spark.read.parquet(keep.paths["quotas"]).collect():
+        largest = max(sizes[d.doc_id] for d in docs.filter(F.col("source") == r.source).collect())
+        got = sum(sizes[x.doc_id] for x in rows if x.source == r.source)
+        assert abs(got - r.target) < 2 * largest + 2 * mx.BLOCK
+    alike = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert len(mx.mixed_documents(alike, scratch(spark)).collect()) > 300
