@@ -2,8 +2,8 @@
 
 The model mixes maximum-likelihood estimates of orders 1 to ``order`` with a
 uniform one. Its mixture weights depend on how often the context was seen
-(by powers of two) and are learned by expectation-maximisation on documents
-held out of the counts.
+(by powers of two) and are learned by expectation-maximisation on a fold of
+the training documents, each held out of the counts by deleting its own.
 
 Documents are packed into chunks of a few million tokens. A chunk sends the
 sorted, distinct hashes of its n-grams to buckets of the hash space, a row of
@@ -28,6 +28,10 @@ from .common import Scratch
 
 ORDER = 2
 FOLDS, HELD_OUT = 7, 2
+#: The training fold on which the weights are learned.
+WEIGHED = 3
+#: Kinds of documents: trained on, trained on and weighed, scored only.
+TRAIN, WEIGH, SCORE = 0, 1, 2
 CHUNK_TOKENS = 2_000_000
 #: N-grams that one bucket holds, about, before they are merged.
 BUCKET_KEYS = 1_000_000
@@ -36,9 +40,9 @@ BINS = 8
 LEAST_WEIGHT = 1e-6
 ROUNDS = 200
 
-_CHUNK = "chunk long, held boolean, doc_ids array<long>, lengths array<long>, words binary, ids binary"
-_KEYS = "gram int, bucket int, chunk long, held boolean, width int, keys binary, counts binary"
-_TOTALS = "gram int, bucket int, chunk long, held boolean, distinct long, totals binary"
+_CHUNK = "chunk long, kind int, doc_ids array<long>, lengths array<long>, words binary, ids binary"
+_KEYS = "gram int, bucket int, chunk long, kind int, width int, keys binary, counts binary"
+_TOTALS = "gram int, bucket int, chunk long, kind int, distinct long, totals binary"
 
 
 class _Numbers(dict):
@@ -47,33 +51,33 @@ class _Numbers(dict):
         return n
 
 
-def _packed(doc_ids: list, texts: list[list[int]], words: _Numbers, held: bool, number: int) -> pd.DataFrame:
+def _packed(doc_ids: list, texts: list[list[int]], words: _Numbers, kind: int, number: int) -> pd.DataFrame:
     ids = np.concatenate([np.asarray(t, np.uint32) for t in texts])
-    row = (number, held, doc_ids, [len(t) for t in texts], b" ".join(words), ids.tobytes())
-    return pd.DataFrame([row], columns=["chunk", "held", "doc_ids", "lengths", "words", "ids"])
+    row = (number, kind, doc_ids, [len(t) for t in texts], b" ".join(words), ids.tobytes())
+    return pd.DataFrame([row], columns=["chunk", "kind", "doc_ids", "lengths", "words", "ids"])
 
 
 def _chunks(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, made = TaskContext.get().partitionId(), 0
-        open_: dict[bool, tuple[list, list, _Numbers, list[int]]] = {}
+        open_: dict[int, tuple[list, list, _Numbers, list[int]]] = {}
         for rows in batches:
-            for doc_id, held, text in zip(rows["doc_id"], rows["held"], rows["text"], strict=True):
-                if held not in open_:
+            for doc_id, kind, text in zip(rows["doc_id"], rows["kind"], rows["text"], strict=True):
+                if kind not in open_:
                     # Word 0 is the end of a text; no word is empty.
-                    open_[held] = ([], [], _Numbers({b"": 0}), [0])
-                ids, texts, words, tokens = open_[held]
+                    open_[kind] = ([], [], _Numbers({b"": 0}), [0])
+                ids, texts, words, tokens = open_[kind]
                 numbers = [words[w] for w in text.encode("utf-8", "surrogatepass").lower().split()]
                 numbers.append(0)
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 texts.append(numbers)
                 tokens[0] += len(numbers)
                 if tokens[0] >= most:
-                    yield _packed(ids, texts, words, bool(held), (part << 32) + made)
-                    del open_[held]
+                    yield _packed(ids, texts, words, int(kind), (part << 32) + made)
+                    del open_[kind]
                     made += 1
-        for held, (ids, texts, words, _) in open_.items():
-            yield _packed(ids, texts, words, bool(held), (part << 32) + made)
+        for kind, (ids, texts, words, _) in open_.items():
+            yield _packed(ids, texts, words, int(kind), (part << 32) + made)
             made += 1
 
     return run
@@ -137,8 +141,8 @@ def _keys(order: int, bits: int):
                     out = []
                     for b in np.flatnonzero(np.diff(cuts)):
                         part = slice(cuts[b], cuts[b + 1])
-                        out.append((gram, int(b), row.chunk, row.held, *_put_keys(keys[part]), b"" if row.held else _narrow(counts[part]).tobytes()))
-                    yield pd.DataFrame(out, columns=["gram", "bucket", "chunk", "held", "width", "keys", "counts"])
+                        out.append((gram, int(b), row.chunk, row.kind, *_put_keys(keys[part]), b"" if row.kind == SCORE else _narrow(counts[part]).tobytes()))
+                    yield pd.DataFrame(out, columns=["gram", "bucket", "chunk", "kind", "width", "keys", "counts"])
 
     return run
 
@@ -151,15 +155,18 @@ def _sum_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     # bincount sums in doubles: whole numbers up to 2**53 stay whole.
     sums = np.bincount(back, np.concatenate(added), len(keys)).astype(np.uint64)
     ends = np.cumsum(sizes)
-    out = rows[["gram", "bucket", "chunk", "held"]].copy()
+    out = rows[["gram", "bucket", "chunk", "kind"]].copy()
     out["distinct"] = 0
     out.iloc[0, out.columns.get_loc("distinct")] = int((sums > 0).sum())
     out["totals"] = [_narrow(sums[back[e - n : e]]).tobytes() for n, e in zip(sizes, ends, strict=True)]
     return out
 
 
-def _per_token(row, order: int, bits: int, train_docs: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order the training count of the n-gram and of its context, at each token; where texts start."""
+def _per_token(row, order: int, bits: int, train_docs: int, deleted: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each order the training count of the n-gram and of its context, at each token; where texts start.
+
+    ``deleted`` leaves what a text itself added out of its counts.
+    """
     ids, lengths = _unpack(row)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     got: dict[int, list] = {k: [] for k in range(1, order + 1)}
@@ -171,16 +178,19 @@ def _per_token(row, order: int, bits: int, train_docs: int) -> tuple[list[np.nda
         cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
         parts = [np.frombuffer(data, f"<u{len(data) // int(cuts[b + 1] - cuts[b])}").astype(np.int64) for b, data in sorted(got[gram])]
         counts.append(np.concatenate(parts)[back])
+        if deleted:
+            _, same, own = np.unique(np.repeat(np.arange(len(lengths)), lengths) * len(keys) + back, return_inverse=True, return_counts=True)
+            counts[-1] = counts[-1] - own[same]
         if gram > 1:
             context = np.concatenate([[0], counts[gram - 2][:-1]])
-            context[starts] = train_docs
+            context[starts] = train_docs - deleted
             contexts.append(context)
     return counts, contexts, starts
 
 
-def _estimates(counts, contexts, tokens: int, distinct: int) -> list[np.ndarray]:
+def _estimates(counts, contexts, tokens: int | np.ndarray, distinct: int) -> list[np.ndarray]:
     uniform = np.full(len(counts[0]), 1.0 / (distinct + 1))
-    return [uniform, counts[0] / max(tokens, 1), *[c / np.maximum(x, 1) for c, x in zip(counts[1:], contexts, strict=True)]]
+    return [uniform, counts[0] / np.maximum(tokens, 1), *[c / np.maximum(x, 1) for c, x in zip(counts[1:], contexts, strict=True)]]
 
 
 def _level(counts, contexts) -> np.ndarray:
@@ -195,8 +205,10 @@ def _histogram(order: int, bits: int, train: tuple[int, int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for row in rows.itertuples():
-                counts, contexts, _ = _per_token(row, order, bits, docs)
-                bins = [np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * BINS), -1).astype(np.int64) for p in _estimates(counts, contexts, tokens, distinct)[1:]]
+                counts, contexts, _ = _per_token(row, order, bits, docs, deleted=True)
+                lengths = np.asarray(row.lengths, np.int64)
+                estimates = _estimates(counts, contexts, tokens - np.repeat(lengths, lengths), distinct)[1:]
+                bins = [np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-300)) * BINS), -1).astype(np.int64) for p in estimates]
                 cells, n = np.unique(np.stack([_level(counts, contexts), *bins]), axis=1, return_counts=True)
                 yield pd.DataFrame({"level": cells[0], "bins": list(cells[1:].T), "n": n})
 
@@ -233,7 +245,7 @@ def _score(order: int, bits: int, train: tuple[int, int, int], table: np.ndarray
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(row.doc_ids, "Int64"),
-                        "held_out": row.held,
+                        "held_out": row.kind == SCORE,
                         "n_tokens": np.asarray(row.lengths, np.int64),
                         "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), starts),
                         "train_tokens": tokens,
@@ -246,7 +258,7 @@ def _score(order: int, bits: int, train: tuple[int, int, int], table: np.ndarray
 
 
 def weight_table(learned: list, order: int) -> np.ndarray:
-    """Weights by level 0 to 63. Levels that no held-out token has take those of all (level -1), or equal ones.
+    """Weights by level 0 to 63. Levels that no weighed token has take those of all (level -1), or equal ones.
 
     Each weight is at least about LEAST_WEIGHT, so that no text is impossible.
     """
@@ -260,18 +272,21 @@ def score_documents(docs: DataFrame, scratch: Scratch, order: int = ORDER, held:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     ``held`` gives the boolean column of rows that don't train; the default
-    takes crc32 of the id as text, modulo 7, equal to 2. Null and empty texts
+    takes crc32 of the id as text, modulo 7, equal to 2. Of those that train
+    the fold 3 gives the mixture weights; without any the weights are equal.
+    Rows that don't train change no other row's score. Null and empty texts
     are one token, the end; a null id counts as an empty text and trains.
     Repeated rows train and are scored each. Without training rows every
     estimate but the uniform one is 0; an empty table gives no rows.
     N-grams are told apart by 64-bit hashes.
     """
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    out_of = held(docs) if held else F.crc32(number.cast("binary")) % FOLDS == HELD_OUT
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out_of.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    fold = F.crc32(number.cast("binary")) % FOLDS
+    kind = F.when(held(docs) if held else fold == HELD_OUT, SCORE).when(fold == WEIGHED, WEIGH).otherwise(TRAIN)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = scratch.keep(rows.mapInPandas(_chunks(chunk_tokens), _CHUNK), "chunks")
     length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    train_docs, tokens, all_tokens = chunks.agg(F.sum(F.when(~F.col("held"), F.size("lengths"))), F.sum(F.when(~F.col("held"), length)), F.sum(length)).first()
+    train_docs, tokens, all_tokens = chunks.agg(F.sum(F.when(F.col("kind") < SCORE, F.size("lengths"))), F.sum(F.when(F.col("kind") < SCORE, length)), F.sum(length)).first()
     train_docs, tokens = train_docs or 0, tokens or 0
     bits = max(6, (order * (all_tokens or 0) // bucket_keys).bit_length())
     keys = chunks.mapInPandas(_keys(order, bits), _KEYS)
@@ -283,7 +298,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, order: int = ORDER, held:
         mine = totals.groupBy("chunk").agg(F.collect_list(F.struct("gram", "bucket", "totals")).alias("totals"))
         return chunks.join(mine, "chunk")
 
-    cells = answered(chunks.filter("held"), totals.filter("held")).mapInPandas(_histogram(order, bits, train), "level long, bins array<long>, n long")
+    cells = answered(chunks.filter(F.col("kind") == WEIGH), totals.filter(F.col("kind") == WEIGH)).mapInPandas(_histogram(order, bits, train), "level long, bins array<long>, n long")
     cells = scratch.keep(cells.groupBy("level", "bins").agg(F.sum("n").alias("n")), "cells")
     pooled = cells.groupBy("bins").agg(F.sum("n").alias("n")).select(F.lit(-1).cast("long").alias("level"), "bins", "n")
     # At most 65 rows: one for each binary length of a count, and one for all.

@@ -56,6 +56,50 @@ def test_equals_plain_counters(spark, monkeypatch, order):
         assert tuple(got)[:5] == exp[:5]
         assert tuple(got)[5:] == pytest.approx(exp[5:], rel=1e-9)
     assert np.allclose(seen["w"].sum(1), 1)
+    assert np.allclose(seen["w"], plain_weights(texts, order), atol=1e-3)
+
+
+def plain_weights(texts, order):
+    """Expectation-maximisation token by token, on probabilities rounded to an eighth of a power of two, with the text's own counts deleted."""
+    fold = [zlib.crc32(str(i).encode()) % 7 for i in range(len(texts))]
+    padded = lambda t, k: [b"<s>"] * (k - 1) + tokens(t)
+    own = [{k: Counter(tuple(p[i : i + k]) for p in [padded(t, k)] for i in range(len(p) - k + 1)) for k in range(1, order + 1)} for t in texts]
+    grams = {k: sum((o[k] for o, f in zip(own, fold, strict=True) if f != 2), Counter()) for k in range(1, order + 1)}
+    n, v, cells = sum(grams[1].values()), len(grams[1]), {}
+    for i, t in enumerate(texts):
+        if fold[i] != 3:
+            continue
+        left = {k: grams[k] - own[i][k] for k in grams}
+        context = {k: Counter() for k in grams}
+        for k in grams:
+            for g, c in left[k].items():
+                context[k][g[:-1]] += c
+        for j in range(len(tokens(t))):
+            g = {k: tuple(padded(t, k)[j : j + k]) for k in grams}
+            p = [1 / (v + 1), left[1][g[1]] / max(n - len(tokens(t)), 1)] + [left[k][g[k]] / max(context[k][g[k][:-1]], 1) for k in range(2, order + 1)]
+            p = [p[0]] + [2.0 ** (-round(-math.log2(x) * 8) / 8) if x else 0.0 for x in p[1:]]
+            seen = context[order][g[order][:-1]] if order > 1 else 0
+            cells.setdefault(seen.bit_length(), []).append(p)
+    cells[-1] = [p for ps in cells.values() for p in ps]
+    learned = []
+    for level, ps in cells.items():
+        p, w = np.array(ps), np.full(order + 1, 1 / (order + 1))
+        for _ in range(lm.ROUNDS):
+            share = p * w
+            w = (share / share.sum(1, keepdims=True)).mean(0)
+        learned.append({"level": level, "weights": w})
+    return WEIGHTS(learned, order)
+
+
+WEIGHTS = lm.weight_table
+
+
+def test_held_out_rows_change_no_other_score(spark):
+    texts = ["a b c d " * (i % 7 + 1) + f"x{i % 11}" for i in range(60)]
+    out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    other = ["z z z" if i == out[0] else t for i, t in enumerate(texts)]
+    one, two = ({r.doc_id: r.score for r in lm.score_documents(documents(spark, t), scratch(spark)).collect()} for t in (texts, other))
+    assert all(one[i] == two[i] for i in one if i != out[0]) and one[out[0]] != two[out[0]]
 
 
 def test_weights_help_held_out_text(spark):
