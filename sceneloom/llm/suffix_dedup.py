@@ -6,9 +6,9 @@ around it; so each such string holds a chosen place, the same one in each of
 its copies. Places whose bytes are found nowhere else drop out. Of the
 others the bytes around travel, once for each different context, to buckets
 cut by sampled splitters on the leading bytes; a bucket's suffixes are sorted
-by 8 bytes at a time, the lengths shared with the neighbours to the right
-and, sorted backwards, to the left tell which strings around a place are
-found again. Splitters never part suffixes with equal leading ``GRAM``
+by multikey quicksort, 8 bytes a key, the lengths shared with the neighbours
+to the right and, sorted backwards, to the left tell which strings around a
+place are found again. Splitters never part suffixes with equal leading ``GRAM``
 bytes, so no shared string lies across a boundary.
 """
 
@@ -30,7 +30,7 @@ from .common import Scratch
 LENGTH = 200
 GRAM = 80
 #: Different contexts of one gram that one task compares; with more, each string around a place is hashed and counted by Spark.
-HOT = 100_000
+HOT = 4_000
 #: Texts with repeated places whose keys may be broadcast to the scan; beyond, all texts are shuffled.
 BROADCAST_TEXTS = 500_000
 _BATCH = 1 << 20
@@ -127,10 +127,43 @@ def _contexts(length: int, gram: int):
     return lambda batches: _frames(each(batches), {"a": "int64", "b": "int64", "pos": "int64", "left": "int32", "gram": "int64", "ctx": "object"})
 
 
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """The order of rows of big-endian words, by multikey quicksort; equal rows keep their order.
+
+    A segment of rows that agree so far is parted by one word into those
+    less than, equal to and greater than a pivot; the equal ones go on with
+    the next word, the others with the same. All segments are parted at a
+    time; one of a single row, or past its last word, is done.
+    """
+    n, width = words.shape
+    order = np.arange(n)
+    # Where each segment that isn't done begins, its length and the word that parts it.
+    begin, length, depth = (np.array([x], np.int64) for x in (0, n, 0))
+    if not width:
+        return order
+    while len(begin := begin[(keep := (length > 1) & (depth < width))]):
+        length, depth = length[keep], depth[keep]
+        segment = np.repeat(np.arange(len(begin)), length)
+        first = np.cumsum(length) - length
+        at = np.arange(len(segment)) - first[segment] + begin[segment]
+        value = words[order[at], depth[segment]]
+        # The middle one of three is the pivot.
+        three = np.sort(np.stack([value[first], value[first + length // 2], value[first + length - 1]]), axis=0)[1]
+        pivot = three[segment]
+        part = (value > pivot).astype(np.int64) - (value < pivot) + 1
+        counts = np.bincount(segment * 3 + part, minlength=3 * len(begin))
+        # A stable place for each row: its part's begin and its number in it.
+        by = np.argsort(segment * 3 + part, kind="stable")
+        order[at] = order[at[by]]
+        begins = np.repeat(begin, 3) + (np.cumsum(counts) - counts - np.repeat(first, 3))
+        begin, length, depth = begins, counts, np.repeat(depth, 3)
+        depth[1::3] += 1
+    return order
+
+
 def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of zero-padded byte rows, and the bytes each shares with the one before it (-1 for the first)."""
-    words = rows.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
+    order = multikey_order(rows.view(">u8").astype(np.uint64))
     same = rows[order][1:] == rows[order][:-1]
     shared = np.where(same.all(1), rows.shape[1], same.argmin(1))
     return order, np.concatenate([[-1], shared])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sceneloom.llm import suffix_dedup as sd
 from sceneloom.llm.suffix_dedup import found_again, remove_repeats
 
 from .helpers import documents, scratch
@@ -56,3 +57,12 @@ def test_empty_table(spark):
 def test_one_context_has_no_other():
     low, high = found_again([b"x" * 20], np.array([5]), length=12, gram=6)
     assert high.tolist() == [-1]
+
+
+def test_multikey_quicksort_equals_a_plain_sort():
+    rng = np.random.default_rng(8)
+    for n, width, values in ((0, 3, 5), (1, 3, 5), (200, 1, 4), (500, 4, 2), (3000, 6, 3), (3000, 3, 1 << 40), (400, 5, 1)):
+        words = rng.integers(0, values, (n, width)).astype(np.uint64)
+        order = sd.multikey_order(words)
+        assert [tuple(w) for w in words[order]] == sorted(map(tuple, words)) and (order == np.lexsort(words.T[::-1])).all()
+    assert (sd.multikey_order(np.arange(5000, dtype=np.uint64)[::-1, None]) == np.arange(5000)[::-1]).all()
