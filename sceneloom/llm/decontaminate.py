@@ -3,7 +3,8 @@
 The words of an item's rarest 3-grams, by the number of documents that hold
 them, seed the search; where a document has one, the passage around it is
 aligned with the item word by word, so that edited copies score nearly as
-high as exact ones. Items go to the scan in blocks of a bounded size.
+high as exact ones. Items of few words are sought as they are, word for word.
+Items go to the scan in blocks of a bounded number of words.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ SEED_SHARE, LEAST_SEEDS = 0.75, 24
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score, as a share of the item's score with itself, from which a passage counts as a copy.
 LEAST_SCORE = 0.5
-#: Shorter items are not sought: any text may hold so few words.
+#: Shorter items count as copied only where all their words stand in a row.
 LEAST_WORDS = 8
-#: Items of one block: what one pass over the documents carries.
-BLOCK_ITEMS = 20_000
+#: Words of the items of one block: what one pass over the documents carries, and what the driver holds at a time.
+BLOCK_WORDS = 1_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"\w+")
 
 
@@ -43,8 +45,14 @@ class Items:
     def __init__(self, texts: list[str]):
         self.numbers: dict[str, int] = {}
         self.words = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words_in(t)], np.int64) for t in texts]
+        #: For each length under LEAST_WORDS, items by the hash of their words.
+        self.short: dict[int, dict[int, list[int]]] = {}
         at = defaultdict(list)
         for i, w in enumerate(self.words):
+            if len(w) < LEAST_WORDS:
+                if len(w):
+                    self.short.setdefault(len(w), defaultdict(list))[int(_rolled(w, len(w))[0])].append(i)
+                continue
             for q, key in enumerate(self._keys(w).tolist()):
                 at[key].append((i, q))
         self.keys = np.array(sorted(at), np.int64)
@@ -87,6 +95,27 @@ class Items:
         return chosen
 
 
+def _rolled(w: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each ``length`` words in a row."""
+    n = len(w) - length + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(length if n > 0 else 0):
+        out = (out ^ (w[k : n + k] + 2).astype(np.uint64)) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def short_copies(w: np.ndarray, items: Items) -> list[tuple[int, float, int, int]]:
+    """The short items that stand in the words ``w`` as a whole, each at its first place."""
+    out = []
+    for length, by in items.short.items():
+        keys, first = np.unique(_rolled(w, length), return_index=True)
+        for k in np.flatnonzero(np.isin(keys, np.fromiter(by, np.uint64, len(by)))):
+            p = int(first[k])
+            out += [(i, 1.0, p, p + length) for i in by[int(keys[k])] if (w[p : p + length] == items.words[i]).all()]
+    return out
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment: its score, and the end in ``passage``. Of equal ones the first end."""
     steps = np.arange(len(passage) + 1) * -GAP
@@ -110,11 +139,9 @@ def copies_in(text: str, items: Items, seeds: np.ndarray, least: float = LEAST_S
     for p, k in zip(place[keep].tolist(), index[keep].tolist(), strict=True):
         for i, q in items.at[k]:
             starts[i].add(p - q)
-    out = []
+    out = short_copies(w, items) if items.short else []
     for i, found in sorted(starts.items()):
         item = items.words[i]
-        if len(item) < LEAST_WORDS:
-            continue
         slack, best = len(item) // 3 + 3, (0, 0, 0)
         runs: list[list[int]] = []
         for s in sorted(found):
@@ -150,19 +177,20 @@ def _counted(docs: DataFrame, items: Items) -> dict[int, int]:
     return {r.k: r.n for r in text.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
 
 
-def blocks_of(benchmark: DataFrame, most: int = BLOCK_ITEMS) -> Iterator[list[str]]:
-    """The different item texts, in blocks of about ``most``, each gathered only when its turn comes."""
+def blocks_of(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[str]]:
+    """The different item texts, in blocks of about ``most`` words, each gathered only when its turn comes."""
     texts = benchmark.select("text").filter(F.col("text").isNotNull()).distinct()
-    n = -(-texts.count() // most)
+    words = texts.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    n = -(-words // most)
     for k in range(n):
         yield sorted(r.text for r in texts.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block: int = BLOCK_ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, score, start_word and end_word: the best passage for each item that a row of ``docs`` copies.
 
-    Null and empty texts match nothing, nor do items of under LEAST_WORDS
-    words. Items of equal text match alike; so do repeated rows, each with
+    Null and empty texts match nothing, nor do items without words; items of
+    under LEAST_WORDS words match where they stand as a whole. Items of equal text match alike; so do repeated rows, each with
     rows of its own. Of passages with equal scores the first counts.
     """
     schema = "doc_id long, item string, score double, start_word long, end_word long"
@@ -190,7 +218,7 @@ def _free(items: Items, seeds: np.ndarray, least: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block: int = BLOCK_ITEMS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, block: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that copy no item of ``benchmark``, with all their columns."""
     for texts in blocks_of(benchmark, block):
         items = Items(texts)

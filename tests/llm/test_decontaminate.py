@@ -29,24 +29,27 @@ def edit(rng, text, share):
 
 def test_equals_alignment_of_all_with_all(spark):
     rng = random.Random(21)
-    items = [prose(rng, rng.randint(8, 50)) for _ in range(12)] + ["too short", None, ""]
+    items = [prose(rng, rng.randint(8, 50)) for _ in range(12)] + ["too Short", "one", "a b c, d e f g", None, "", " . "]
     items.append(items[0])
     texts = [prose(rng, rng.randint(1, 120)) for _ in range(50)]
     for k in range(60):
         texts.append(f"{prose(rng, 40)} {edit(rng, items[k % 12], rng.choice([0, 0.1, 0.25, 0.5]))} {prose(rng, 20)}")
-    texts += [items[1] + " " + items[2], items[3].upper().replace(" ", ", "), " ".join(items[4].split()[: len(items[4].split()) * 2 // 3]), None, "", items[5], items[5]]
+    texts += [items[1] + " " + items[2], items[3].upper().replace(" ", ", "), " ".join(items[4].split()[: len(items[4].split()) * 2 // 3]), None, "", items[5], items[5], "it is TOO. short", "too very short", "A b c d e f G h a b c d e f g", "a b c d e f", "one"]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in dc.matches(documents(spark, texts), benchmark).collect()}
     want = {}
     for i, item in enumerate(items):
         words = dc.words_in(item)
         for d, text in enumerate(texts):
-            if len(words) >= dc.LEAST_WORDS and (s := plain_score(words, dc.words_in(text))) >= dc.LEAST_SCORE:
+            if len(words) < dc.LEAST_WORDS:
+                if words and any(dc.words_in(text)[k : k + len(words)] == words for k in range(len(dc.words_in(text)))):
+                    want[d, i] = 1.0
+            elif (s := plain_score(words, dc.words_in(text))) >= dc.LEAST_SCORE:
                 want[d, i] = s
     # A copy so edited that none of its seeds is left can't be found.
     assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert len(got) >= 0.9 * len(want) and {k for k, s in want.items() if s >= 0.6} <= set(got)
-    blocks = {(r.doc_id, r.item_id): r.score for r in dc.matches(documents(spark, texts), benchmark, block=5).collect()}
+    blocks = {(r.doc_id, r.item_id): r.score for r in dc.matches(documents(spark, texts), benchmark, block=60).collect()}
     assert {k for k, s in want.items() if s >= 0.6} <= set(blocks)
     free = {r.doc_id for r in dc.clean(documents(spark, texts).withColumn("score", F.lit(1)), benchmark).collect()}
     assert free == set(range(len(texts))) - {d for d, _ in got}
