@@ -102,6 +102,74 @@ def test_copied_keys_are_found(spark):
         assert f"novel:{text.index(key)}:{text.index(key) + len(key)}" in row.spans.split(",")
 
 
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "HEX": "0123456789ABCDEF",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+}
+SENTENCES = ["the private key {} opens host {}", "sent as bearer {} to gate {}", "a credential {} for user {}", "access key {} of region {}", "authorization header {} number {}"]
+
+
+def planted(seed, each=3):
+    """(copies, alphabet, key) of random keys of 20 to 48 characters, and texts that hold each in 1 to 5 different sentences."""
+    rng, keys, texts = random.Random(seed), [], []
+    for copies in range(1, 6):
+        for name, letters in ALPHABETS.items():
+            for length in (20, 28, 40, 48):
+                for _ in range(each):
+                    key = "".join(rng.choice(letters) for _ in range(length))
+                    keys.append((copies, name, key))
+                    texts += [(rng.choice(SENTENCES).format(key, rng.randrange(1000)), key) for _ in range(copies)]
+    return keys, texts
+
+
+PLAIN = ["getUserAccessTokenFromHeader", "authenticationServiceConfiguration", "privateKeyPasswordCallback", "DEFAULT_CREDENTIAL_PROVIDER_CHAIN", "spring.security.oauth2.client", "com.example.credentials.ProviderFactory", "token_bucket_rate_limiter_v2"]
+
+
+def plain_novel(text, dictionary):
+    """Candidates by hand: key characters soon after a sensitive word, each priced alone."""
+    taken, found = [(s, e) for s, _, e in plain_spans(text)], {}
+    price = sc.Novelty(dictionary)
+    blank = sc.blanked(text)
+    for end in [m.end() for m in sc.SENSITIVE.finditer(text)]:
+        i = end
+        while i < len(text) and i <= end + sc.REACH:
+            k = i
+            while k < len(text) and is_key(text[k]):
+                k += 1
+            if k - i >= sc.LEAST_NOVEL:
+                s = next(j for j in range(i, k + 1) if j == k or text[j] not in "=.-/+_")
+                value = text[s:k]
+                if sc.fits(value) and not (s == i == end) and not any(s < b and a < k for a, b in taken):
+                    around = blank.replace(value, " " * len(value)) if sc.like_key(value) else blank
+                    found[s] = (k, price(around[max(0, s - sc.AROUND) : s], value, around[k : k + sc.AROUND]))
+            i = max(k, i + 1)
+    return [(s, e) for s, (e, p) in sorted(found.items()) if p >= sc.NOVELTY]
+
+
+def test_planted_keys_are_found_at_each_number_of_copies(spark):
+    keys, texts = planted(31)
+    names = [(s.format(n, k), None) for n in PLAIN for s in SENTENCES for k in range(4)]
+    docs = documents(spark, [t for t, _ in texts + names])
+    dictionary = sc.identifier_dictionary(docs)
+    rows = sorted(sc.scan(docs, dictionary).collect())
+    hits = {}
+    for row, (text, key) in zip(rows, texts + names, strict=True):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("novel")]
+        assert spans == plain_novel(text, dictionary)
+        hits.setdefault(key, []).append(bool(spans) if key is None else (text.index(key), text.index(key) + len(key)) in spans)
+    for copies in range(1, 6):
+        mine = [all(hits[k]) for c, _, k in keys if c == copies]
+        assert sum(mine) >= 0.95 * len(mine), copies
+    for name in ALPHABETS:
+        mine = [all(hits[k]) for _, n, k in keys if n == name]
+        assert sum(mine) >= 0.9 * len(mine), name
+    # One name of seven costs just the limit in one of the sentences.
+    assert sum(hits[None]) <= 0.03 * len(hits[None])
+
+
 def test_no_rows_and_null_ids(spark):
     assert sc.scan(documents(spark, [])).collect() == []
     rows = sc.scan(documents(spark, ["token=abcdef"] * 2).selectExpr("cast(null as long) as doc_id", "text", "1 as spans")).collect()
