@@ -34,8 +34,12 @@ COPY_WIDTH, COPY_SIMILARITY = 5, 0.8
 COPY_WORDS, COPY_CUT = 8, 21
 #: Table entries under one key that are compared row by row; keys with more go in blocks.
 FEW = 32
+#: The same for near copies: a crowded key's complete fingerprints are compared, so that fewer pairs come about that aren't near.
+COPY_FEW = 16
 #: Fingerprints in a block of a crowded key.
 BLOCK = 1024
+#: Fingerprints with a common segment that meet for the first links.
+BUCKET = 8
 #: Crowded keys that may be broadcast to the lookups; beyond, the join shuffles.
 BROADCAST_KEYS = 100_000
 _HASHES_AT_ONCE = 1 << 16
@@ -111,18 +115,19 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, carry: list[str] | None =
 
 
 def _keys(fps: DataFrame, words: list[Column], cut: int) -> tuple[DataFrame, DataFrame]:
-    """(fp, key) of the table, and of the lookups one set bit away. A key is the segment's number and value."""
+    """(fp, key) of the table, and of the lookups one set bit away, with ``root`` if there is one. A key is the segment's number and value."""
+    own = [c for c in ("fp", "root") if c in fps.columns]
     mask = F.lit((1 << cut) - 1).cast("long")
     values = [F.shiftrightunsigned(w, cut * j).bitwiseAND(mask) for w in words for j in range(64 // cut)]
-    table = fps.select("fp", F.explode(F.array(*[v + F.lit(k << cut).cast("long") for k, v in enumerate(values)])).alias("key"))
+    table = fps.select(*own, F.explode(F.array(*[v + F.lit(k << cut).cast("long") for k, v in enumerate(values)])).alias("key"))
     masks = F.array(*[F.lit(1 << b).cast("long") for b in range(cut)])
     unset = F.filter(masks, lambda m: F.col("key").bitwiseAND(m) == 0)
-    lookups = table.select("fp", F.explode(F.transform(unset, lambda m: F.col("key") + m)).alias("key"))
+    lookups = table.select(*own, F.explode(F.transform(unset, lambda m: F.col("key") + m)).alias("key"))
     return table, lookups
 
 
 def _trees(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Edges that join what can reach another within one pair of blocks: a tree for each part, not all pairs."""
+    """Edges that join what can reach another within one pair of blocks: a tree for each part, not all pairs; between ``root`` if there is one."""
     rows = rows.drop_duplicates("fp").sort_values("fp")
     fps = rows["fp"].to_numpy(np.int64)
     wide = np.stack(rows["wide"].to_list()).astype(np.int64) if "wide" in rows else fps[:, None]
@@ -130,6 +135,7 @@ def _trees(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     for word in wide.view(np.uint64).T:
         apart += np.bitwise_count(word[:, None] ^ word[None, :])
     near = apart <= bits
+    roots = rows["root"].to_numpy(np.int64) if "root" in rows else fps
     left, out = np.ones(len(fps), bool), []
     for i in range(len(fps)):
         if not left[i]:
@@ -139,22 +145,24 @@ def _trees(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
         while len(edge):
             edge = np.flatnonzero(near[edge].any(0) & left)
             left[edge] = False
-            out += [(fps[j], fps[i]) for j in edge]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            out += [(roots[j], roots[i]) for j in edge if roots[j] != roots[i]]
+    return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
 
 
 def _fetched(table: DataFrame, lookups: DataFrame, scratch: Scratch, near: Callable[[Column, Column], Column], few: int, block: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a, b) that meet under a key with up to ``few`` table entries and are ``near``; and crowded keys' rows, dealt (key, i, j, fp) for pairs of blocks.
 
-    A crowded key is dealt into blocks of table entries and lookups alike;
-    each pair of blocks is one group.
+    Rows of one ``root``, if they have such a column, are joined already and
+    don't meet. A crowded key is dealt into blocks of table entries and
+    lookups alike; each pair of blocks is one group.
     """
     crowded = scratch.keep(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("key"), "crowded")
     n = crowded.count()
     those = F.broadcast(crowded) if n <= BROADCAST_KEYS else crowded
     rows = table.withColumn("own", F.lit(True)).unionByName(lookups.withColumn("own", F.lit(False)))
-    entries = (table.join(those, "key", "left_anti") if n else table).select("key", F.col("fp").alias("other"))
-    pairs = rows.join(entries, "key").filter(near(F.col("fp"), F.col("other")) & ((F.col("fp") > F.col("other")) | ~F.col("own"))).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    entries = (table.join(those, "key", "left_anti") if n else table).select("key", F.col("fp").alias("other"), *([F.col("root").alias("its")] if "root" in table.columns else []))
+    apart = F.col("root") != F.col("its") if "root" in table.columns else F.lit(True)
+    pairs = rows.join(entries, "key").filter(apart & near(F.col("fp"), F.col("other")) & ((F.col("fp") > F.col("other")) | ~F.col("own"))).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if not n:
         return pairs, None
     rows = scratch.keep(rows.join(those, "key", "left_semi").select("key", "fp"), "crowded_rows")
@@ -179,23 +187,50 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = MAX_BITS, few: int = FEW
     return pairs.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(lambda rows: _trees(rows, bits), "a long, b long"))
 
 
-def copy_links(fps: DataFrame, scratch: Scratch, similarity: float = COPY_SIMILARITY, words: int = COPY_WORDS, cut: int = COPY_CUT, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) over distinct ``fp`` (fp, wide) whose complete fingerprints differ in the bits of ``similarity``, or few more.
+def _apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def first_links(fps: DataFrame, most: int, at_hand: int, words: int = COPY_WORDS, cut: int = COPY_CUT, bucket: int = BUCKET) -> DataFrame:
+    """Some of the links (a, b), a few for each fingerprint, that already join most of a large group.
+
+    Those that share the first segment of a word are dealt into buckets of
+    about ``bucket``, and only these meet, however many share it.
+    """
+    mask = F.lit((1 << cut) - 1).cast("long")
+    firsts = [F.get("wide", F.lit(k)).bitwiseAND(mask) + F.lit(k << cut).cast("long") for k in range(words)]
+    table = fps.select("fp", F.explode(F.array(*firsts)).alias("key"))
+    buckets = table.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / bucket).alias("n"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    dealt = table.join(buckets, "key").select("fp", "key", F.pmod(F.xxhash64("fp", "key"), F.col("n")).alias("part"))
+    other = dealt.select(F.col("fp").alias("b"), "key", "part")
+    met = dealt.join(other, ["key", "part"]).filter((F.col("fp") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= at_hand))
+    side = lambda c: fps.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"))
+    pairs = met.select(F.col("fp").alias("a"), "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    return pairs.filter(_apart("wide_a", "wide_b") <= most).select("a", "b")
+
+
+def copy_groups(fps: DataFrame, scratch: Scratch, similarity: float = COPY_SIMILARITY, words: int = COPY_WORDS, cut: int = COPY_CUT, few: int = COPY_FEW, block: int = BLOCK) -> DataFrame:
+    """(fp, root) for each distinct ``fp`` (fp, wide): the least one that is reached by links of complete fingerprints that differ in the bits of ``similarity``, or few more.
 
     Two standard deviations above the bits expected at that similarity count
-    as near. A pair that shares a segment's ball is held against the one word
-    at hand first, then against all.
+    as near. First links join most of a large group, by few for each member.
+    Then pairs that share a segment's ball and aren't joined yet are
+    held against the one word at hand, and those that pass against all; what
+    links groups is told once for each pair of groups.
     """
-    most, at_hand = most_bits(similarity, 64 * words, 2), most_bits(similarity, 64, 4)
+    most, at_hand = most_bits(similarity, 64 * words, 2), most_bits(similarity, 64, 2.5)
+    first = components(first_links(fps, most, at_hand, words, cut), scratch).withColumnRenamed("node", "fp")
+    fps = scratch.keep(fps.join(first, "fp", "left").select("fp", "wide", F.coalesce("root", "fp").alias("root")), "first")
     table, lookups = _keys(fps, [F.get("wide", F.lit(k)) for k in range(words)], cut)
     pairs, dealt = _fetched(table, lookups, scratch, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= at_hand, few, block)
-    side = lambda c: fps.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"))
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b")
-    if dealt is None:
-        return near
-    dealt = dealt.join(fps.select("fp", "wide"), "fp")
-    return near.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(lambda rows: _trees(rows, most), "a long, b long"))
+    side = lambda c: fps.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("root").alias(f"root_{c}"))
+    met = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    near = met.filter(_apart("wide_a", "wide_b") <= most).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    if dealt is not None:
+        dealt = dealt.join(fps, "fp")
+        near = near.unionByName(dealt.groupBy("key", "i", "j").applyInPandas(lambda rows: _trees(rows, most), "a long, b long"))
+    roots = components(near, Scratch(scratch.spark, "groups")).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return fps.join(roots, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = WIDTH, bits: int = MAX_BITS) -> DataFrame:
@@ -220,9 +255,9 @@ def one_of_each(docs: DataFrame, scratch: Scratch, width: int = COPY_WIDTH, simi
     rows = with_row_ids(docs, scratch)
     marked = scratch.keep(fingerprints(rows, width, ["__rid"], words), "fingerprints")
     fps = scratch.keep(marked.groupBy("fp").agg(F.min("wide").alias("wide")), "wide")
-    roots = components(copy_links(fps, scratch, similarity, words, cut), scratch).withColumnRenamed("node", "fp")
+    roots = scratch.keep(copy_groups(fps, scratch, similarity, words, cut), "roots")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid"))["__rid"]
-    kept = marked.select("fp", "doc_id", "__rid").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(first.alias("__rid")).select("__rid")
+    kept = marked.select("fp", "doc_id", "__rid").join(roots, "fp").groupBy("root").agg(first.alias("__rid")).select("__rid")
     return rows.join(kept, "__rid", "left_semi").select(docs.columns)
 
 
