@@ -625,16 +625,22 @@ def assign_tiles(spark, sf):
 
 
 def fragments(spark, sf) -> DataFrame:
-    seen = X.view_stats(spark, sf).filter("radius > 0").select("scene_id", "view_id", "prim_id", (F.col("prim_id") % 16).alias("pixel")).distinct()
-    rows = X.primitives(spark, sf).select("prim_id", (F.col("z") + 6).alias("depth"), (A.sigmoid(F.col("opacity")) * 0.5).alias("alpha"), *[(A.sh_to_rgb(F.get("f_dc", F.lit(k)))).alias(n) for k, n in enumerate(("red", "green", "blue"))])
-    return seen.join(rows, "prim_id")
+    seen = X.view_stats(spark, sf).select("scene_id", "view_id", "prim_id", "radius", (F.col("prim_id") % 16).alias("pixel")).distinct()
+    rows = X.primitives(spark, sf).select("prim_id", (F.col("z") + 6).alias("depth"), (A.sigmoid(F.col("opacity")) * 0.5).alias("p"), *[(A.sh_to_rgb(F.get("f_dc", F.lit(k)))).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+    # Splats that aren't seen and those too faint leave pixels without any fragment that counts.
+    best = seen.groupBy("scene_id", "view_id", "prim_id", "pixel").agg(F.max("radius").alias("radius"))
+    return best.join(rows, "prim_id").withColumn("alpha", F.when(F.col("radius") > 0, F.col("p")).otherwise(0.0)).drop("p", "radius")
 
 
 _FRAG = f"SELECT DISTINCT v.view_id, v.prim_id % 16 AS pixel, v.prim_id, z + 6 AS depth, p * 0.5e0 AS alpha, dc0 * {_C0} + 0.5e0 AS red, dc1 * {_C0} + 0.5e0 AS green, v.scene_id FROM view_stats v JOIN primitives USING (prim_id) WHERE radius > 0"
+_PIXELS = "SELECT DISTINCT scene_id, view_id, prim_id % 16 AS pixel FROM view_stats JOIN (SELECT prim_id FROM primitives) USING (prim_id)"
 _LOG = "SELECT *, coalesce(sum(ln(1 - alpha)) OVER (PARTITION BY scene_id, view_id, pixel ORDER BY depth, prim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lg FROM frag WHERE alpha >= 1 / 255e0"
 
 
-@query(with_views("SELECT scene_id::INT AS scene_id, view_id, pixel, round(sum(exp(lg) * alpha * red) + min(exp(lg) * (1 - alpha)), 5) + 0.0 AS red, round(sum(exp(lg) * alpha * green) + min(exp(lg) * (1 - alpha)), 5) + 0.0 AS green, round(sum(exp(lg) * alpha / depth), 5) + 0.0 AS inverse_depth, count(*) AS n_blended FROM lg WHERE exp(lg) * (1 - alpha) >= 1e-4 GROUP BY scene_id, view_id, pixel", "primitives", "view_stats", frag=_FRAG, lg=_LOG))
+_BLENDED = "SELECT scene_id, view_id, pixel, sum(exp(lg) * alpha * red) + min(exp(lg) * (1 - alpha)) AS red, sum(exp(lg) * alpha * green) + min(exp(lg) * (1 - alpha)) AS green, sum(exp(lg) * alpha / depth) AS inv, count(*) AS n FROM lg WHERE exp(lg) * (1 - alpha) >= 1e-4 GROUP BY scene_id, view_id, pixel"
+
+
+@query(with_views("SELECT scene_id::INT AS scene_id, view_id, pixel, round(coalesce(red, 1), 5) + 0.0 AS red, round(coalesce(green, 1), 5) + 0.0 AS green, round(coalesce(inv, 0), 5) + 0.0 AS inverse_depth, coalesce(n, 0) AS n_blended FROM pixels LEFT JOIN blended USING (scene_id, view_id, pixel)", "primitives", "view_stats", frag=_FRAG, lg=_LOG, pixels=_PIXELS, blended=_BLENDED))
 def composite_front_to_back(spark, sf):
     out = metrics.composite(fragments(spark, sf), background=1.0)
     return out.select("scene_id", "view_id", "pixel", r("red", "red", 5), r("green", "green", 5), r("inverse_depth", "inverse_depth", 5), "n_blended")
@@ -765,10 +771,17 @@ def metrics_cube(spark, sf):
     return averages(metrics.metrics_cube(scored(spark, sf), ["l1", "psnr"]), "dataset", "method", "level")
 
 
-@query(with_pairs(f"SELECT CASE WHEN place % 8 = 0 THEN 'test' ELSE 'train' END AS split, {_AVGS} FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY name) - 1 AS place FROM scored WHERE method = 'iter_30000') GROUP BY ALL", scored=_SCORED))
+_HELD = "SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY name) - 1 AS place FROM scored WHERE method = 'iter_30000'"
+_TRAINED = "SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY name) - 1 AS pos, count(*) OVER (PARTITION BY scene_id) AS n FROM held WHERE place % 8 <> 0"
+_REPORTED = "SELECT 'test' AS split, l1, psnr FROM held WHERE place % 8 = 0 UNION ALL SELECT 'train', l1, psnr FROM trained, (VALUES (5), (10), (15), (20), (25)) AS k(asked) WHERE pos = asked % n"
+
+
+@query(with_pairs(f"SELECT split, {_AVGS} FROM reported GROUP BY split", scored=_SCORED, held=_HELD, trained=_TRAINED, reported=_REPORTED))
 def validation_report(spark, sf):
     rows = views.holdout_split(scored(spark, sf).filter("method = 'iter_30000'"))
-    return averages(metrics.validation_report(rows.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train"))), "split")
+    test, train = rows.filter("is_test"), views.validation_sample(rows.filter("is_train"))
+    both = [df.select(F.lit(s).alias("split"), "l1", "psnr") for df, s in ((test, "test"), (train, "train"))]
+    return averages(metrics.validation_report(both[0].unionByName(both[1])), "split")
 
 
 @query(with_views("SELECT scene_id::INT AS scene_id, least(floor(round(p, 9) * 30), 29)::INT AS bin, count(*) AS n FROM primitives GROUP BY ALL", "primitives"))

@@ -10,6 +10,7 @@ than a block of either side, and the blocks' nearest are merged.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,15 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
 
     ``keep`` writes a table and gives it back, to cut lineage. Points of
     equal place are at distance 0. With ``k`` or fewer points in a scene the
-    mean is over those there are; a single point gets 1e-7.
+    mean is over those there are; a single point gets 1e-7. A point with a
+    coordinate that is null, infinite or not a number is no one's neighbour,
+    and its mean is null.
     """
     axes = ["x", "y", "z"]
-    numbered = keep(points.select("scene_id", "point3d_id", *axes), "points")
+    numbered = keep(points.select("scene_id", "point3d_id", *[F.col(a).cast("double").alias(a) for a in axes]), "points")
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(a) < float("inf"), F.lit(False)) for a in axes])
+    odd = numbered.filter(~finite).select("scene_id", "point3d_id", F.lit(None).cast("double").alias("mean_sq_dist"))
+    numbered = numbered.filter(finite)
     places = keep(numbered.groupBy("scene_id", *axes).agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.xxhash64(*axes)), "places")
     box = places.groupBy("scene_id").agg(F.count(F.lit(1)).alias("m"), *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in axes])
     volume = F.greatest(F.col("sx"), F.lit(1e-6)) * F.greatest(F.col("sy"), F.lit(1e-6)) * F.greatest(F.col("sz"), F.lit(1e-6))
@@ -89,4 +95,4 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
     mean = F.greatest(F.coalesce(F.try_divide(F.aggregate("d2", F.lit(0.0), lambda a, x: a + x), F.size("d2").cast("double")), F.lit(0.0)), F.lit(LEAST))
     crowded = places.filter(F.col("n") > k).select("scene_id", "place", F.lit(LEAST).alias("mean_sq_dist"))
     found = done.select("scene_id", "place", mean.alias("mean_sq_dist")).unionByName(crowded)
-    return numbered.withColumn("place", F.xxhash64(*axes)).join(found, ["scene_id", "place"]).select("scene_id", "point3d_id", "mean_sq_dist")
+    return numbered.withColumn("place", F.xxhash64(*axes)).join(found, ["scene_id", "place"]).select("scene_id", "point3d_id", "mean_sq_dist").unionByName(odd)

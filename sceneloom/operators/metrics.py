@@ -128,7 +128,7 @@ def metrics_cube(views: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def validation_report(views: DataFrame) -> DataFrame:
-    """Mean L1 and PSNR of the test views and of the sampled train views."""
+    """Mean L1 and PSNR by ``split`` of scored views; a view that the sample of train views has twice counts twice."""
     return views.groupBy("split").agg(F.avg("l1").alias("l1"), F.avg("psnr").alias("psnr"), F.count(F.lit(1)).alias("n_views"))
 
 
@@ -169,12 +169,14 @@ def ema_reach(share: float) -> int:
     return math.ceil(math.log(1e-17) / math.log1p(-share)) if 0 < share < 1 else 0
 
 
-def composite(fragments: DataFrame, background: float = 0.0, key: tuple[str, ...] = ("scene_id", "view_id", "pixel"), least: float = 1 / 255, most: float = 0.99, stop: float = 1e-4) -> DataFrame:
+def composite(fragments: DataFrame, background: float = 0.0, key: tuple[str, ...] = ("scene_id", "view_id", "pixel"), least: float = 1 / 255, most: float = 0.99, stop: float = 1e-4, pixels: DataFrame | None = None) -> DataFrame:
     """Front-to-back blending of each pixel's fragments (depth, prim_id, alpha, red, green, blue) over ``background``.
 
     Alphas are at most ``most``; those under ``least`` don't count; none
     counts once less than ``stop`` would come through. Equal depths go by
-    prim_id.
+    prim_id. ``pixels`` (the key, each once) are those of the frames: one
+    without a fragment that counts is background. Without ``pixels`` they are
+    those of any fragment.
     """
     alpha = F.least(F.col("alpha"), F.lit(most))
     by = W.partitionBy(*key).orderBy("depth", "prim_id")
@@ -184,4 +186,7 @@ def composite(fragments: DataFrame, background: float = 0.0, key: tuple[str, ...
     weight = F.exp(F.col("_log")) * F.col("_a")
     through = F.min("_after")
     out = [(F.sum(weight * F.col(c)) + background * through).alias(c) for c in ("red", "green", "blue")]
-    return rows.groupBy(*key).agg(*out, F.sum(weight / F.col("depth")).alias("inverse_depth"), through.alias("transmittance"), F.count(F.lit(1)).alias("n_blended"))
+    blended = rows.groupBy(*key).agg(*out, F.sum(weight / F.col("depth")).alias("inverse_depth"), through.alias("transmittance"), F.count(F.lit(1)).alias("n_blended"))
+    frame = fragments.select(*key).distinct() if pixels is None else pixels.select(*key)
+    none = {**dict.fromkeys(("red", "green", "blue"), background), "inverse_depth": 0.0, "transmittance": 1.0, "n_blended": 0}
+    return frame.join(blended, list(key), "left").fillna(none)

@@ -141,3 +141,30 @@ def test_ema_of_a_small_share_reaches_far(spark):
     for i in range(400):
         want = 0.99 * want + 0.01 * (5.0 if i < 200 else 1.0)
         assert abs(got[i] - want) < 1e-9
+
+
+def test_knn_sets_odd_points_apart(spark):
+    rng = np.random.default_rng(3)
+    xyz = rng.normal(size=(20, 3))
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(xyz)]
+    odd = [(1, 100, float("nan"), 0.0, 0.0), (1, 101, 0.0, float("inf"), 0.0), (1, 102, 0.0, 0.0, None), (2, 1, float("-inf"), 1.0, 1.0)]
+    points = spark.createDataFrame(rows + odd, "scene_id int, point3d_id long, x double, y double, z double")
+    got = {(r.scene_id, r.point3d_id): r.mean_sq_dist for r in knn.nearest_sq_dist(points, keeper(spark, "t")).collect()}
+    assert {k for k, v in got.items() if v is None} == {(1, 100), (1, 101), (1, 102), (2, 1)}
+    assert np.allclose([got[1, i] for i in range(20)], brute_knn(xyz), rtol=1e-9)
+
+
+def test_composite_gives_every_pixel(spark):
+    rows = [(1, 1, 0, 2.0, 7, 0.5, 1.0, 0.0, 0.0), (1, 1, 1, 1.0, 7, 0.001, 1.0, 1.0, 1.0)]
+    fragments = spark.createDataFrame(rows, "scene_id int, view_id int, pixel int, depth double, prim_id long, alpha double, red double, green double, blue double")
+    pixels = spark.createDataFrame([(1, 1, p) for p in range(3)], "scene_id int, view_id int, pixel int")
+    out = {r.pixel: r for r in metrics.composite(fragments, 0.25, pixels=pixels).collect()}
+    assert (out[0].red, out[0].transmittance, out[0].n_blended) == (0.625, 0.5, 1)
+    assert all((out[p].red, out[p].transmittance, out[p].n_blended, out[p].inverse_depth) == (0.25, 1.0, 0, 0.0) for p in (1, 2))
+    assert {r.pixel for r in metrics.composite(fragments).collect()} == {0, 1}
+
+
+def test_running_mean_of_a_small_share(spark):
+    rows = spark.createDataFrame([(1, i, i, 1.0) for i in range(1000)], "series int, ts int, event_id int, loss double")
+    last = metrics.ema(rows, 0.01).filter("event_id = 999").first().ema
+    assert abs(last - (1 - 0.99**1000)) < 1e-9
