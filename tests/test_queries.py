@@ -5,12 +5,12 @@ import os
 import duckdb
 import pytest
 
-from sceneloom.jobs import queries, streams
+from sceneloom.jobs import queries, roundtrips, streams
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-ORACLES = queries.ORACLES | streams.ORACLES
-QUERIES = queries.QUERIES | streams.QUERIES
+ORACLES = queries.ORACLES | streams.ORACLES | roundtrips.ORACLES
+QUERIES = queries.QUERIES | streams.QUERIES | roundtrips.QUERIES
 
 
 @pytest.fixture(scope="module")
