@@ -591,13 +591,18 @@ def init_primitives(spark, sf):
 # --- projection -----------------------------------------------------------------------------------
 
 
-def splats(spark, sf) -> DataFrame:
+def cameras(views: DataFrame) -> DataFrame:
+    """Views as the projection takes them."""
+    return views.select("scene_id", F.col("image_id").alias("view_id"), F.col("rot").alias("view_rot"), "tvec", "fovx", "fovy", "width", "height")
+
+
+def splats(spark, sf, views: DataFrame) -> DataFrame:
     rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot")
-    view = first_views(spark, sf).select("scene_id", F.col("image_id").alias("view_id"), F.col("rot").alias("view_rot"), "tvec", "fovx", "fovy", "width", "height")
-    return project.project(rows, view)
+    # Each row becomes one for each view, so they are spread over the tasks before.
+    return project.project(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), cameras(views))
 
 
-_CAM = "SELECT prim_id, width, height, fx, fy, v0, v1, v2, v3, v4, v5, v6, v7, v8, r0, r1, r2, r3, r4, r5, r6, r7, r8, s, v0 * x + v1 * y + v2 * z + tx AS cx, v3 * x + v4 * y + v5 * z + ty AS cy, v6 * x + v7 * y + v8 * z + tz AS cz, scene_id, image_id FROM rot JOIN (SELECT scene_id, image_id, width, height, fx, fy, tx, ty, tz, r0 AS v0, r1 AS v1, r2 AS v2, r3 AS v3, r4 AS v4, r5 AS v5, r6 AS v6, r7 AS v7, r8 AS v8 FROM first) USING (scene_id)"
+_CAM = "SELECT prim_id, width, height, fx, fy, v0, v1, v2, v3, v4, v5, v6, v7, v8, r0, r1, r2, r3, r4, r5, r6, r7, r8, s, v0 * x + v1 * y + v2 * z + tx AS cx, v3 * x + v4 * y + v5 * z + ty AS cy, v6 * x + v7 * y + v8 * z + tz AS cz, scene_id, image_id FROM rot JOIN (SELECT scene_id, image_id, width, height, fx, fy, tx, ty, tz, r0 AS v0, r1 AS v1, r2 AS v2, r3 AS v3, r4 AS v4, r5 AS v5, r6 AS v6, r7 AS v7, r8 AS v8 FROM shot) USING (scene_id)"
 #: Columns of M = J W R S: rows i = 0, 1 of the derivative times the camera's and the primitive's rotation and scales.
 _JW = {f"t{i}{k}": (f"(fx / cz * v{k} - fx * cx / (cz * cz) * v{6 + k})" if i == 0 else f"(fy / cz * v{3 + k} - fy * cy / (cz * cz) * v{6 + k})") for i in range(2) for k in range(3)}
 _MRS = {f"m{i}{k}": "(" + " + ".join(f"{_JW[f't{i}{j}']} * r{3 * j + k}" for j in range(3)) + f") * s / {2**k}" for i in range(2) for k in range(3)}
@@ -606,22 +611,22 @@ _COV = "SELECT *, m00 * m00 + m01 * m01 + m02 * m02 + 0.3e0 AS a, m00 * m10 + m0
 _SPLAT = "SELECT *, fx * cx / cz + width / 2 AS px, fy * cy / cz + height / 2 AS py, ceil(3 * sqrt((a + d) / 2 + sqrt(greatest((a + d) / 2 * ((a + d) / 2) - (a * d - b * b), 0.1e0))))::BIGINT AS radius FROM cov"
 
 
-def with_splats(text: str, **more: str) -> str:
-    return with_views(text, *_ROTS, "primitives", seen=SEEN, first=FIRST, unit=_UNIT, rot=_ROT, cam=_CAM, flat=_FLAT, cov=_COV, splat=_SPLAT, **more)
+def with_splats(text: str, shot: str = "SELECT * FROM seen", **more: str) -> str:
+    return with_views(text, *_ROTS, "primitives", seen=SEEN, shot=shot, unit=_UNIT, rot=_ROT, cam=_CAM, flat=_FLAT, cov=_COV, splat=_SPLAT, **more)
 
 
-@query(with_splats("SELECT scene_id::INT AS scene_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat"))
+@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat"))
 def project_primitives(spark, sf):
-    return splats(spark, sf).select("scene_id", "prim_id", r("px", "px", 3), r("py", "py", 3), r("depth", "depth", 5), "radius")
+    return splats(spark, sf, seen(spark, sf)).select("scene_id", "view_id", "prim_id", r("px", "px", 3), r("py", "py", 3), r("depth", "depth", 5), "radius")
 
 
-_TILED = "SELECT scene_id, prim_id, unnest(generate_series(x0, x1)) AS tile_x, y0, y1 FROM (SELECT *, greatest(floor((px - radius) / 128), 0)::BIGINT AS x0, least(floor((px + radius) / 128), ceil(width / 128e0) - 1)::BIGINT AS x1, greatest(floor((py - radius) / 128), 0)::BIGINT AS y0, least(floor((py + radius) / 128), ceil(height / 128e0) - 1)::BIGINT AS y1 FROM splat WHERE radius > 0) WHERE x0 <= x1 AND y0 <= y1"
+_TILED = "SELECT scene_id, image_id, prim_id, unnest(generate_series(x0, x1)) AS tile_x, y0, y1 FROM (SELECT *, greatest(floor((px - radius) / 128), 0)::BIGINT AS x0, least(floor((px + radius) / 128), ceil(width / 128e0) - 1)::BIGINT AS x1, greatest(floor((py - radius) / 128), 0)::BIGINT AS y0, least(floor((py + radius) / 128), ceil(height / 128e0) - 1)::BIGINT AS y1 FROM splat WHERE radius > 0) WHERE x0 <= x1 AND y0 <= y1"
 
 
-@query(with_splats("SELECT scene_id::INT AS scene_id, tile_x, count(DISTINCT tile_y) AS n_rows, count(*) AS n FROM (SELECT *, unnest(generate_series(y0, y1)) AS tile_y FROM tiled) GROUP BY scene_id, tile_x", tiled=_TILED))
+@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, tile_x, tile_y, count(*) AS n FROM (SELECT *, unnest(generate_series(y0, y1)) AS tile_y FROM tiled) GROUP BY ALL", tiled=_TILED))
 def assign_tiles(spark, sf):
-    tiled = project.assign_tiles(splats(spark, sf), 128)
-    return tiled.groupBy("scene_id", "tile_x").agg(F.count_distinct("tile_y").alias("n_rows"), F.count(F.lit(1)).alias("n"))
+    tiled = project.assign_tiles(splats(spark, sf, seen(spark, sf)), 128)
+    return tiled.groupBy("scene_id", "view_id", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fragments(spark, sf) -> DataFrame:
@@ -648,7 +653,30 @@ def composite_front_to_back(spark, sf):
 
 @query()
 def depth_sort(spark, sf):
-    return project.depth_sorted(project.assign_tiles(splats(spark, sf), 256)).select("scene_id", "view_id", "tile_x", "tile_y", "depth", "prim_id")
+    return project.depth_sorted(project.assign_tiles(splats(spark, sf, first_views(spark, sf)), 256)).select("scene_id", "view_id", "tile_x", "tile_y", "depth", "prim_id")
+
+
+#: Width of the frames that are rendered; tiles have 16 pixels on a side.
+FRAME = 32
+
+#: The first view of each scene at the working size, its focal lengths with it.
+_SHOT = f"SELECT * REPLACE ({FRAME} AS width, floor(height / (width / {FRAME}e0))::BIGINT AS height, fx * {FRAME}e0 / width AS fx, fy * floor(height / (width / {FRAME}e0)) / height AS fy) FROM ({FIRST})"
+_TOUCHED = "SELECT *, unnest(generate_series(x0, x1)) AS tile_x FROM (SELECT *, greatest(floor((px - radius) / 16), 0)::BIGINT AS x0, least(floor((px + radius) / 16), ceil(width / 16e0) - 1)::BIGINT AS x1, greatest(floor((py - radius) / 16), 0)::BIGINT AS y0, least(floor((py + radius) / 16), ceil(height / 16e0) - 1)::BIGINT AS y1 FROM splat WHERE radius > 0) WHERE x0 <= x1 AND y0 <= y1"
+_ON_PIXEL = "SELECT *, px - (x + 0.5e0) AS ex, py - (y + 0.5e0) AS ey, a * d - b * b AS det FROM (SELECT *, unnest(generate_series(16 * y0, least(16 * y1 + 16, height) - 1)) AS y FROM (SELECT *, unnest(generate_series(16 * tile_x, least(16 * tile_x + 16, width) - 1)) AS x FROM touched))"
+_BITS = f"SELECT scene_id, image_id AS view_id, y * width + x AS pixel, prim_id, cz AS depth, p * exp(-0.5e0 * (d * ex * ex - 2 * b * ex * ey + a * ey * ey) / det) AS alpha, greatest(dc0 * {_C0} + 0.5e0, 0) AS red, greatest(dc1 * {_C0} + 0.5e0, 0) AS green FROM onpixel JOIN (SELECT prim_id, p, dc0, dc1 FROM primitives) USING (prim_id)"
+_CAPPED = "SELECT * REPLACE (least(alpha, 0.99e0) AS alpha) FROM bits WHERE alpha >= 1 / 255e0"
+_FRAME = "SELECT scene_id, image_id AS view_id, unnest(range(0, width * height)) AS pixel FROM shot"
+
+
+@query(with_splats("SELECT scene_id::INT AS scene_id, view_id, pixel, round(coalesce(red, 1), 5) + 0.0 AS red, round(coalesce(green, 1), 5) + 0.0 AS green, round(coalesce(inv, 0), 5) + 0.0 AS inverse_depth, coalesce(n, 0) AS n_blended FROM frame LEFT JOIN blended USING (scene_id, view_id, pixel)", shot=_SHOT, touched=_TOUCHED, onpixel=_ON_PIXEL, bits=_BITS, frag=_CAPPED, lg=_LOG, blended=_BLENDED, frame=_FRAME))
+def render(spark, sf):
+    colours = [F.greatest(A.sh_to_rgb(F.get("f_dc", F.lit(k))), F.lit(0.0)).alias(n) for k, n in enumerate(("red", "green", "blue"))]
+    rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot", A.sigmoid(F.col("opacity")).alias("opacity"), *colours)
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    width, height = S.working_resolution(F.col("width"), F.col("height"), FRAME)
+    view = cameras(first_views(spark, sf)).withColumns({"width": width, "height": height})
+    out = project.render(rows, view, background=1.0)
+    return out.select("scene_id", "view_id", "pixel", r("red", "red", 5), r("green", "green", 5), r("inverse_depth", "inverse_depth", 5), "n_blended")
 
 
 # --- scores ---------------------------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.appearance import logit
 from sceneloom.jobs.scratch import keeper
-from sceneloom.operators import adapt, depth, knn, metrics, views
+from sceneloom.operators import adapt, depth, knn, metrics, project, views
 
 
 def brute_knn(xyz, k=3):
@@ -168,3 +170,29 @@ def test_running_mean_of_a_small_share(spark):
     rows = spark.createDataFrame([(1, i, i, 1.0) for i in range(1000)], "series int, ts int, event_id int, loss double")
     last = metrics.ema(rows, 0.01).filter("event_id = 999").first().ema
     assert abs(last - (1 - 0.99**1000)) < 1e-9
+
+
+def test_render_blends_splats_and_leaves_the_rest_background(spark):
+    identity, turn = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0]
+    fov = 2 * math.atan(0.5)
+    views = spark.createDataFrame([(0, v, identity, [0.0, 0.0, 0.0], fov, fov, 20, 20) for v in (1, 2)] + [(1, 3, identity, [0.0, 0.0, 0.0], fov, fov, 5, 3)], "scene_id int, view_id int, view_rot array<double>, tvec array<double>, fovx double, fovy double, width int, height int")
+    # Two before the camera, the nearer one listed last; one behind it; one without opacity.
+    prims = [(0, 1, 0.0, 0.0, 4.0, 0.9, 0.5), (0, 2, 0.0, 0.0, 2.0, 0.8, 1.0), (0, 3, 0.0, 0.0, -2.0, 0.9, 1.0), (0, 4, 0.0, 0.0, 1.0, 0.0, 1.0)]
+    rows = spark.createDataFrame([(s, p, x, y, z, [0.05] * 3, turn, o, c, c, c) for s, p, x, y, z, o, c in prims], "scene_id int, prim_id long, x double, y double, z double, scale array<double>, rot array<double>, opacity double, red double, green double, blue double")
+    got = {(r.view_id, r.pixel): r for r in project.render(rows, views, 0.25, tile=8).collect()}
+    assert len(got) == 2 * 400 + 15
+
+    def alpha(opacity, depth, x, y):
+        spread = (20 / depth * 0.05) ** 2 + 0.3
+        return opacity * math.exp(-((x + 0.5 - 10) ** 2 + (y + 0.5 - 10) ** 2) / (2 * spread))
+
+    for (view, pixel), row in got.items():
+        through, red, n = 1.0, 0.0, 0
+        for opacity, depth, c in [(0.8, 2.0, 1.0), (0.9, 4.0, 0.5)] if view < 3 else []:
+            a = alpha(opacity, depth, pixel % 20, pixel // 20)
+            # Only tiles that the square of three deviations touches: all four around the centre.
+            if a >= 1 / 255:
+                red, through, n = red + through * a * c, through * (1 - a), n + 1
+        assert (row.n_blended, row.red, row.transmittance) == (n, pytest.approx(red + 0.25 * through), pytest.approx(through))
+    assert got[1, 9 * 20 + 9].n_blended == 2 and got[3, 0].red == 0.25
+    assert project.render(rows.limit(0), views, 0.25).filter("red = 0.25").count() == 815
