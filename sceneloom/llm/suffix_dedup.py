@@ -29,13 +29,14 @@ from .common import Scratch
 
 LENGTH = 200
 GRAM = 80
-#: Different contexts of one gram that one task compares; with more, each string around a place is hashed and counted by Spark.
-HOT = 4_000
 #: Texts with repeated places whose keys may be broadcast to the scan; beyond, all texts are shuffled.
 BROADCAST_TEXTS = 500_000
 _BATCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+#: Contexts that a task compares at a time, whole grams together.
 _TASK_ROWS = 50_000
+#: Different contexts of one gram that one task compares, as many as it holds anyway; with more, each string around a place is hashed and counted by Spark, which costs far more disk.
+HOT = _TASK_ROWS
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
