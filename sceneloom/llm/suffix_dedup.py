@@ -9,7 +9,8 @@ cut by sampled splitters on the leading bytes; a bucket's suffixes are sorted
 by multikey quicksort, 8 bytes a key, the lengths shared with the neighbours
 to the right and, sorted backwards, to the left tell which strings around a
 place are found again. Splitters never part suffixes with equal leading ``GRAM``
-bytes, so no shared string lies across a boundary.
+bytes, so no shared string lies across a boundary. A gram of more contexts than
+a bucket may hold is parted by longer grams, with half the strings each.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 LENGTH = 200
 GRAM = 80
-#: Different contexts of one gram that one task compares; with more, each string around a place is hashed and counted by Spark.
+#: Different contexts of one gram that one task compares; more are parted by longer grams first.
 HOT = 4_000
 #: Texts with repeated places whose keys may be broadcast to the scan; beyond, all texts are shuffled.
 BROADCAST_TEXTS = 500_000
@@ -169,18 +170,19 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[-1], shared])
 
 
-def found_again(contexts: list[bytes], left: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each different context the least and the most bytes left of its place that a string found in another one starts at.
+def found_again(contexts: list[bytes], grams: np.ndarray, left: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each different context the least and the most bytes left of its place that a string found in another one of its gram starts at.
 
-    (``length``, -1) if there is none. A string that starts o bytes to the
+    (``length``, -1) if there is none. ``grams`` are numbers, the first key. A string that starts o bytes to the
     left is shared by those that share ``length - o`` bytes rightwards and o
     leftwards.
     """
     m, side = len(contexts), length - gram
-    right = np.zeros((m, -(-length // 8) * 8), np.uint8)
+    right = np.zeros((m, 8 - (-length // 8) * 8), np.uint8)
+    right[:, :8] = grams.astype(">i8").view(np.uint8).reshape(m, 8)
     before = np.zeros((m, max(8, -(-side // 8) * 8)), np.uint8)
     for k, (c, n) in enumerate(zip(contexts, left.tolist(), strict=True)):
-        right[k, : len(c) - n] = np.frombuffer(c, np.uint8)[n:]
+        right[k, 8 : 8 + len(c) - n] = np.frombuffer(c, np.uint8)[n:]
         before[k, :n] = np.frombuffer(c, np.uint8)[:n][::-1]
     there = np.array([len(c) for c in contexts], np.int64) - left
     to_right, shared_right = _order(right)
@@ -188,7 +190,7 @@ def found_again(contexts: list[bytes], left: np.ndarray, length: int = LENGTH, g
     low, high = np.full(m, length, np.int64), np.full(m, -1, np.int64)
     by_right, by_left = np.empty(m, np.int64), np.empty(m, np.int64)
     for o in range(side + 1):
-        by_right[to_right] = np.cumsum(shared_right < length - o)
+        by_right[to_right] = np.cumsum(shared_right - 8 < length - o)
         by_left[to_left] = np.cumsum(shared_left < o)
         rows = np.flatnonzero((left >= o) & (there >= length - o))
         key = by_right[rows] * (m + 1) + by_left[rows]
@@ -205,7 +207,7 @@ def _compare(length: int, gram: int):
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         left = rows["left"].to_numpy(np.int64)
-        low, high = found_again([bytes(c) for c in rows["ctx"]], left, length, gram)
+        low, high = found_again([bytes(c) for c in rows["ctx"]], rows["gram"].to_numpy(np.int64), left, length, gram)
         # A context found twice as a whole has all its strings again.
         there = rows["ctx"].map(len).to_numpy(np.int64) - left
         whole = (rows["n"].to_numpy(np.int64) > 1) & (left + there >= length)
@@ -231,15 +233,62 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _hashed(length: int, gram: int):
+def _longer(length: int, gram: int):
+    """Each context under two longer cores, which halve the strings around it: those that start up to ``half`` bytes left of its place, and the others."""
+    side = length - gram
+    half = side // 2
+
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for rows in batches:
-            for c1, c2, n, left, ctx in zip(rows["c1"], rows["c2"], rows["n"], rows["left"], rows["ctx"], strict=True):
+            for p1, p2, n, gram, left, ctx in zip(rows["c1"], rows["c2"], rows["n"], rows["gram"], rows["left"], rows["ctx"], strict=True):
                 ctx = bytes(ctx)
-                for o in range(max(0, left + length - len(ctx)), min(left, length - gram) + 1):
-                    yield c1, c2, n, o, xxhash.xxh3_128_digest(ctx[left - o : left - o + length])
+                for shift in (0, side - half):
+                    place, core = left - shift, length - half
+                    # A core that runs over the text's begin or end holds no string.
+                    if place >= 0 and place + core <= len(ctx):
+                        before = min(place, half)
+                        # Two places may have one core, at different shifts: the gram tells them apart, or a string would be its own copy.
+                        longer = xxhash.xxh64_intdigest(ctx[place : place + core], seed=gram + shift) >> 1
+                        yield p1, p2, shift, n, before, longer, ctx[place - before : place + length]
+
+    return lambda batches: _frames(each(batches), {"p1": "int64", "p2": "int64", "shift": "int32", "n": "int64", "left": "int32", "gram": "int64", "ctx": "object"})
+
+
+def _answers(contexts: DataFrame, scratch: Scratch, length: int, gram: int, hot: int, level: int = 0) -> DataFrame:
+    """c1, c2, low and high of all contexts that share a string with another one, or with a copy of theirs.
+
+    ``contexts`` has n for the occurrences of each row. A gram of up to
+    ``hot`` different contexts is compared in one bucket; more are parted by
+    longer cores, of which each holds half of the strings around a place, and
+    their answers brought back. The contexts that a core leaves are shorter,
+    so more of them are equal; a core of ``length`` bytes has a single one.
+    """
+    different = contexts.groupBy("gram", "left", "ctx", "c1", "c2").agg(F.sum("n").alias("n"))
+    different = scratch.keep(different, f"different{level}")
+    sizes = different.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter("m > 1 OR most > 1")
+    sizes = scratch.keep(sizes, f"sizes{level}")
+    few, many = sizes, sizes.filter(F.col("m") > hot).select("gram")
+    parted = gram < length and not many.isEmpty()
+    if parted:
+        few = sizes.filter(F.col("m") <= hot)
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.substring(F.col("ctx"), F.col("left") + 1, F.lit(gram))
+    few = different.join(few.select("gram"), "gram").withColumn("leading", leading)
+    few = few.repartitionByRange(parts, "leading").sortWithinPartitions("leading", "gram").drop("leading")
+    answers = few.mapInPandas(_compare(length, gram), "c1 long, c2 long, low long, high long")
+    if not parted:
+        return answers
+    crowded = different.join(many, "gram").select("c1", "c2", "n", "gram", "left", "ctx")
+    longer = crowded.mapInPandas(_longer(length, gram), "p1 long, p2 long, shift int, n long, left int, gram long, ctx binary")
+    longer = scratch.keep(longer.withColumns(_context_keys()), f"longer{level}")
+    found = _answers(longer, scratch, length, length - (length - gram) // 2, hot, level + 1)
+    back = longer.select("p1", "p2", "shift", "c1", "c2").join(found, ["c1", "c2"]).groupBy(F.col("p1").alias("c1"), F.col("p2").alias("c2"))
+    return answers.unionByName(back.agg(F.min(F.col("low") + F.col("shift")).alias("low"), F.max(F.col("high") + F.col("shift")).alias("high")))
+
 
-    return lambda batches: _frames(each(batches), {"c1": "int64", "c2": "int64", "n": "int64", "o": "int64", "string": "object"})
+def _context_keys() -> dict[str, Column]:
+    """Two hashes of 64 bits stand for a context."""
+    return {"c1": F.xxhash64("ctx", "left", "gram"), "c2": F.xxhash64(F.lit(1), "ctx", "left", "gram")}
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,21 +334,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     texts = scratch.keep(long.dropDuplicates(["a", "b"]).join(repeated, ["a", "b"]), "texts")
     scratch.drop("places")
     contexts = texts.mapInPandas(_contexts(length, gram), "a long, b long, pos long, left int, gram long, ctx binary")
-    c1, c2 = F.xxhash64("ctx", "left").alias("c1"), F.xxhash64(F.lit(1), "ctx", "left").alias("c2")
-    contexts = scratch.keep(contexts.select("a", "b", "pos", "left", "gram", "ctx", c1, c2), "contexts")
-    different = scratch.keep(contexts.groupBy("gram", "left", "ctx", "c1", "c2").agg(F.count(F.lit(1)).alias("n")), "different")
-    sizes = different.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).filter("m > 1 OR most > 1")
-    sizes = scratch.keep(sizes, "sizes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leading = F.substring(F.col("ctx"), F.col("left") + 1, F.lit(gram))
-    few = different.join(sizes.filter(F.col("m") <= hot).select("gram"), "gram").withColumn("leading", leading)
-    few = few.repartitionByRange(parts, "leading").sortWithinPartitions("leading").drop("leading")
-    answers = few.mapInPandas(_compare(length, gram), "c1 long, c2 long, low long, high long")
-    # A crowded gram's contexts come from anywhere: they are dealt out again before the costly step.
-    crowded = different.join(sizes.filter(F.col("m") > hot).select("gram"), "gram").select("c1", "c2", "n", "left", "ctx").repartition(parts, "c1", "c2")
-    strings = crowded.mapInPandas(_hashed(length, gram), "c1 long, c2 long, n long, o long, string binary")
-    counts = strings.groupBy("string", "o").agg(F.sum("n").alias("k")).filter("k > 1").select("string", "o")
-    answers = answers.unionByName(strings.join(counts, ["string", "o"]).groupBy("c1", "c2").agg(F.min("o").alias("low"), F.max("o").alias("high")))
+    contexts = scratch.keep(contexts.withColumns(_context_keys()), "contexts")
+    answers = _answers(contexts.withColumn("n", F.lit(1).cast("long")), scratch, length, gram, hot)
     span = F.struct((F.col("pos") - F.col("high")).alias("s"), (F.col("pos") - F.col("low") + length).alias("e"))
     spans = contexts.select("a", "b", "pos", "c1", "c2").join(answers, ["c1", "c2"]).groupBy("a", "b").agg(F.collect_set(span).alias("spans"))
     cut = texts.select("a", "b", "text").join(spans, ["a", "b"]).mapInPandas(_cut, "a long, b long, n_removed long, n_spans long, kept_sha256 string")

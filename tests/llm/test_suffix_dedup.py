@@ -32,7 +32,7 @@ def made(rng, alphabet, n):
     return texts + texts[:3] + [None, "", "é" * 80, "ab" * 70, "abab" * 30]
 
 
-@pytest.mark.parametrize(("alphabet", "hot"), [("ab", 20_000), ("abcdefgh ñ", 20_000), ("abcdefgh", 1)])
+@pytest.mark.parametrize(("alphabet", "hot"), [("ab", 20_000), ("abcdefgh ñ", 20_000), ("abcdefgh", 1), ("ab", 2)])
 def test_equals_brute_force(spark, alphabet, hot):
     texts = made(random.Random(len(alphabet) + hot), alphabet, 60)
     docs = documents(spark, texts).repartition(3)
@@ -40,13 +40,15 @@ def test_equals_brute_force(spark, alphabet, hot):
     assert sorted(map(tuple, rows)) == sorted(brute(texts, 40))
 
 
-def test_production_length_and_ties(spark):
+@pytest.mark.parametrize("hot", [sd.HOT, 6])
+def test_production_length_and_ties(spark, hot):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passage, edge = say(60), say(70)[:200]
     texts = [say(80) + passage + say(50) for _ in range(9)] + [say(40) + edge + say(3), edge, edge[:199], say(300), passage * 4, passage * 4]
-    rows = remove_repeats(documents(spark, texts), scratch(spark)).collect()
+    texts += [say(30) + passage[k:] + say(30) for k in range(12)] + [passage[: 150 + 20 * k] for k in range(9)]
+    rows = remove_repeats(documents(spark, texts), scratch(spark), hot=hot).collect()
     assert sorted(map(tuple, rows)) == sorted(brute(texts, 200))
 
 
@@ -55,7 +57,7 @@ def test_empty_table(spark):
 
 
 def test_one_context_has_no_other():
-    low, high = found_again([b"x" * 20], np.array([5]), length=12, gram=6)
+    low, high = found_again([b"x" * 20], np.array([1]), np.array([5]), length=12, gram=6)
     assert high.tolist() == [-1]
 
 
