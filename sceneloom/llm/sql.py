@@ -122,3 +122,96 @@ fit AS (SELECT r, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_m
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {pick("block")} THEN 'block' WHEN {pick("allow")} THEN 'allow' ELSE '{default}' END) AS verdict
 FROM h LEFT JOIN fit USING (r)
 """
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: each character is mixed in before its eight shifts."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda k: [ascii(substr({text}, k, 1)), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform({bits}, lambda x: x::BIGINT)), {step}), 4294967295::BIGINT)"
+
+
+def conversation_repair_sql(steps: dict[str, list[tuple[int, int, int, str]]], ends: dict[int, tuple[int, str]]) -> str:
+    """Damage, faults, the cheapest repair and its text. The audits of each state are kept as strings, row by row."""
+    ways = ", ".join(f"('{letter}', {a}, {b}, {c}, '{audit}')" for letter, those in steps.items() for a, b, c, audit in those)
+    last = ", ".join(f"({state}, {c}, '{audit}')" for state, (c, audit) in ends.items())
+    space = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    return f"""
+WITH RECURSIVE named AS (
+    SELECT conv_id, turn, {space("role")} AS role, {space("text")} AS text, {space("conv_id")} || ':' || {space("turn")} AS named FROM conversations
+), hit AS (
+    SELECT *, {crc32_sql("named")} % 20 AS hit FROM named
+), after AS (
+    SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN hit = 1 THEN '' WHEN hit = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos
+    FROM hit, (SELECT unnest([0, 1]) AS copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)
+), judged AS (
+    SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS solid,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        substr(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1, 1) || substr(role, 1, 1) AS pair
+    FROM after
+), faults AS (
+    SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+        CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'x' END AS initial
+    FROM judged
+), letters AS (
+    SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS letter FROM faults
+), talks AS (
+    SELECT conv_id, count(DISTINCT turn) AS turns, min(turn) AS first, max(turn) AS last,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, string_agg(letter, '' ORDER BY pos) AS signature,
+        list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts
+    FROM letters GROUP BY conv_id
+), signatures AS (SELECT DISTINCT signature FROM talks),
+ways(letter, a, b, cost, audit) AS (VALUES {ways}),
+ends(state, cost, audit) AS (VALUES {last}),
+layers AS (
+    SELECT signature, 0 AS k, 0 AS state, 0 AS cost, '' AS audit FROM signatures
+    UNION ALL
+    SELECT signature, k, state, best.c, best.s FROM (
+        SELECT l.signature, l.k + 1 AS k, w.b AS state, min({{'c': l.cost + w.cost, 's': l.audit || w.audit}}) AS best
+        FROM layers l JOIN ways w ON w.letter = substr(l.signature, l.k + 1, 1) AND w.a = l.state
+        WHERE l.k < length(l.signature) GROUP BY ALL)
+), answers AS (
+    SELECT signature, min({{'c': l.cost + e.cost, 's': l.audit || e.audit}}) AS best FROM layers l JOIN ends e USING (state)
+    WHERE k = length(signature) GROUP BY signature
+), edits AS (
+    SELECT conv_id, best.c AS cost, best.s AS audit, roles, texts, n, substr(best.s, n, 1) AS edit,
+        length(replace(substr(best.s, 1, n), 'I', '')) AS row
+    FROM talks JOIN answers USING (signature), LATERAL (SELECT unnest(range(1, length(best.s) + 1)) AS n)
+), written AS (
+    SELECT *, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY n) AS place,
+        bool_or(edit = 'K' AND substr(roles[row], 1, 1) = 's') OVER (PARTITION BY conv_id) AS headed
+    FROM edits
+), lines AS (
+    SELECT conv_id, n, CASE WHEN edit = 'K' THEN roles[row] WHEN (place - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN edit = 'I' THEN '' ELSE texts[row] END AS line
+    FROM written WHERE edit <> 'D'
+), texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY n) AS text FROM lines GROUP BY conv_id)
+SELECT conv_id, coalesce(last - first + 1 - turns, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.s, '') AS audit,
+    sha256(coalesce(texts.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN talks USING (conv_id) LEFT JOIN answers USING (signature) LEFT JOIN texts USING (conv_id)
+"""
+
+
+def embedding_dedup_sql(least: float) -> str:
+    """Every pair of vectors that are not null, empty or zero and hold finite numbers only, and what their links reach."""
+    return f"""
+WITH RECURSIVE usable AS (
+    SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), sized AS (SELECT k, v, sqrt(list_dot_product(v, v)) AS norm FROM usable),
+links AS (
+    SELECT a.k AS a, b.k AS b FROM sized a JOIN sized b ON a.k <> b.k
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {least}
+), reached AS (
+    SELECT k AS a, k AS b FROM usable UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), told AS (
+    SELECT r.a AS k, min(u.vec_id) AS component_id FROM reached r JOIN usable u ON u.k = r.b GROUP BY r.a
+), counted AS (SELECT a AS k, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n_links, 0)::BIGINT AS n_links, coalesce(t.component_id, e.vec_id) AS component_id,
+    e.vec_id IS NOT DISTINCT FROM coalesce(t.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN usable u USING (vec_id) LEFT JOIN told t USING (k) LEFT JOIN counted c USING (k)
+"""

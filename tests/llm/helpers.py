@@ -12,3 +12,7 @@ def documents(spark, texts, sources=None, langs=None):
 
 def scratch(spark):
     return Scratch(spark, "test")
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
