@@ -1,10 +1,10 @@
-"""Exact nearest neighbours of scene points by grids of growing cells.
+"""Exact nearest neighbours of scene points in adaptive regions.
 
-Points of equal place are one, with a count. In each round a point looks into
-its cell and the 26 around it. If its k-th neighbour is no farther than a
-cell's edge nothing beyond can be nearer; else it looks again in cells twice
-as wide. A cell's candidates are dealt into blocks, so that no task holds more
-than a block of either side, and the blocks' nearest are merged.
+Points of equal place are one, with a count. A point looks into its own region
+first; the k-th distance found there bounds the ball that can hold anything
+nearer, and only other regions that this ball touches are asked as well.
+Regions are as small as points are dense (``regions``), so that a far point or
+a tight cluster costs what evenly spread points cost.
 """
 
 from __future__ import annotations
@@ -17,30 +17,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .views import small
+from . import regions
 
-BLOCK = 1024
-CELL_POINTS = 48.0
+#: Points of a region, and points that ask one region in one task.
+LEAF, BLOCK = 512, 1024
 LEAST = 1e-7
+AXES = ["x", "y", "z"]
 
 
-def _near(k: int):
+def _nearest(at: np.ndarray, place: np.ndarray, there: np.ndarray, its: np.ndarray, n: np.ndarray, k: int) -> list[np.ndarray]:
+    """Up to ``k`` least squared distances to other places, each as often as it has points."""
+    times = np.minimum(n, k)
+    d = np.zeros((len(at), int(times.sum())))
+    for a in range(at.shape[1]):
+        d += (at[:, a, None] - np.repeat(there[:, a], times)[None]) ** 2
+    d[place[:, None] == np.repeat(its, times)[None]] = np.inf
+    near = np.sort(np.partition(d, k - 1)[:, :k] if d.shape[1] > k else d)
+    return [row[row < np.inf] for row in near]
+
+
+def _own(k: int):
+    """Squared distances within a region; the point's own place holds n - 1 others at distance 0."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at, place, n, out = rows[AXES].to_numpy(), rows["place"].to_numpy(), rows["n"].to_numpy(), []
+        asking = np.flatnonzero(n <= k)
+        for s in range(0, len(asking), BLOCK):
+            part = asking[s : s + BLOCK]
+            out += _nearest(at[part], place[part], at, place, n, k)
+        d2 = [np.concatenate([np.zeros(m - 1), d])[:k] for m, d in zip(n[asking], out, strict=True)]
+        found = rows.iloc[asking][["scene_id", "place", *AXES]]
+        return found.assign(home=rows["region"].iloc[0], d2=pd.Series(d2, found.index, dtype=object), reach=[np.sqrt(d[-1]) * (1 + 1e-9) if len(d) == k else np.inf for d in d2])
+
+    return run
+
+
+def _other(k: int):
     def run(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(there):
-            return pd.DataFrame({"scene_id": [], "place": [], "d2": []}).astype({"scene_id": "int32", "place": "int64"})
-        # A place counts as often as it has points.
-        times = np.minimum(there["p_n"].to_numpy(), k)
-        d = np.zeros((len(asking), int(times.sum())))
-        for a in "xyz":
-            d += (asking[a].to_numpy()[:, None] - np.repeat(there[f"p_{a}"].to_numpy(), times)[None]) ** 2
-        d[asking["place"].to_numpy()[:, None] == np.repeat(there["p_place"].to_numpy(), times)[None]] = np.inf
-        near = np.sort(np.partition(d, k - 1)[:, :k] if d.shape[1] > k else d)
-        return pd.DataFrame({"scene_id": asking["scene_id"].to_numpy(), "place": asking["place"].to_numpy(), "d2": list(near)})
+            return pd.DataFrame({"scene_id": [], "place": [], "d2": []}).astype({"scene_id": "int32", "place": "int64", "d2": object})
+        near = _nearest(asking[AXES].to_numpy(), asking["place"].to_numpy(), there[[f"p_{a}" for a in AXES]].to_numpy(), there["p_place"].to_numpy(), there["p_n"].to_numpy(), k)
+        return pd.DataFrame({"scene_id": asking["scene_id"].to_numpy(), "place": asking["place"].to_numpy(), "d2": pd.Series(near, dtype=object)})
 
     return run
 
 
-def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFrame], k: int = 3, cell_points: float = CELL_POINTS, block: int = BLOCK) -> DataFrame:
+def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFrame], k: int = 3, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(scene_id, point3d_id, mean_sq_dist): mean squared distance to the ``k`` nearest other points, at least 1e-7.
 
     ``keep`` writes a table and gives it back, to cut lineage. Points of
@@ -49,50 +71,25 @@ def nearest_sq_dist(points: DataFrame, keep: Callable[[DataFrame, str], DataFram
     coordinate that is null, infinite or not a number is no one's neighbour,
     and its mean is null.
     """
-    axes = ["x", "y", "z"]
-    numbered = keep(points.select("scene_id", "point3d_id", *[F.col(a).cast("double").alias(a) for a in axes]), "points")
-    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(a) < float("inf"), F.lit(False)) for a in axes])
+    numbered = keep(points.select(F.col("scene_id").cast("int").alias("scene_id"), "point3d_id", *[F.col(a).cast("double").alias(a) for a in AXES]), "points")
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(a) < float("inf"), F.lit(False)) for a in AXES])
     odd = numbered.filter(~finite).select("scene_id", "point3d_id", F.lit(None).cast("double").alias("mean_sq_dist"))
     numbered = numbered.filter(finite)
-    places = keep(numbered.groupBy("scene_id", *axes).agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.xxhash64(*axes)), "places")
-    box = places.groupBy("scene_id").agg(F.count(F.lit(1)).alias("m"), *[(F.max(a) - F.min(a)).alias(f"s{a}") for a in axes])
-    volume = F.greatest(F.col("sx"), F.lit(1e-6)) * F.greatest(F.col("sy"), F.lit(1e-6)) * F.greatest(F.col("sz"), F.lit(1e-6))
-    edges = keep(box.select("scene_id", "m", F.greatest(F.cbrt(volume / F.col("m") * cell_points), F.lit(1e-9)).alias("h"), F.greatest("sx", "sy", "sz").alias("span")), "edges")
-    asking, done, rounds = places.filter(F.col("n") <= k), None, 0
-    while True:
-        rounds += 1
-        edge = edges.select("scene_id", (F.col("h") * 2.0 ** (rounds - 1)).alias("edge"), "m", "span")
-        cell = lambda df: df.join(small(edge), "scene_id").withColumns({f"c{a}": F.floor(F.col(a) / F.col("edge")) for a in axes})
-        cells = ["scene_id", "cx", "cy", "cz"]
-        there = cell(places)
-        # Only cells that hold anyone are met.
-        blocks = there.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-        there = there.join(blocks, cells).withColumn("b", F.pmod("place", F.col("blocks")).cast("int")).select(*cells, "b", "place", "n", *axes)
-        around = asking.join(small(edge), "scene_id")
-        for a in axes:
-            around = around.withColumn(f"c{a}", F.explode(F.array(*[F.floor(F.col(a) / F.col("edge")) + d for d in (-1, 0, 1)])))
-        around = around.join(blocks, cells)
-        parts = around.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-        # Each part of a cell's askers meets each block of its points.
-        around = around.join(parts, cells).withColumn("part", F.pmod("place", F.col("parts")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        there = there.join(parts, cells).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        key = [*cells, "b", "part"]
-        # Both sides come from the same points: names of its own keep them apart.
-        there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", "n", *axes)])
-        near = around.select(*key, "place", *axes).groupBy(*key).cogroup(there.groupBy(*[f"p_{c}" for c in key])).applyInPandas(_near(k), "scene_id int, place long, d2 array<double>")
-        merged = near.groupBy("scene_id", "place").agg(F.slice(F.filter(F.sort_array(F.flatten(F.collect_list("d2"))), lambda x: x < float("inf")), 1, k).alias("d2"))
-        state = asking.join(merged, ["scene_id", "place"], "left").join(small(edge), "scene_id")
-        # The point's own place holds n - 1 others at distance 0.
-        d2 = F.slice(F.concat(F.array_repeat(F.lit(0.0), F.col("n").cast("int") - 1), F.coalesce("d2", F.array().cast("array<double>"))), 1, k)
-        state = state.withColumn("d2", d2)
-        full = (F.size("d2") >= k) & (F.array_max("d2") <= F.col("edge") * F.col("edge"))
-        state = keep(state.withColumn("_done", full | (F.col("edge") > F.col("span"))), f"round{rounds}")
-        got = state.filter("_done").select("scene_id", "place", "d2")
-        done = got if done is None else done.unionByName(got)
-        asking = state.filter("not _done").select("scene_id", *axes, "n", "place")
-        if asking.isEmpty():
-            break
+    places = numbered.groupBy("scene_id", *AXES).agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.xxhash64(*AXES))
+    found = regions.split(places, keep, ["scene_id"], AXES, ["place"], leaf)
+    own = keep(found.rows.groupBy("scene_id", "region").applyInPandas(_own(k), "scene_id int, place long, x double, y double, z double, home long, d2 array<double>, reach double"), "own")
+    # With all neighbours at distance 0 nothing is nearer.
+    asking = regions.reached(found, own.filter("reach > 0").drop("d2"), AXES, "reach").filter("region <> home")
+    asking = keep(asking.select("scene_id", "region", "place", *AXES), "asking")
+    parts = asking.groupBy("scene_id", "region").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    asking = asking.join(parts, ["scene_id", "region"]).withColumn("part", F.pmod("place", F.col("parts")).cast("int"))
+    there = found.rows.join(parts, ["scene_id", "region"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["scene_id", "region", "part"]
+    # Both sides come from the same points: names of its own keep them apart.
+    there = there.select(*[F.col(c).alias(f"p_{c}") for c in (*key, "place", "n", *AXES)])
+    near = asking.groupBy(*key).cogroup(there.groupBy(*[f"p_{c}" for c in key])).applyInPandas(_other(k), "scene_id int, place long, d2 array<double>")
+    both = own.select("scene_id", "place", "d2").unionByName(near).groupBy("scene_id", "place").agg(F.slice(F.sort_array(F.flatten(F.collect_list("d2"))), 1, k).alias("d2"))
     mean = F.greatest(F.coalesce(F.try_divide(F.aggregate("d2", F.lit(0.0), lambda a, x: a + x), F.size("d2").cast("double")), F.lit(0.0)), F.lit(LEAST))
-    crowded = places.filter(F.col("n") > k).select("scene_id", "place", F.lit(LEAST).alias("mean_sq_dist"))
-    found = done.select("scene_id", "place", mean.alias("mean_sq_dist")).unionByName(crowded)
-    return numbered.withColumn("place", F.xxhash64(*axes)).join(found, ["scene_id", "place"]).select("scene_id", "point3d_id", "mean_sq_dist").unionByName(odd)
+    crowded = found.rows.filter(F.col("n") > k).select("scene_id", "place", F.lit(LEAST).alias("mean_sq_dist"))
+    told = both.select("scene_id", "place", mean.alias("mean_sq_dist")).unionByName(crowded)
+    return numbered.withColumn("place", F.xxhash64(*AXES)).join(told, ["scene_id", "place"]).select("scene_id", "point3d_id", "mean_sq_dist").unionByName(odd)

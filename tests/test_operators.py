@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.appearance import logit
 from sceneloom.jobs.scratch import keeper
-from sceneloom.operators import adapt, depth, knn, metrics, project, views
+from sceneloom.operators import adapt, depth, knn, metrics, project, regions, views
 
 
 def brute_knn(xyz, k=3):
@@ -17,20 +17,39 @@ def brute_knn(xyz, k=3):
     return [max(float(r[np.isfinite(r)].mean()) if np.isfinite(r).any() else 0.0, 1e-7) for r in d]
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_neighbours_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("leaf", "block"), [(512, 2048), (20, 7)])
+def test_neighbours_equal_brute_force(spark, leaf, block):
     rng = np.random.default_rng(5)
     cluster = rng.normal(size=(150, 3)) * 0.01
     xyz = np.concatenate([rng.uniform(-5, 5, (150, 3)), cluster, cluster[:9], np.repeat(cluster[:1], 6, 0), [[500, 0, 0], [500, 0, 1]]])
     scenes = [(0, xyz), (1, xyz[:1]), (2, xyz[:3]), (3, np.repeat(xyz[:1], 5, 0))]
     rows = [(s, i, *map(float, p)) for s, pts in scenes for i, p in enumerate(pts)]
     points = spark.createDataFrame(rows, "scene_id int, point3d_id long, x double, y double, z double").repartition(5)
-    got = {(r.scene_id, r.point3d_id): r.mean_sq_dist for r in knn.nearest_sq_dist(points, keeper(spark, "t"), block=block).collect()}
+    got = {(r.scene_id, r.point3d_id): r.mean_sq_dist for r in knn.nearest_sq_dist(points, keeper(spark, "t"), leaf=leaf, block=block).collect()}
     assert len(got) == len(rows)
     for s, pts in scenes:
         assert np.allclose([got[s, i] for i in range(len(pts))], brute_knn(pts), rtol=1e-9)
 
 
+def test_regions_follow_density(spark):
+    """A far point, tight clusters and points on a line need no more visits, and no larger regions, than even points."""
+    rng = np.random.default_rng(3)
+    even = rng.uniform(-5, 5, (4000, 3))
+    clusters = np.concatenate([c + rng.normal(size=(500, 3)) * 10.0**-k for k, c in enumerate(rng.uniform(-5, 5, (8, 3)))])
+    line = np.stack([np.exp(rng.uniform(-20, 5, 4000)), np.zeros(4000), np.zeros(4000)], 1)
+    far = np.concatenate([even[1:], [[1e9, -1e9, 1e9]]])
+    visits = []
+    for xyz in (even, far, clusters, line):
+        points = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "scene_id int, place long, x double, y double, z double")
+        found = regions.split(points, keeper(spark, "t"), ["scene_id"], ["x", "y", "z"], ["place"], 100)
+        assert found.rows.count() == 4000 and found.rows.groupBy("region").count().agg(F.max("count")).first()[0] <= 100
+        d = np.sort(((xyz[:, None] - xyz[None]) ** 2).sum(2), 1)[:, 3]
+        asking = spark.createDataFrame([(0, *map(float, p), float(np.sqrt(r))) for p, r in zip(xyz, d, strict=True)], "scene_id int, x double, y double, z double, reach double")
+        visits.append(regions.reached(found, asking, ["x", "y", "z"], "reach").count())
+    # The far point may ask many regions, the others no more than they did.
+    assert visits[1] <= 1.2 * visits[0] + 200 and visits[2] <= 1.5 * visits[0] and visits[3] <= visits[0]
+
+
 def test_ssim():
     rng = np.random.default_rng(6)
     a, b = rng.uniform(size=(2, 3, 20, 16)), rng.uniform(size=(2, 3, 20, 16))
