@@ -66,18 +66,6 @@ def with_seen(text: str, *names: str, **more: str) -> str:
     return with_views(text, *_ROTS, *names, seen=SEEN, **more)
 
 
-def first_views(spark, sf) -> DataFrame:
-    """The view of the least image id of each scene."""
-    return views.first_n_per_group(seen(spark, sf), ["scene_id"], 1, "image_id")
-
-
-FIRST = "SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY image_id) = 1"
-
-
-def with_first(text: str, *names: str) -> str:
-    return with_seen(text, *names, first=FIRST)
-
-
 # --- geometry -----------------------------------------------------------------------------------
 
 
@@ -156,21 +144,21 @@ def _row(k: int) -> str:
     return f"({_FULL[f'm{4 * k}']}) * x + ({_FULL[f'm{4 * k + 1}']}) * y + ({_FULL[f'm{4 * k + 2}']}) * z + ({_FULL[f'm{4 * k + 3}']})"
 
 
-@query(with_first(f"SELECT points3d.scene_id, point3d_id, {', '.join(f'round(({_row(k)}) / ({_row(3)} + 1e-7), 4) + 0.0 AS p{k}' for k in range(3))} FROM points3d JOIN first USING (scene_id)", "points3d"))
+@query(with_seen(f"SELECT points3d.scene_id, image_id AS view_id, point3d_id, {', '.join(f'round(({_row(k)}) / ({_row(3)} + 1e-7), 4) + 0.0 AS p{k}' for k in range(3))} FROM points3d JOIN seen USING (scene_id)", "points3d"))
 def transform_points(spark, sf):
-    view = first_views(spark, sf).withColumn("m", full_projection()).select("scene_id", "m")
+    view = seen(spark, sf).withColumn("m", full_projection()).select("scene_id", F.col("image_id").alias("view_id"), "m")
     moved = G.transform_point(F.col("m"), F.col("x"), F.col("y"), F.col("z"))
-    return X.points3d(spark, sf).join(F.broadcast(view), "scene_id").select("scene_id", "point3d_id", *[r(v, f"p{k}", 4) for k, v in enumerate(moved)])
+    return X.points3d(spark, sf).join(views.small(view), "scene_id").select("scene_id", "view_id", "point3d_id", *[r(v, f"p{k}", 4) for k, v in enumerate(moved)])
 
 
 _Z = "(r6 * x + r7 * y + r8 * z + tz)"
 
 
-@query(with_first(f"SELECT points3d.scene_id, point3d_id, {q(depth=_Z, inverse=f'1 / nullif({_Z}, 0)')} FROM points3d JOIN first USING (scene_id)", "points3d"))
+@query(with_seen(f"SELECT points3d.scene_id, image_id AS view_id, point3d_id, {q(depth=_Z, inverse=f'1 / nullif({_Z}, 0)')} FROM points3d JOIN seen USING (scene_id)", "points3d"))
 def world_to_camera_depth(spark, sf):
-    view = first_views(spark, sf).select("scene_id", "rot", "tvec")
+    view = seen(spark, sf).select("scene_id", F.col("image_id").alias("view_id"), "rot", "tvec")
     at = [F.col("rot"), F.col("tvec"), F.col("x"), F.col("y"), F.col("z")]
-    return X.points3d(spark, sf).join(F.broadcast(view), "scene_id").select("scene_id", "point3d_id", r(G.camera_point(*at)[2], "depth"), r(G.inverse_depth(*at), "inverse"))
+    return X.points3d(spark, sf).join(views.small(view), "scene_id").select("scene_id", "view_id", "point3d_id", r(G.camera_point(*at)[2], "depth"), r(G.inverse_depth(*at), "inverse"))
 
 
 _NORMED = "SELECT image_id, tx, ty, tz, qw / n AS a, qx / n AS b, qy / n AS c, qz / n AS d FROM (SELECT *, sqrt(qw * qw + qx * qx + qy * qy + qz * qz) AS n FROM images)"
@@ -231,15 +219,15 @@ def eval_sh(spark, sf):
     return X.primitives(spark, sf).select("prim_id", r(A.eval_sh(1, coefficients, *unit), "sh1"), r(A.eval_sh(3, coefficients, *unit), "sh3"))
 
 
-_TOWARD = "SELECT prim_id, dc0, dc1, dc2, rest, dx / n AS x, dy / n AS y, dz / n AS z FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM (SELECT p.*, p.x - c0 AS dx, p.y - c1 AS dy, p.z - c2 AS dz FROM primitives p JOIN first USING (scene_id)))"
+_TOWARD = "SELECT prim_id, image_id, dc0, dc1, dc2, rest, dx / n AS x, dy / n AS y, dz / n AS z FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM (SELECT p.*, image_id, p.x - c0 AS dx, p.y - c1 AS dy, p.z - c2 AS dz FROM primitives p JOIN seen USING (scene_id)))"
 
 
-@query(with_seen(f"SELECT prim_id, {q(red=f'greatest({_sh_sql(3, 0)} + 0.5e0, 0)', green=f'greatest({_sh_sql(3, 1)} + 0.5e0, 0)', blue=f'greatest({_sh_sql(3, 2)} + 0.5e0, 0)')} FROM d", "primitives", first=FIRST, d=_TOWARD))
+@query(with_seen(f"SELECT image_id AS view_id, prim_id, {q(red=f'greatest({_sh_sql(3, 0)} + 0.5e0, 0)', green=f'greatest({_sh_sql(3, 1)} + 0.5e0, 0)', blue=f'greatest({_sh_sql(3, 2)} + 0.5e0, 0)')} FROM d", "primitives", d=_TOWARD))
 def view_color(spark, sf):
-    view = first_views(spark, sf).select("scene_id", "centre")
-    rows = X.primitives(spark, sf).join(F.broadcast(view), "scene_id")
+    view = seen(spark, sf).select("scene_id", F.col("image_id").alias("view_id"), "centre")
+    rows = X.primitives(spark, sf).join(views.small(view), "scene_id")
     rgb = A.view_color(3, F.col("f_dc"), F.col("f_rest"), [F.col(a) for a in "xyz"], [F.get("centre", F.lit(k)) for k in range(3)])
-    return rows.select("prim_id", *[r(v, n) for v, n in zip(rgb, ("red", "green", "blue"), strict=True)])
+    return rows.select("view_id", "prim_id", *[r(v, n) for v, n in zip(rgb, ("red", "green", "blue"), strict=True)])
 
 
 @query(with_views("SELECT DISTINCT iteration * 7 AS iteration, least(iteration * 7 // 1000, 3)::INT AS degree FROM view_stats", "view_stats"))
@@ -596,10 +584,9 @@ def cameras(views: DataFrame) -> DataFrame:
     return views.select("scene_id", F.col("image_id").alias("view_id"), F.col("rot").alias("view_rot"), "tvec", "fovx", "fovy", "width", "height")
 
 
-def splats(spark, sf, views: DataFrame) -> DataFrame:
+def splats(spark, sf, views: DataFrame, margin: int = 0) -> DataFrame:
     rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot")
-    # Each row becomes one for each view, so they are spread over the tasks before.
-    return project.project(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), cameras(views))
+    return project.project(rows, cameras(views), keeper(spark, "project"), margin)
 
 
 _CAM = "SELECT prim_id, width, height, fx, fy, v0, v1, v2, v3, v4, v5, v6, v7, v8, r0, r1, r2, r3, r4, r5, r6, r7, r8, s, v0 * x + v1 * y + v2 * z + tx AS cx, v3 * x + v4 * y + v5 * z + ty AS cy, v6 * x + v7 * y + v8 * z + tz AS cz, scene_id, image_id FROM rot JOIN (SELECT scene_id, image_id, width, height, fx, fy, tx, ty, tz, r0 AS v0, r1 AS v1, r2 AS v2, r3 AS v3, r4 AS v4, r5 AS v5, r6 AS v6, r7 AS v7, r8 AS v8 FROM shot) USING (scene_id)"
@@ -615,7 +602,7 @@ def with_splats(text: str, shot: str = "SELECT * FROM seen", **more: str) -> str
     return with_views(text, *_ROTS, "primitives", seen=SEEN, shot=shot, unit=_UNIT, rot=_ROT, cam=_CAM, flat=_FLAT, cov=_COV, splat=_SPLAT, **more)
 
 
-@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat"))
+@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat WHERE px + radius >= 0 AND px - radius < width AND py + radius >= 0 AND py - radius < height"))
 def project_primitives(spark, sf):
     return splats(spark, sf, seen(spark, sf)).select("scene_id", "view_id", "prim_id", r("px", "px", 3), r("py", "py", 3), r("depth", "depth", 5), "radius")
 
@@ -625,7 +612,7 @@ _TILED = "SELECT scene_id, image_id, prim_id, unnest(generate_series(x0, x1)) AS
 
 @query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, tile_x, tile_y, count(*) AS n FROM (SELECT *, unnest(generate_series(y0, y1)) AS tile_y FROM tiled) GROUP BY ALL", tiled=_TILED))
 def assign_tiles(spark, sf):
-    tiled = project.assign_tiles(splats(spark, sf, seen(spark, sf)), 128)
+    tiled = project.assign_tiles(splats(spark, sf, seen(spark, sf), 128), 128)
     return tiled.groupBy("scene_id", "view_id", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -651,16 +638,22 @@ def composite_front_to_back(spark, sf):
     return out.select("scene_id", "view_id", "pixel", r("red", "red", 5), r("green", "green", 5), r("inverse_depth", "inverse_depth", 5), "n_blended")
 
 
-@query()
+_RANKED = _TILED.replace("prim_id,", "prim_id, cz,").replace("128", "512")
+
+
+@query(with_splats("SELECT scene_id::INT AS scene_id, view_id, tile_x, tile_y, prim_id, row_number() OVER (PARTITION BY scene_id, view_id, tile_x, tile_y ORDER BY depth, prim_id) - 1 AS rank FROM (SELECT *, image_id AS view_id, round(cz, 5) AS depth, unnest(generate_series(y0, y1)) AS tile_y FROM tiled)", tiled=_RANKED))
 def depth_sort(spark, sf):
-    return project.depth_sorted(project.assign_tiles(splats(spark, sf, first_views(spark, sf)), 256)).select("scene_id", "view_id", "tile_x", "tile_y", "depth", "prim_id")
+    """Places in each tile; depths are rounded first, as their last digits are the machine's."""
+    rows = splats(spark, sf, seen(spark, sf), 512).withColumn("depth", F.round("depth", 5))
+    ranked = project.depth_ranked(project.assign_tiles(rows, 512), keeper(spark, "depth_sort"))
+    return ranked.select("scene_id", "view_id", "tile_x", "tile_y", "prim_id", "rank")
 
 
-#: Width of the frames that are rendered; tiles have 16 pixels on a side.
-FRAME = 32
+#: Width of the frames that are rendered, and of their tiles.
+FRAME, FRAME_TILE = 32, 16
 
-#: The first view of each scene at the working size, its focal lengths with it.
-_SHOT = f"SELECT * REPLACE ({FRAME} AS width, floor(height / (width / {FRAME}e0))::BIGINT AS height, fx * {FRAME}e0 / width AS fx, fy * floor(height / (width / {FRAME}e0)) / height AS fy) FROM ({FIRST})"
+#: Each view at the working size, its focal lengths with it.
+_SHOT = f"SELECT * REPLACE ({FRAME} AS width, floor(height / (width / {FRAME}e0))::BIGINT AS height, fx * {FRAME}e0 / width AS fx, fy * floor(height / (width / {FRAME}e0)) / height AS fy) FROM seen"
 _TOUCHED = "SELECT *, unnest(generate_series(x0, x1)) AS tile_x FROM (SELECT *, greatest(floor((px - radius) / 16), 0)::BIGINT AS x0, least(floor((px + radius) / 16), ceil(width / 16e0) - 1)::BIGINT AS x1, greatest(floor((py - radius) / 16), 0)::BIGINT AS y0, least(floor((py + radius) / 16), ceil(height / 16e0) - 1)::BIGINT AS y1 FROM splat WHERE radius > 0) WHERE x0 <= x1 AND y0 <= y1"
 _ON_PIXEL = "SELECT *, px - (x + 0.5e0) AS ex, py - (y + 0.5e0) AS ey, a * d - b * b AS det FROM (SELECT *, unnest(generate_series(16 * y0, least(16 * y1 + 16, height) - 1)) AS y FROM (SELECT *, unnest(generate_series(16 * tile_x, least(16 * tile_x + 16, width) - 1)) AS x FROM touched))"
 _BITS = f"SELECT scene_id, image_id AS view_id, y * width + x AS pixel, prim_id, cz AS depth, p * exp(-0.5e0 * (d * ex * ex - 2 * b * ex * ey + a * ey * ey) / det) AS alpha, greatest(dc0 * {_C0} + 0.5e0, 0) AS red, greatest(dc1 * {_C0} + 0.5e0, 0) AS green FROM onpixel JOIN (SELECT prim_id, p, dc0, dc1 FROM primitives) USING (prim_id)"
@@ -670,12 +663,12 @@ _FRAME = "SELECT scene_id, image_id AS view_id, unnest(range(0, width * height))
 
 @query(with_splats("SELECT scene_id::INT AS scene_id, view_id, pixel, round(coalesce(red, 1), 5) + 0.0 AS red, round(coalesce(green, 1), 5) + 0.0 AS green, round(coalesce(inv, 0), 5) + 0.0 AS inverse_depth, coalesce(n, 0) AS n_blended FROM frame LEFT JOIN blended USING (scene_id, view_id, pixel)", shot=_SHOT, touched=_TOUCHED, onpixel=_ON_PIXEL, bits=_BITS, frag=_CAPPED, lg=_LOG, blended=_BLENDED, frame=_FRAME))
 def render(spark, sf):
-    colours = [F.greatest(A.sh_to_rgb(F.get("f_dc", F.lit(k))), F.lit(0.0)).alias(n) for k, n in enumerate(("red", "green", "blue"))]
-    rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot", A.sigmoid(F.col("opacity")).alias("opacity"), *colours)
-    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Each view, with the primitives' constant colours in place of the harmonics."""
+    colours = [F.greatest(A.sh_to_rgb(F.get("f_dc", F.lit(k))), F.lit(0.0)) for k in range(3)]
+    rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot", A.sigmoid(F.col("opacity")).alias("opacity"), "f_dc")
     width, height = S.working_resolution(F.col("width"), F.col("height"), FRAME)
-    view = cameras(first_views(spark, sf)).withColumns({"width": width, "height": height})
-    out = project.render(rows, view, background=1.0)
+    view = cameras(seen(spark, sf)).withColumns({"width": width, "height": height})
+    out = project.render(rows, view, keeper(spark, "render"), background=1.0, tile=FRAME_TILE, override=colours)
     return out.select("scene_id", "view_id", "pixel", r("red", "red", 5), r("green", "green", 5), r("inverse_depth", "inverse_depth", 5), "n_blended")
 
 

@@ -198,7 +198,7 @@ def test_render_blends_splats_and_leaves_the_rest_background(spark):
     # Two before the camera, the nearer one listed last; one behind it; one without opacity.
     prims = [(0, 1, 0.0, 0.0, 4.0, 0.9, 0.5), (0, 2, 0.0, 0.0, 2.0, 0.8, 1.0), (0, 3, 0.0, 0.0, -2.0, 0.9, 1.0), (0, 4, 0.0, 0.0, 1.0, 0.0, 1.0)]
     rows = spark.createDataFrame([(s, p, x, y, z, [0.05] * 3, turn, o, c, c, c) for s, p, x, y, z, o, c in prims], "scene_id int, prim_id long, x double, y double, z double, scale array<double>, rot array<double>, opacity double, red double, green double, blue double")
-    got = {(r.view_id, r.pixel): r for r in project.render(rows, views, 0.25, tile=8).collect()}
+    got = {(r.view_id, r.pixel): r for r in project.render(rows, views, keeper(spark, "t"), 0.25, tile=8, override=[F.col(c) for c in ("red", "green", "blue")]).collect()}
     assert len(got) == 2 * 400 + 15
 
     def alpha(opacity, depth, x, y):
@@ -214,4 +214,63 @@ def test_render_blends_splats_and_leaves_the_rest_background(spark):
                 red, through, n = red + through * a * c, through * (1 - a), n + 1
         assert (row.n_blended, row.red, row.transmittance) == (n, pytest.approx(red + 0.25 * through), pytest.approx(through))
     assert got[1, 9 * 20 + 9].n_blended == 2 and got[3, 0].red == 0.25
-    assert project.render(rows.limit(0), views, 0.25).filter("red = 0.25").count() == 815
+    assert project.render(rows.limit(0), views, keeper(spark, "t"), 0.25, override=[F.col(c) for c in ("red", "green", "blue")]).filter("red = 0.25").count() == 815
+
+
+def many_splats(spark, n=400, seed=4):
+    """Primitives all around, most of them unseen, and cameras in their midst and outside."""
+    rng = np.random.default_rng(seed)
+    rows = [(int(k % 2), k, *map(float, rng.uniform(-12, 12, 3)), [float(v) for v in np.exp(rng.uniform(-4, 0.5, 3))], [float(v) for v in rng.normal(size=4)], float(rng.uniform(0, 1)), [float(v) for v in rng.normal(size=3)], [float(v) for v in rng.normal(size=9) / 4]) for k in range(n)]
+    rows += [(0, n + 1, float("nan"), 0.0, 1.0, [1.0] * 3, [1.0, 0.0, 0.0, 0.0], 0.5, [0.0] * 3, [0.0] * 9), (0, n + 2, 0.0, 0.0, None, [1.0] * 3, [1.0, 0.0, 0.0, 0.0], 0.5, [0.0] * 3, [0.0] * 9)]
+    prims = spark.createDataFrame(rows, "scene_id int, prim_id long, x double, y double, z double, scale array<double>, rot array<double>, opacity double, f_dc array<double>, f_rest array<double>")
+    cams = []
+    for v in range(6):
+        turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        turn *= np.sign(np.linalg.det(turn))
+        at = rng.uniform(-3, 3, 3) * (v + 1) / 2
+        cams.append((v % 2, v, [float(x) for x in turn.ravel()], [float(x) for x in -turn @ at], [float(x) for x in at], 0.5, 0.4, 37, 26))
+    return prims, spark.createDataFrame(cams, "scene_id int, view_id long, view_rot array<double>, tvec array<double>, centre array<double>, fovx double, fovy double, width long, height long")
+
+
+def test_culled_cells_hide_nothing(spark, monkeypatch):
+    prims, views = many_splats(spark)
+    prims, views = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views")
+    seen = lambda cell: sorted((r.view_id, r.prim_id, round(r.px, 6), r.radius) for r in project.project(prims, views, keeper(spark, "t"), 8, cell).collect())
+    _, boxes = project.cells(prims, keeper(spark, "t"), 4)
+    pairs = boxes.join(views, "scene_id")
+    met = pairs.filter(project.may_be_seen(8)).agg(F.sum("n")).first()[0]
+    few, one = seen(4), seen(1000)
+    monkeypatch.setattr(project, "may_be_seen", lambda margin: F.lit(True))
+    assert few == one == seen(1000) and len(few) > 40
+    assert len(few) <= met < 0.6 * prims.count() * 3
+
+
+@pytest.mark.parametrize("most", [4096, 6])
+def test_tiles_blended_as_blocks_equal_fragments(spark, most):
+    """By harmonics and by given colours, with tiles whole and cut by depth; some splats stand at one depth."""
+    prims, views = many_splats(spark, 150)
+    prims = prims.withColumn("z", F.when(F.col("prim_id") % 5 == 0, F.lit(2.0)).otherwise(F.col("z")))
+    prims, views = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views")
+    got = project.render(prims, views, keeper(spark, "t"), 0.3, tile=8, degree=1, most_splats=most)
+    keyed = lambda df: {(r.view_id, r.pixel): (r.red, r.green, r.blue, r.inverse_depth, r.transmittance, r.n_blended) for r in df.collect()}
+    rgb = project.view_color(1, F.col("f_dc"), F.col("f_rest"), [F.col(a) for a in "xyz"], [F.get("centre", F.lit(k)) for k in range(3)])
+    splats = project.project(prims, views, keeper(spark, "t"), 8).withColumns(dict(zip(("red", "green", "blue"), rgb, strict=True)))
+    want = keyed(project.render_by_pixels(project.assign_tiles(splats, 8), views, 0.3, 8))
+    got = keyed(got)
+    assert got.keys() == want.keys() and len(got) == 6 * 37 * 26
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in got) and sum(w[5] > 3 for w in want.values()) > 100
+    tiled = keeper(spark, "t")(project.assign_tiles(splats, 8), "tiled")
+    ranked = project.depth_ranked(tiled, keeper(spark, "t"), most=most).toPandas().sort_values(["view_id", "tile_x", "tile_y", "depth", "prim_id"])
+    assert (ranked.groupby(["view_id", "tile_x", "tile_y"]).cumcount() == ranked["rank"]).all()
+    if most == 6:
+        parts = project.depth_parts(tiled, keeper(spark, "t"), most=6)
+        assert parts.groupBy(*project.KEY, "part").count().agg(F.max("count")).first()[0] <= 7 and parts.agg(F.max("parts")).first()[0] > 1
+
+
+def test_activations_of_the_callers_choice(spark):
+    from sceneloom.functions import primitives as P
+
+    row = spark.createDataFrame([(0.25, [1.0, 2.0, 3.0], [0.0, 2.0, 0.0, 0.0])], "opacity double, scale array<double>, rot array<double>")
+    got = P.activate(F.col("opacity"), F.col("scale"), F.col("rot"), opacity_of=lambda x: x * 2, scale_of=lambda x: x + 1)
+    out = row.select(*[v.alias(k) for k, v in got.items()]).first()
+    assert (out.opacity, out.scale, out.rot) == (0.5, [2.0, 3.0, 4.0], [0.0, 1.0, 0.0, 0.0])
