@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +58,36 @@ def resize_pyramid(pixels: Column, height: int, width: int, levels: int = 3) ->
     return out
 
 
+@lru_cache(maxsize=256)
+def area_weights(size: int, to: int) -> np.ndarray:
+    """(to, size): the share of each of ``size`` cells in each of ``to`` that cover the same length."""
+    step = size / to
+    low, high = np.arange(to)[:, None] * step, (np.arange(to)[:, None] + 1) * step
+    return np.maximum(np.minimum(high, np.arange(size) + 1) - np.maximum(low, np.arange(size)), 0) / step
+
+
+def resized(pixels: Column, height: Column, width: Column, to_height: Column, to_width: Column) -> Column:
+    """Row-major images, channel after channel, at any other size: each new pixel is the mean of the area that it covers.
+
+    Sizes may differ from row to row; weights are worked out once for each pair of sizes, and rows and columns are weighed apart.
+    A null in any argument gives null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series, h: pd.Series, w: pd.Series, th: pd.Series, tw: pd.Series) -> pd.Series:
+        out = []
+        for image, *sizes in zip(v, h, w, th, tw, strict=True):
+            if image is None or any(pd.isna(x) for x in sizes):
+                out.append(None)
+                continue
+            a, b, c, d = map(int, sizes)
+            planes = np.asarray(image, float).reshape(-1, a, b)
+            out.append((area_weights(a, c) @ planes @ area_weights(b, d).T).ravel())
+        return pd.Series(out, dtype=object)
+
+    return run(pixels, height, width, to_height, to_width)
+
+
 def expon_decay(step: Column, first: float, last: float, delay_steps: int = 0, delay_mult: float = 1.0, steps: int = 1_000_000) -> Column:
     """Log-linear from ``first`` to ``last``, eased in by a sine over ``delay_steps``; 0 before step 0 or if both ends are 0."""
     if first == 0 and last == 0:

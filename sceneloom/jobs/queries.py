@@ -219,15 +219,7 @@ def eval_sh(spark, sf):
     return X.primitives(spark, sf).select("prim_id", r(A.eval_sh(1, coefficients, *unit), "sh1"), r(A.eval_sh(3, coefficients, *unit), "sh3"))
 
 
-_TOWARD = "SELECT prim_id, image_id, dc0, dc1, dc2, rest, dx / n AS x, dy / n AS y, dz / n AS z FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM (SELECT p.*, image_id, p.x - c0 AS dx, p.y - c1 AS dy, p.z - c2 AS dz FROM primitives p JOIN seen USING (scene_id)))"
-
-
-@query(with_seen(f"SELECT image_id AS view_id, prim_id, {q(red=f'greatest({_sh_sql(3, 0)} + 0.5e0, 0)', green=f'greatest({_sh_sql(3, 1)} + 0.5e0, 0)', blue=f'greatest({_sh_sql(3, 2)} + 0.5e0, 0)')} FROM d", "primitives", d=_TOWARD))
-def view_color(spark, sf):
-    view = seen(spark, sf).select("scene_id", F.col("image_id").alias("view_id"), "centre")
-    rows = X.primitives(spark, sf).join(views.small(view), "scene_id")
-    rgb = A.view_color(3, F.col("f_dc"), F.col("f_rest"), [F.col(a) for a in "xyz"], [F.get("centre", F.lit(k)) for k in range(3)])
-    return rows.select("view_id", "prim_id", *[r(v, n) for v, n in zip(rgb, ("red", "green", "blue"), strict=True)])
+_TOWARD = "SELECT prim_id, image_id AS view_id, dc0, dc1, dc2, rest, dx / n AS x, dy / n AS y, dz / n AS z FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS n FROM (SELECT p.*, image_id, p.x - c0 AS dx, p.y - c1 AS dy, p.z - c2 AS dz FROM primitives p JOIN seen USING (scene_id)))"
 
 
 @query(with_views("SELECT DISTINCT iteration * 7 AS iteration, least(iteration * 7 // 1000, 3)::INT AS degree FROM view_stats", "view_stats"))
@@ -303,6 +295,22 @@ def resize_pyramid(spark, sf):
     return X.tiles(spark, sf).select("scene_id", "method", "name", r(F.get(half, F.lit(0)), "half0"), r(F.get(eighth, F.lit(0)), "eighth"), F.size(half).alias("n_half"))
 
 
+def _share(to: int, i: int, at: str) -> str:
+    return f"greatest(0, least({i + 1} * 8e0 / {to}, {at} + 1) - greatest({i} * 8e0 / {to}, {at})) * {to} / 8e0"
+
+
+def _area(i: int, k: int) -> str:
+    return f"list_sum(list_transform(range(64), lambda p: {_share(5, i, '(p // 8)')} * {_share(3, k, '(p % 8)')} * render[p + 1]))"
+
+
+@query(with_views(f"SELECT scene_id, method, name, 15 AS n, {q(first=_area(0, 0), middle=_area(2, 1), last=_area(4, 2))} FROM tiles", "tiles"))
+def resized(spark, sf):
+    """8 x 8 to 5 x 3 pixels."""
+    rows = X.tiles(spark, sf)
+    out = rows.withColumn("v", S.resized(F.col("render"), F.lit(8), F.lit(8), F.lit(5), F.lit(3)))
+    return out.select("scene_id", "method", "name", F.size("v").alias("n"), *[r(F.get("v", F.lit(k)), n) for k, n in ((0, "first"), (7, "middle"), (14, "last"))])
+
+
 @query(with_views("SELECT DISTINCT iteration, round((0.01e0 + 0.99e0 * sin(pi() / 2 * least(iteration / 1000e0, 1))) * exp(ln(1e0) * (1 - least(iteration / 2000e0, 1)) + ln(0.01e0) * least(iteration / 2000e0, 1)), 6) + 0.0 AS weight FROM view_stats", "view_stats"))
 def expon_decay(spark, sf):
     rows = X.view_stats(spark, sf).select("iteration").distinct()
@@ -602,11 +610,23 @@ def with_splats(text: str, shot: str = "SELECT * FROM seen", **more: str) -> str
     return with_views(text, *_ROTS, "primitives", seen=SEEN, shot=shot, unit=_UNIT, rot=_ROT, cam=_CAM, flat=_FLAT, cov=_COV, splat=_SPLAT, **more)
 
 
-@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat WHERE px + radius >= 0 AND px - radius < width AND py + radius >= 0 AND py - radius < height"))
+_ON_FRAME = "px + radius >= 0 AND px - radius < width AND py + radius >= 0 AND py - radius < height"
+
+
+@query(with_splats("SELECT scene_id::INT AS scene_id, image_id AS view_id, prim_id, round(px, 3) + 0.0 AS px, round(py, 3) + 0.0 AS py, round(cz, 5) + 0.0 AS depth, radius FROM splat WHERE " + _ON_FRAME))
 def project_primitives(spark, sf):
     return splats(spark, sf, seen(spark, sf)).select("scene_id", "view_id", "prim_id", r("px", "px", 3), r("py", "py", 3), r("depth", "depth", 5), "radius")
 
 
+@query(with_splats(f"SELECT view_id, prim_id, {q(red=f'greatest({_sh_sql(3, 0)} + 0.5e0, 0)', green=f'greatest({_sh_sql(3, 1)} + 0.5e0, 0)', blue=f'greatest({_sh_sql(3, 2)} + 0.5e0, 0)')} FROM d JOIN (SELECT image_id AS view_id, prim_id FROM splat WHERE {_ON_FRAME}) USING (view_id, prim_id)", d=_TOWARD))
+def view_color(spark, sf):
+    """Colours of what each view sees."""
+    rows = X.primitives(spark, sf).select("scene_id", "prim_id", "x", "y", "z", F.transform("scale", F.exp).alias("scale"), "rot", "f_dc", "f_rest")
+    view = seen(spark, sf)
+    seen_by = project.project(rows, cameras(view).join(view.select(F.col("image_id").alias("view_id"), "centre"), "view_id"), keeper(spark, "view_color"), 0)
+    return project.with_colour(seen_by).select("view_id", "prim_id", *[r(n, n) for n in ("red", "green", "blue")])
+
+
 _TILED = "SELECT scene_id, image_id, prim_id, unnest(generate_series(x0, x1)) AS tile_x, y0, y1 FROM (SELECT *, greatest(floor((px - radius) / 128), 0)::BIGINT AS x0, least(floor((px + radius) / 128), ceil(width / 128e0) - 1)::BIGINT AS x1, greatest(floor((py - radius) / 128), 0)::BIGINT AS y0, least(floor((py + radius) / 128), ceil(height / 128e0) - 1)::BIGINT AS y1 FROM splat WHERE radius > 0) WHERE x0 <= x1 AND y0 <= y1"
 
 
@@ -763,6 +783,25 @@ def perceptual_distance(spark, sf):
     return pairs(spark, sf).select("scene_id", "method", "name", r(metrics.perceptual_distance(F.col("render"), F.col("gt"), weights, 4, 16), "distance"))
 
 
+_LEN2 = "(sqrt({f}[p] * {f}[p] + {f}[32 + p] * {f}[32 + p]) + 1e-10)"
+_LPIPS2 = " + ".join(f"{w} * power(render[{32 * c} + p] / {_LEN2.format(f='render')} - gt[{32 * c} + p] / {_LEN2.format(f='gt')}, 2)" for c, w in enumerate(("0.7e0", "0.2e0")))
+
+
+@query(with_pairs(f"SELECT scene_id, method, name, round(list_sum(list_transform(range(1, 17), lambda p: {_LPIPS})) / 16 + list_sum(list_transform(range(1, 33), lambda p: {_LPIPS2})) / 32, 6) + 0.0 AS distance FROM pairs"))
+def perceptual_layers(spark, sf):
+    layers = [(F.col("render"), F.col("gt"), F.array(*[F.lit((c + 1) / 10) for c in range(4)]), 4, 16), (F.col("render"), F.col("gt"), F.array(F.lit(0.7), F.lit(0.2)), 2, 32)]
+    return pairs(spark, sf).select("scene_id", "method", "name", r(metrics.perceptual_sum(layers), "distance"))
+
+
+@query(with_ssim("SELECT scene_id, method, name, round(ssim, 6) + 0.0 AS ssim FROM sims"))
+def ssim_by_tiles(spark, sf):
+    """The same from tiles of 5 pixels on a side, or what the frame has left."""
+    named = pairs(spark, sf).select(F.concat_ws("/", "scene_id", "method", "name").alias("image"), F.col("render").alias("a"), F.col("gt").alias("b"))
+    out = metrics.ssim_by_tiles(metrics.cut_tiles(named, 1, 8, 8, 5), 5)
+    part = F.split("image", "/")
+    return out.select(part[0].cast("int").alias("scene_id"), part[1].alias("method"), part[2].alias("name"), r("ssim", "ssim"))
+
+
 def scored(spark, sf) -> DataFrame:
     rows = pairs(spark, sf)
     dataset = F.when(F.col("scene_id") < 4, "outdoor").when(F.col("scene_id") < 7, "street").otherwise("indoor")
@@ -829,6 +868,10 @@ def stage_timings(spark, sf):
     return metrics.stage_timings(log).select("dataset", "stage", r("minutes", "minutes", 4), "n_jobs")
 
 
-@query(with_views("SELECT series, event_id, round(list_reduce(list_prepend(0e0, xs), lambda a, x: 0.6e0 * a + 0.4e0 * x), 6) + 0.0 AS ema FROM (SELECT series, event_id, list(loss) OVER (PARTITION BY series ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND CURRENT ROW) AS xs FROM loss_log)", "loss_log"))
+_STEPS = "SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) AS k FROM loss_log"
+_RUNNING = "SELECT series, event_id, k, 0.4e0 * loss AS ema FROM steps WHERE k = 1 UNION ALL SELECT s.series, s.event_id, s.k, 0.6e0 * e.ema + 0.4e0 * s.loss FROM running e JOIN steps s ON s.series = e.series AND s.k = e.k + 1"
+
+
+@query(with_views("SELECT series, event_id, round(ema, 6) + 0.0 AS ema FROM running", "loss_log", steps=_STEPS, running=_RUNNING).replace("WITH ", "WITH RECURSIVE ", 1))
 def ema_loss(spark, sf):
     return metrics.ema(X.loss_log(spark, sf)).select("series", "event_id", r("ema", "ema"))

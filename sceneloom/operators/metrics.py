@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..jobs.scratch import keeper
+
 SSIM_TAPS, SSIM_SIGMA = 11, 1.5
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
 
@@ -69,12 +71,16 @@ def _blur(stack: np.ndarray) -> np.ndarray:
     return stack
 
 
-def ssim_images(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Mean structural similarity of images (n, channels, height, width)."""
+def ssim_map(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Structural similarity at each pixel, by windows over the last two axes."""
     ma, mb = _blur(a), _blur(b)
     va, vb, cov = _blur(a * a) - ma * ma, _blur(b * b) - mb * mb, _blur(a * b) - ma * mb
-    ratio = (2 * ma * mb + SSIM_C1) * (2 * cov + SSIM_C2) / ((ma * ma + mb * mb + SSIM_C1) * (va + vb + SSIM_C2))
-    return ratio.mean((1, 2, 3))
+    return (2 * ma * mb + SSIM_C1) * (2 * cov + SSIM_C2) / ((ma * ma + mb * mb + SSIM_C1) * (va + vb + SSIM_C2))
+
+
+def ssim_images(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean structural similarity of images (n, channels, height, width)."""
+    return ssim_map(a, b).mean((1, 2, 3))
 
 
 def ssim(a: Column, b: Column, channels: int, height: int, width: int) -> Column:
@@ -92,6 +98,71 @@ def ssim(a: Column, b: Column, channels: int, height: int, width: int) -> Column
     return run(a, b)
 
 
+def _tiles_and_strips(tile: int, halo: int):
+    """Each tile to itself, and the strips of it that lie in the halo of another to that."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                y0, x0 = r.tile_y * tile, r.tile_x * tile
+                high, wide = min(tile, r.height - y0), min(tile, r.width - x0)
+                a, b = (np.asarray(v, float).reshape(-1, high, wide) for v in (r.a, r.b))
+                for ty in range(max(0, (y0 - halo) // tile), min(-(-r.height // tile) - 1, (y0 + high - 1 + halo) // tile) + 1):
+                    for tx in range(max(0, (x0 - halo) // tile), min(-(-r.width // tile) - 1, (x0 + wide - 1 + halo) // tile) + 1):
+                        top, left = max(y0, ty * tile - halo), max(x0, tx * tile - halo)
+                        end, right = min(y0 + high, (ty + 1) * tile + halo), min(x0 + wide, (tx + 1) * tile + halo)
+                        cut = (slice(None), slice(top - y0, end - y0), slice(left - x0, right - x0))
+                        out.append((r.image, r.height, r.width, ty, tx, top, left, end - top, right - left, a[cut].ravel(), b[cut].ravel()))
+            yield pd.DataFrame(out, columns=["image", "height", "width", "tile_y", "tile_x", "top", "left", "high", "wide", "a", "b"])
+
+    return run
+
+
+def _ssim_of_tile(tile: int, halo: int):
+    """Sum of the structural similarity over one tile's own pixels, from it and its halo; outside of the image all is 0."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        height, width, ty, tx = (int(rows[c].iloc[0]) for c in ("height", "width", "tile_y", "tile_x"))
+        channels = len(rows["a"].iloc[0]) // int(rows["high"].iloc[0] * rows["wide"].iloc[0])
+        both = np.zeros((2, channels, tile + 2 * halo, tile + 2 * halo))
+        for r in rows.itertuples():
+            y, x = r.top - ty * tile + halo, r.left - tx * tile + halo
+            for k, v in enumerate((r.a, r.b)):
+                both[k, :, y : y + r.high, x : x + r.wide] = np.asarray(v).reshape(channels, r.high, r.wide)
+        own = ssim_map(both[0], both[1])[:, halo : halo + min(tile, height - ty * tile), halo : halo + min(tile, width - tx * tile)]
+        return pd.DataFrame({"image": rows["image"].iloc[:1], "total": [own.sum()], "n": [own.size]})
+
+    return run
+
+
+def ssim_by_tiles(tiles: DataFrame, tile: int) -> DataFrame:
+    """(image, ssim) from tiles of images: image (string), height, width, tile_y, tile_x, and arrays ``a`` and ``b``, channel after channel, of ``tile`` pixels on a side or what the frame has left.
+
+    A tile gets the strips of its neighbours that its windows reach, so no task holds an image; sums join.
+    """
+    halo = SSIM_TAPS // 2
+    columns = ["image", "height", "width", "tile_y", "tile_x", "a", "b"]
+    ints = ", ".join(f"{c} int" for c in ("height", "width", "tile_y", "tile_x", "top", "left", "high", "wide"))
+    spread = tiles.select(columns).mapInPandas(_tiles_and_strips(tile, halo), f"image string, {ints}, a array<double>, b array<double>")
+    sums = spread.groupBy("image", "tile_y", "tile_x").applyInPandas(_ssim_of_tile(tile, halo), "image string, total double, n long")
+    return sums.groupBy("image").agg((F.sum("total") / F.sum("n")).alias("ssim"))
+
+
+def cut_tiles(images: DataFrame, channels: int, height: int, width: int, tile: int) -> DataFrame:
+    """Tiles, as ``ssim_by_tiles`` takes them, of rows (image, a, b) that hold whole images."""
+
+    def part(v: str) -> Column:
+        rows = F.sequence(F.col("tile_y") * tile, F.least(F.col("tile_y") * tile + tile, F.lit(height)) - 1)
+        wide = F.least(F.lit(tile), F.lit(width) - F.col("tile_x") * tile)
+        line = lambda c: F.flatten(F.transform(rows, lambda y: F.slice(v, c * height * width + y * width + F.col("tile_x") * tile + 1, wide)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), line))
+
+    at = lambda size: F.explode(F.sequence(F.lit(0), F.lit(-(-size // tile) - 1)))
+    rows = images.select("image", "a", "b", F.lit(height).alias("height"), F.lit(width).alias("width")).withColumn("tile_y", at(height)).withColumn("tile_x", at(width))
+    return rows.select("image", "height", "width", "tile_y", "tile_x", part("a").alias("a"), part("b").alias("b"))
+
+
 def perceptual_distance(a: Column, b: Column, weights: Column, channels: int, positions: int) -> Column:
     """One layer's distance of stored features (channel after channel): unit length along the channels at each position, weighted squared differences, mean over positions."""
     at = lambda f, c, p: F.get(f, F.lit(c * positions) + p)
@@ -113,6 +184,12 @@ def perceptual_distance(a: Column, b: Column, weights: Column, channels: int, po
     return _mean(F.transform(F.sequence(F.lit(0), F.lit(positions - 1)), position))
 
 
+def perceptual_sum(layers: list[tuple[Column, Column, Column, int, int]]) -> Column:
+    """The distances of several layers' features (a, b, weights, channels, positions), added up."""
+    out = [perceptual_distance(*layer) for layer in layers]
+    return sum(out[1:], out[0])
+
+
 def scene_metrics(views: DataFrame, metrics: list[str]) -> DataFrame:
     """Mean over the views of a scene and method."""
     return views.groupBy("scene_id", "method").agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("n_views"))
@@ -154,19 +231,44 @@ def stage_timings(log: DataFrame) -> DataFrame:
     return log.groupBy("dataset", "stage").agg((F.sum("seconds") / 60).alias("minutes"), F.count(F.lit(1)).alias("n_jobs"))
 
 
-def ema(losses: DataFrame, share: float = 0.4) -> DataFrame:
+def ema(losses: DataFrame, share: float = 0.4, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Each series' running mean ``share * x + (1 - share) * before``, from 0, at each row in order of (ts, event_id).
 
-    A series is one training run, with as many rows as it has iterations.
+    A scan over range partitions, so that a long series has many tasks: each
+    partition takes its part of a series from 0; how much of what came before is left
+    after it falls by ``1 - share`` with each row, so the parts join by one number
+    each. A null loss leaves the mean as it is. ``keep`` writes a table and gives it back.
     """
-    by = W.partitionBy("series").orderBy("ts", "event_id")
-    so_far = F.collect_list("loss").over(by.rowsBetween(-ema_reach(share), 0))
-    return losses.withColumn("ema", F.aggregate(so_far, F.lit(0.0), lambda a, x: (1 - share) * a + share * x))
-
-
-def ema_reach(share: float) -> int:
-    """Rows back of which a running mean takes account: what is left out weighs under 1e-17."""
-    return math.ceil(math.log(1e-17) / math.log1p(-share)) if 0 < share < 1 else 0
+    keep = keep or keeper(losses.sparkSession, "ema")
+    kinds = {f.name: f.dataType.simpleString() for f in losses.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, value, n = None, 0.0, 0
+        for rows in batches:
+            out, many = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            names, x = rows["series"].to_numpy(), rows["loss"].astype(float)
+            cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(rows) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+                if names[lo] != series:
+                    series, value, n = names[lo], 0.0, 0
+                part = x.iloc[lo:hi]
+                out[lo:hi] = pd.concat([pd.Series([value]), part]).ewm(alpha=share, adjust=False, ignore_na=True).mean().to_numpy()[1:] if share < 1 else part.ffill().fillna(value)
+                many[lo:hi] = n + part.notna().cumsum().to_numpy()
+                value, n = float(out[hi - 1]), int(many[hi - 1])
+            yield rows.assign(_local=out, _n=many)
+
+    parts = int(losses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = losses.repartitionByRange(parts, "series", "ts", "event_id").sortWithinPartitions("series", "ts", "event_id").withColumn("_part", F.spark_partition_id())
+    local = keep(ranged.mapInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", _part int, _local double, _n long"), "local")
+    last = local.groupBy("series", "_part").agg(F.max_by("_local", F.struct("ts", "event_id", "_n")).alias("end"), F.max("_n").alias("n"))
+    # One entry for each partition that holds rows of the series.
+    ends = last.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("_part", "end", "n"))).alias("ends"))
+    left = lambda n: F.pow(F.lit(1.0 - share), n)
+    earlier = F.filter("ends", lambda e: e["_part"] < F.col("_part"))
+    start = F.aggregate(earlier, F.lit(0.0), lambda v, e: e["end"] + left(e["n"]) * v)
+    starts = last.join(ends, "series").select("series", "_part", start.alias("_start"))
+    joined = local.join(starts, ["series", "_part"])
+    return joined.withColumn("ema", F.col("_local") + left(F.col("_n")) * F.col("_start")).select(*losses.columns, "ema")
 
 
 def composite(fragments: DataFrame, background: float = 0.0, key: tuple[str, ...] = ("scene_id", "view_id", "pixel"), least: float = 1 / 255, most: float = 0.99, stop: float = 1e-4, pixels: DataFrame | None = None) -> DataFrame:

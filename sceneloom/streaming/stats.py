@@ -9,11 +9,13 @@ counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
@@ -43,23 +45,84 @@ def batch_prim_stats(views: DataFrame, every: int = 100) -> DataFrame:
     return views.filter("radius > 0").groupBy(window, "scene_id", "prim_id").agg(F.sum(length).alias("grad_sum"), F.count(F.lit(1)).alias("denom"), F.max("radius").alias("max_radius"))
 
 
-def stream_ema_loss(losses: DataFrame, share: float = 0.4) -> DataFrame:
-    """Running mean of each series (ts, event_id, loss); a row before the last one applied is late: counted, not applied."""
+class RunningMean(StatefulProcessor):
+    """Running mean of one series, in order of (ts, event_id) whatever the order of arrival within the watermark's delay.
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, ts, event, late, n = state.get if state.exists else (0.0, pd.Timestamp(0), -1, 0, 0)
-        last = (pd.Timestamp(ts).tz_localize(None) if pd.Timestamp(ts).tzinfo else pd.Timestamp(ts), event)
-        for row in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            at = (pd.Timestamp(row.ts), row.event_id)
-            if at <= last:
-                late += 1
-                continue
-            value, last, n = (1 - share) * value + share * row.loss, at, n + 1
-        state.update((value, last[0].to_pydatetime(), last[1], late, n))
-        yield pd.DataFrame([(key[0], value, n, late)], columns=["series", "ema", "n", "n_late"])
+    Rows wait until the watermark has passed them; then they are applied in order
+    and only the mean is kept. A series without rows for ``idle_ms`` of event time is forgotten.
+    """
 
-    kept = "value double, ts timestamp, event_id long, late long, n long"
-    return losses.groupBy("series").applyInPandasWithState(update, "series long, ema double, n long, n_late long", kept, "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, share: float, idle_ms: int):
+        self.share, self.idle_ms = share, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mean = handle.getValueState("mean", "value double, n long, n_late long, ts long, event_id long")
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, loss double")
+
+    def _after(self, value: float, losses: pd.Series) -> float:
+        """A null loss leaves the mean as it is."""
+        if not len(losses) or self.share >= 1:
+            return float(losses.dropna().iloc[-1]) if losses.notna().any() else value
+        return float(pd.concat([pd.Series([value]), losses.astype(float)]).ewm(alpha=self.share, adjust=False, ignore_na=True).mean().iloc[-1])
+
+    def _advance(self, key: tuple, rows: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
+        """Take rows in and apply those that the watermark (ms) has passed. Times are in microseconds."""
+        value, n, late, ts, event = self.mean.get() if self.mean.exists() else (0.0, 0, 0, -(1 << 62), 0)
+        old = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["ts", "event_id", "loss"])
+        # What stands at or before the last row that was applied came too late.
+        before = (rows["ts"] < ts) | ((rows["ts"] == ts) & (rows["event_id"] <= event))
+        late += int(before.sum())
+        rows = pd.concat([x for x in (old, rows[~before]) if len(x)] or [old]).sort_values(["ts", "event_id"], kind="stable")
+        passed = rows["ts"] < watermark * 1000
+        done, rest = rows[passed], rows[~passed]
+        if len(done):
+            value, n, ts, event = self._after(value, done["loss"]), n + len(done), int(done["ts"].iloc[-1]), int(done["event_id"].iloc[-1])
+        self.mean.update((value, n, late, ts, event))
+        if len(rest):
+            self.waiting.put([(int(t), int(e), None if pd.isna(x) else float(x)) for t, e, x in rest.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        last = max(ts, int(rest["ts"].iloc[-1]) if len(rest) else ts)
+        # To apply what waits; without any, to forget the series.
+        self.handle.registerTimer((int(rest["ts"].iloc[0]) // 1000 + 1) if len(rest) else last // 1000 + self.idle_ms)
+        yield pd.DataFrame({"series": [key[0]], "ema": [self._after(value, rest["loss"])], "n": [n + len(rest)], "n_late": [late], "n_waiting": [len(rest)]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, pd.concat([r[["ts", "event_id", "loss"]] for r in rows]), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.waiting.exists():
+            yield from self._advance(key, pd.DataFrame({"ts": [], "event_id": [], "loss": []}).astype({"ts": "int64", "event_id": "int64"}), timerValues.getCurrentWatermarkInMs())
+        else:
+            self.mean.clear()
+
+
+def stream_ema_loss(losses: DataFrame, share: float = 0.4, late: str = "0 seconds", idle_ms: int = 86_400_000) -> DataFrame:
+    """Running mean of each series (series, ts, event_id, loss) over all rows that came so far, in order of (ts, event_id).
+
+    Rows that come up to ``late`` after later ones take their place in the
+    order; later ones are counted or dropped by the watermark. ``n_waiting`` of the ``n`` rows
+    may still move. Needs a state store with several columns (``spark.sql.streaming.stateStore.providerClass`` of RocksDB).
+    """
+    rows = losses.withWatermark("ts", late).select("series", "ts", "event_id", "loss")
+    timed = rows.withColumns({"at": F.col("ts"), "ts": F.unix_micros("ts")})
+    out = "series long, ema double, n long, n_late long, n_waiting long"
+    return timed.groupBy("series").transformWithStateInPandas(RunningMean(share, idle_ms), out, "Update", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store for streams that are started meanwhile."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def stream_view_metrics(views: DataFrame, metrics: list[str], late: str = "1 hour") -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sceneloom.functions.appearance import logit
+from sceneloom.functions.appearance import logit, view_color
 from sceneloom.jobs.scratch import keeper
 from sceneloom.operators import adapt, depth, knn, metrics, project, regions, views
 
@@ -253,7 +253,7 @@ def test_tiles_blended_as_blocks_equal_fragments(spark, most):
     prims, views = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views")
     got = project.render(prims, views, keeper(spark, "t"), 0.3, tile=8, degree=1, most_splats=most)
     keyed = lambda df: {(r.view_id, r.pixel): (r.red, r.green, r.blue, r.inverse_depth, r.transmittance, r.n_blended) for r in df.collect()}
-    rgb = project.view_color(1, F.col("f_dc"), F.col("f_rest"), [F.col(a) for a in "xyz"], [F.get("centre", F.lit(k)) for k in range(3)])
+    rgb = view_color(1, F.col("f_dc"), F.col("f_rest"), [F.col(a) for a in "xyz"], [F.get("centre", F.lit(k)) for k in range(3)], 3)
     splats = project.project(prims, views, keeper(spark, "t"), 8).withColumns(dict(zip(("red", "green", "blue"), rgb, strict=True)))
     want = keyed(project.render_by_pixels(project.assign_tiles(splats, 8), views, 0.3, 8))
     got = keyed(got)
@@ -274,3 +274,40 @@ def test_activations_of_the_callers_choice(spark):
     got = P.activate(F.col("opacity"), F.col("scale"), F.col("rot"), opacity_of=lambda x: x * 2, scale_of=lambda x: x + 1)
     out = row.select(*[v.alias(k) for k, v in got.items()]).first()
     assert (out.opacity, out.scale, out.rot) == (0.5, [2.0, 3.0, 4.0], [0.0, 1.0, 0.0, 0.0])
+
+
+def test_ema_of_one_long_series_over_many_tasks(spark):
+    """Some nulls; a second series; parts join as one pass would."""
+    rows = spark.range(20_000).selectExpr("1L AS series", "timestamp_seconds(id) AS ts", "id AS event_id", "if(id % 7 = 3, null, double(id * 37 % 101)) AS loss")
+    rows = rows.unionByName(spark.createDataFrame([(0, None, 1, 2.0)], "series long, ts timestamp, event_id long, loss double"))
+    got = metrics.ema(rows.repartition(3), 0.003).orderBy("series", "event_id").collect()
+    assert len(got) == 20_001 and got[0].ema == 0.003 * 2.0
+    value = 0.0
+    for r in got[1:]:
+        value = value if r.loss is None else 0.997 * value + 0.003 * r.loss
+        assert abs(r.ema - value) < 1e-9
+    assert [r.ema for r in metrics.ema(rows.limit(0), 0.1).collect()] == []
+
+
+def test_ssim_by_tiles_equals_whole_images(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.uniform(size=(2, 2, 3, 33, 21))
+    images = spark.createDataFrame([(str(k), a[k].ravel().tolist(), b[k].ravel().tolist()) for k in range(2)], "image string, a array<double>, b array<double>")
+    want = metrics.ssim_images(a, b)
+    for tile in (3, 8, 64):
+        got = {r.image: r.ssim for r in metrics.ssim_by_tiles(metrics.cut_tiles(images, 3, 33, 21, tile), tile).collect()}
+        assert np.allclose([got["0"], got["1"]], want, atol=1e-12)
+
+
+def test_resized_by_area(spark):
+    from sceneloom.functions import scalars as S
+
+    rng = np.random.default_rng(9)
+    image = rng.uniform(size=(2, 7, 10))
+    rows = spark.createDataFrame([(image.ravel().tolist(), 7, 10, h, w) for h, w in ((3, 4), (7, 10), (14, 20), (1, 1))] + [(None, 7, 10, 1, 1)], "v array<double>, h int, w int, th int, tw int")
+    got = [r[0] for r in rows.select(S.resized(F.col("v"), F.col("h"), F.col("w"), F.col("th"), F.col("tw"))).collect()]
+    # Against cells cut so finely that both sizes divide them.
+    fine = np.repeat(np.repeat(image, 3, 1), 4, 2)
+    assert np.allclose(np.reshape(got[0], (2, 3, 4)), fine.reshape(2, 3, 7, 4, 10).mean((2, 4)))
+    assert np.allclose(got[1], image.ravel()) and np.allclose(np.reshape(got[2], (2, 14, 20)), np.repeat(np.repeat(image, 2, 1), 2, 2))
+    assert np.allclose(got[3], image.mean((1, 2))) and got[4] is None
