@@ -507,6 +507,17 @@ def depth_alignment(spark, sf):
     return rows.select("scene_id", "image_id", r("scale", "scale", 5), r("offset", "off", 5))
 
 
+@query(with_depth("SELECT image_id, true AS within, n FROM mid WHERE n > 0", at_map=_AT, cell=_CELL, sampled=_MONO, mid=_MID))
+def sketched_medians(spark, sf):
+    """Whether the rank of each image's sketched median is within its stated error of the middle."""
+    accuracy = 50
+    rows = keeper(spark, "sketch")(depth.sampled_depth(X.images(spark, sf), X.cameras(spark, sf), X.points3d(spark, sf), X.observations(spark, sf), X.depth_maps(spark, sf)), "sampled")
+    mid = depth.medians(rows, accuracy).filter("n > 0").select("scene_id", "image_id", "t_c", "n")
+    ranks = rows.filter("valid").join(mid, ["scene_id", "image_id"]).groupBy("image_id", "n").agg(F.count_if(F.col("invdepth") < F.col("t_c")).alias("below"), F.count_if(F.col("invdepth") <= F.col("t_c")).alias("upto"))
+    off = F.col("n") / accuracy + 1
+    return ranks.select("image_id", ((F.col("below") <= F.col("n") / 2 + off) & (F.col("upto") >= F.col("n") / 2 - off)).alias("within"), "n")
+
+
 # --- adapting primitives --------------------------------------------------------------------------
 
 _STATS = "SELECT scene_id, prim_id, sum(sqrt(grad_x * grad_x + grad_y * grad_y)) AS grad_sum, count(*) AS denom, max(radius) AS max_radius FROM view_stats WHERE radius > 0 GROUP BY scene_id, prim_id"

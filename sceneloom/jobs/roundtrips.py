@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..sinks import files as sinks
-from ..sources import calibration, files
+from ..sinks.records import PlacedBytes
+from ..sources import calibration, files, scenes
 from . import fixtures as X
 from .fixtures import with_views
-from .queries import _SCORED, depth_params, r, scored, with_pairs
+from .queries import _SCORED, depth_params, finite, pairs, r, scored, with_pairs, with_seen
 from .scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +132,117 @@ def per_view_report(spark, sf):
     rows = sinks.per_view_json(scored(spark, sf), {"L1": "l1"})
     back = rows.select("scene_id", F.explode(F.from_json("json", "map<string,map<string,map<string,double>>>")).alias("method", "v"))
     return back.select("scene_id", "method", F.explode(F.col("v")["L1"]).alias("name", "l1")).select("scene_id", "method", "name", r("l1", "l1"))
+
+
+def written_model(spark: SparkSession, sf: str, ext: str = "bin") -> str:
+    """The folder of a model of all scenes."""
+    root = shared_folder(spark, "scenes")
+    sinks.write_model(root, ext, *model(spark, sf)).collect()
+    return root
+
+
+@query(with_views("SELECT DISTINCT scene_id, 'bin' AS ext, 'calibrated' AS kind FROM images", "images"))
+def scene_kinds(spark, sf):
+    root = written_model(spark, sf)
+    kinds = files.scene_types(spark, root)
+    return calibration.detect_format(spark, root).join(kinds, "scene_id").select(F.col("scene_id").cast("int").alias("scene_id"), "ext", "kind")
+
+
+@query(with_seen("SELECT scene_id, name, width, height, round(fovx, 6) + 0.0 AS fovx, round(fovy, 6) + 0.0 AS fovy, round(c0, 6) + 0.0 AS c0, round(c2, 6) + 0.0 AS c2 FROM seen"))
+def loaded_scenes(spark, sf):
+    """Views by way of model files as text, whose camera parameters hold both focal lengths."""
+    rows = scenes.load_scene(spark, written_model(spark, sf, "txt"), "calibrated", ext="txt")
+    at = lambda k: r(F.get("centre", F.lit(k)), f"c{k}")
+    return rows.select(F.col("scene_id").cast("int").alias("scene_id"), "name", "width", "height", r("fovx", "fovx"), r("fovy", "fovy"), at(0), at(2))
+
+
+def text_files(df: DataFrame, name: str) -> str:
+    """Rows (scene_id, value) as text files of scene folders."""
+    root = shared_folder(df.sparkSession, name)
+    df.select("scene_id", "value").write.partitionBy("scene_id").text(root)
+    return root
+
+
+def _folder():
+    return F.regexp_extract("path", r"scene_id=(\d+)/", 1).cast("int").alias("scene_id")
+
+
+@query(with_views("SELECT scene_id, name AS image_name, round(image_id / 10e0, 6) + 0.0 AS m0, 2e0 AS m7, 12 AS n FROM images", "images"))
+def exposure_files(spark, sf):
+    m = F.array(F.col("image_id") / 10.0, *[F.lit(float(v)) for v in (0, 0, 0, 0, 1, 0, 2, 0, 0, 1, 0)])
+    rows = sinks.exposures_json(X.images(spark, sf).select("scene_id", F.col("name").alias("image_name"), m.alias("m")))
+    back = files.read_exposures(spark, text_files(rows.withColumnRenamed("json", "value"), "exposures"), "*.txt")
+    return back.select(_folder(), "image_name", r(F.get("m", F.lit(0)), "m0"), r(F.get("m", F.lit(7)), "m7"), F.size("m").alias("n"))
+
+
+@query(with_views("SELECT scene_id, (row_number() OVER (PARTITION BY scene_id ORDER BY image_id) - 1)::INT AS idx, 'train/' || image_id AS file_path, 0.7e0 AS angle, round(tx, 6) + 0.0 AS tx, 1e0 AS last FROM images", "images"))
+def transform_files(spark, sf):
+    zero, one = F.lit(0.0), F.lit(1.0)
+    matrix = F.array(*[F.array(*[one if i == k else zero for k in range(3)], F.get("tvec", F.lit(i))) for i in range(3)], F.array(zero, zero, zero, one))
+    frames = F.array_sort(F.collect_list(F.struct("image_id", F.concat(F.lit("train/"), F.col("image_id").cast("string")).alias("file_path"), matrix.alias("transform_matrix"))))
+    rows = X.images(spark, sf).groupBy("scene_id").agg(F.to_json(F.struct(F.lit(0.7).alias("camera_angle_x"), frames.alias("frames"))).alias("value"))
+    back = files.read_transforms_json(spark, text_files(rows, "transforms"), "*.txt")
+    return back.select(_folder(), "idx", "file_path", r("camera_angle_x", "angle"), r(F.get("c2w", F.lit(3)), "tx"), r(F.get("c2w", F.lit(15)), "last"))
+
+
+@query(with_views("SELECT scene_id, name FROM images WHERE image_id % 7 = 0", "images"))
+def name_list_files(spark, sf):
+    """Names between blank lines and spaces."""
+    rows = X.images(spark, sf).filter("image_id % 7 = 0").select("scene_id", F.explode(F.array(F.concat(F.lit("  "), "name"), F.lit(" "))).alias("value"))
+    return files.read_test_list(spark, text_files(rows, "lists"), "*.txt").select(_folder(), "name")
+
+
+@query(with_views("SELECT image_id, 8 AS map_width, 8 AS map_height, round(floor(depth[1] * 60000) / 65536, 6) + 0.0 AS first, round(list_sum(list_transform(depth, lambda d: floor(d * 60000))) / 65536, 4) + 0.0 AS total FROM depth_maps", "depth_maps"))
+def depth_map_files(spark, sf):
+    """Sixteen-bit PNG files; all bytes of a file are one record."""
+    root = shared_folder(spark, "depth-maps")
+
+    @F.pandas_udf("binary")
+    def png(depth: pd.Series) -> pd.Series:
+        return pd.Series([files.encode_png(np.floor(np.reshape(d, (8, 8, 1)) * 60000).astype(np.uint16)) for d in depth])
+
+    spark.dataSource.register(PlacedBytes)
+    path = F.concat(F.lit(f"{root}/"), F.col("image_id").cast("string"), F.lit(".png"))
+    X.depth_maps(spark, sf).select(path.alias("path"), F.lit(0).cast("long").alias("at"), png("depth").alias("data")).write.format(PlacedBytes.name()).mode("append").save()
+    back = files.read_inverse_depth(spark, root)
+    total = F.aggregate("depth", F.lit(0.0), lambda a, x: a + x)
+    return back.select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("image_id"), "map_width", "map_height", r(F.get("depth", F.lit(0)), "first"), r(total, "total", 4))
+
+
+@query("SELECT label::BIGINT AS scene_id, vec_id, 8 AS height, 8 AS width, round(list_sum(list_transform(range(1, 65), lambda i: i * embedding[i]::DOUBLE)), 3) + 0.0 AS weighed FROM embeddings")
+def dense_array_files(spark, sf):
+    """Arrays of 8 x 8 values: sizes as text, then columns one after another."""
+    root = shared_folder(spark, "dense")
+
+    @F.pandas_udf("binary")
+    def dense(values: pd.Series) -> pd.Series:
+        return pd.Series([b"8&8&1&" + np.reshape(v, (8, 8)).astype("<f4").tobytes() for v in values])
+
+    spark.dataSource.register(PlacedBytes)
+    path = F.concat(F.lit(f"{root}/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".bin"))
+    X.read(spark, sf, "embeddings").select(path.alias("path"), F.lit(0).cast("long").alias("at"), dense("embedding").alias("data")).write.format(PlacedBytes.name()).mode("append").save()
+    back = files.read_dense_array(spark, root)
+    weighed = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    part = lambda k: F.regexp_extract("path", r"/(\d+)/(\d+)\.bin$", k).cast("long")
+    return back.select(part(1).alias("scene_id"), part(2).alias("vec_id"), "height", "width", r(weighed, "weighed", 3))
+
+
+_PLACED = "SELECT *, row_number() OVER (PARTITION BY scene_id, method ORDER BY name) - 1 AS idx, list_transform(render, lambda v: floor(least(greatest(v, 0), 1) * 255 + 0.5e0) / 255) AS pr, list_transform(gt, lambda v: floor(least(greatest(v, 0), 1) * 255 + 0.5e0) / 255) AS pg FROM pairs"
+_SEEN_SCORES = "SELECT scene_id, method, idx, list_sum(list_transform(range(1, 65), lambda i: abs(pr[i] - pg[i]))) / 64 AS l1, list_sum(list_transform(range(1, 65), lambda i: (pr[i] - pg[i]) * (pr[i] - pg[i]))) / 64 AS e FROM placed"
+
+
+@query(with_pairs("SELECT scene_id, method, round(avg(CASE WHEN e > 0 THEN -10 * log10(e) END), 4) + 0.0 AS psnr, round(avg(l1), 6) + 0.0 AS l1, count(*) AS n FROM seen_scores GROUP BY scene_id, method", placed=_PLACED, seen_scores=_SEEN_SCORES))
+def scored_view_files(spark, sf):
+    """Renders and ground truth as numbered PNG files, read back, paired by number, scored and reported as JSON."""
+    root = shared_folder(spark, "views")
+    idx = F.row_number().over(W.partitionBy("scene_id", "method").orderBy("name")) - 1
+    sinks.write_views(pairs(spark, sf).withColumn("idx", idx), root, 1, 8, 8).collect()
+    found = files.read_images_pixels(spark, root)
+    part = lambda k: F.regexp_extract("path", r"/(\d+)/(\w+)/(renders|gt)/(\d+)\.png$", k)
+    rows = found.select(part(1).cast("int").alias("scene_id"), part(2).alias("method"), part(3).alias("kind"), part(4).alias("name"), "rgb")
+    side = lambda kind, name: rows.filter(F.col("kind") == kind).select("scene_id", "method", "name", F.col("rgb").alias(name))
+    both = metrics.pair_views(side("renders", "render"), side("gt", "gt"))
+    scores = both.select("scene_id", "method", metrics.l1(F.col("render"), F.col("gt")).alias("l1"), finite(metrics.psnr_image(F.col("render"), F.col("gt"))).alias("psnr"))
+    report = sinks.results_json(metrics.scene_metrics(scores, ["l1", "psnr"]), {"PSNR": "psnr", "L1": "l1", "N": "n_views"})
+    back = report.select("scene_id", F.explode(F.from_json("json", "map<string,struct<PSNR:double,L1:double,N:bigint>>")).alias("method", "v"))
+    return back.select("scene_id", "method", r("v.PSNR", "psnr", 4), r("v.L1", "l1"), F.col("v.N").alias("n"))

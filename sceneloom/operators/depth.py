@@ -79,21 +79,33 @@ def sample_depth(seen: DataFrame, maps: DataFrame) -> DataFrame:
     return rows.groupBy("scene_id", "image_id").cogroup(maps.groupBy("scene_id", "image_id")).applyInPandas(sample, _SAMPLED)
 
 
-def fit_depth_scale(sampled: DataFrame) -> DataFrame:
+def middle(value: Column, accuracy: int | None) -> Column:
+    """The median; with ``accuracy`` one of the values whose rank is off the middle by at most a share of 1 / accuracy, from sketches that merge before the shuffle."""
+    return F.median(value) if accuracy is None else F.percentile_approx(value, 0.5, accuracy)
+
+
+def medians(sampled: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """(scene_id, image_id, t_c, t_m, span, n): medians of both inverse depths of the valid observations, their number, and the span of all."""
+    ok = lambda c: F.when(F.col("valid"), F.col(c))
+    return sampled.groupBy("scene_id", "image_id").agg(
+        middle(ok("invdepth"), accuracy).alias("t_c"),
+        middle(ok("mono"), accuracy).alias("t_m"),
+        (F.max("invdepth") - F.min("invdepth")).alias("span"),
+        F.count(ok("invdepth")).alias("n"),
+    )
+
+
+def fit_depth_scale(sampled: DataFrame, accuracy: int | None = None) -> DataFrame:
     """(scene_id, image_id, scale, offset) from medians and mean absolute deviations of both inverse depths.
 
     (0, 0) unless more than ten observations are valid, all matched ones
-    span more than 1e-3, and the map's values deviate at all. An image's
-    features are bounded, so its exact median is safe.
+    span more than 1e-3, and the map's values deviate at all. Medians are exact, as an
+    image's features are bounded; groups that aren't take ``accuracy``
+    (``middle``), and nothing is gathered.
     """
     key = ["scene_id", "image_id"]
     ok = lambda c: F.when(F.col("valid"), F.col(c))
-    mid = sampled.groupBy(*key).agg(
-        F.median(ok("invdepth")).alias("t_c"),
-        F.median(ok("mono")).alias("t_m"),
-        (F.max("invdepth") - F.min("invdepth")).alias("span"),
-        F.count(ok("invdepth")).alias("n"),
-    )
+    mid = medians(sampled, accuracy)
     spread = sampled.join(mid, key).groupBy(*key).agg(
         F.avg(F.abs(ok("invdepth") - F.col("t_c"))).alias("s_c"),
         F.avg(F.abs(ok("mono") - F.col("t_m"))).alias("s_m"),
@@ -104,12 +116,17 @@ def fit_depth_scale(sampled: DataFrame) -> DataFrame:
     return fitted.select(*key, F.when(good, scale).otherwise(0.0).alias("scale"), F.when(good, F.col("t_c") - F.col("t_m") * scale).otherwise(0.0).alias("offset"))
 
 
-def align(images: DataFrame, cameras: DataFrame, points: DataFrame, observations: DataFrame, maps: DataFrame) -> DataFrame:
-    """Scale and offset of each image that has a depth map and a matched observation, or (0, 0)."""
+def sampled_depth(images: DataFrame, cameras: DataFrame, points: DataFrame, observations: DataFrame, maps: DataFrame) -> DataFrame:
+    """Each matched observation of an image with a depth map: both inverse depths, and whether it is valid."""
     poses = images.join(cameras.select("camera_id", "width", "height"), "camera_id").select("scene_id", "image_id", "qvec", "tvec", "width", "height")
     slim = observations.select("scene_id", "image_id", "x", "y", "point3d_id")
     seen = with_inverse_depth(observed_points(matched_observations(slim, points), points), poses)
-    fitted = fit_depth_scale(sample_depth(seen, maps))
+    return sample_depth(seen, maps)
+
+
+def align(images: DataFrame, cameras: DataFrame, points: DataFrame, observations: DataFrame, maps: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Scale and offset of each image that has a depth map and a matched observation, or (0, 0)."""
+    fitted = fit_depth_scale(sampled_depth(images, cameras, points, observations, maps), accuracy)
     return maps.select("scene_id", "image_id").join(fitted, ["scene_id", "image_id"], "left").fillna(0.0, ["scale", "offset"])
 
 

@@ -44,9 +44,11 @@ def positive_scale(scale: Column) -> Column:
     return F.when(scale > 0, scale)
 
 
-def median_positive_scale(params: DataFrame) -> DataFrame:
-    """(scene_id, med_scale): the median of the positive scales, 0 without any."""
-    return params.groupBy("scene_id").agg(F.coalesce(F.median(positive_scale(F.col("scale"))), F.lit(0.0)).alias("med_scale"))
+def median_positive_scale(params: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """(scene_id, med_scale): the median of the positive scales, 0 without any; with ``accuracy`` from sketches (``depth.middle``)."""
+    scale = positive_scale(F.col("scale"))
+    middle = F.median(scale) if accuracy is None else F.percentile_approx(scale, 0.5, accuracy)
+    return params.groupBy("scene_id").agg(F.coalesce(middle, F.lit(0.0)).alias("med_scale"))
 
 
 def join_depth_params(views: DataFrame, params: DataFrame) -> DataFrame:
