@@ -29,7 +29,7 @@ def all_links(vectors: list) -> list[set[int]]:
     """Links by place, from all cosines."""
     usable = [k for k, (_, v) in enumerate(vectors) if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     width = max((len(vectors[k][1]) for k in usable), default=0)
-    m = np.array([np.pad(np.asarray(vectors[k][1], float), (0, width - len(vectors[k][1]))) for k in usable]).reshape(-1, width)
+    m = np.array([np.pad(np.asarray(vectors[k][1], float), (0, width - len(vectors[k][1]))) for k in usable]).reshape(len(usable), width)
     m /= np.linalg.norm(m, axis=1)[:, None]
     out = [set() for _ in vectors]
     for k, row in zip(usable, (m @ m.T) >= 0.9, strict=True):
