@@ -462,7 +462,7 @@ def with_depth(text: str, **more: str) -> str:
 
 def observed(spark, sf) -> DataFrame:
     points = X.points3d(spark, sf)
-    poses = X.images(spark, sf).join(F.broadcast(X.cameras(spark, sf).select("camera_id", "width", "height")), "camera_id").select("scene_id", "image_id", "qvec", "tvec", "width", "height")
+    poses = X.images(spark, sf).join(views.small(X.cameras(spark, sf).select("camera_id", "width", "height")), "camera_id").select("scene_id", "image_id", "qvec", "tvec", "width", "height")
     return depth.with_inverse_depth(depth.observed_points(depth.matched_observations(X.observations(spark, sf), points), points), poses)
 
 
