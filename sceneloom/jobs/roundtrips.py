@@ -20,7 +20,7 @@ from ..sinks.records import PlacedBytes
 from ..sources import calibration, files, scenes
 from . import fixtures as X
 from .fixtures import with_views
-from .queries import _SCORED, depth_params, finite, pairs, r, scored, with_pairs, with_seen
+from .queries import _MED, _PARAMS, _SCORED, depth_params, finite, pairs, r, scored, with_pairs, with_seen
 from .scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,12 +148,26 @@ def scene_kinds(spark, sf):
     return calibration.detect_format(spark, root).join(kinds, "scene_id").select(F.col("scene_id").cast("int").alias("scene_id"), "ext", "kind")
 
 
-@query(with_seen("SELECT scene_id, name, width, height, round(fovx, 6) + 0.0 AS fovx, round(fovy, 6) + 0.0 AS fovy, round(c0, 6) + 0.0 AS c0, round(c2, 6) + 0.0 AS c2 FROM seen"))
+def placed(df: DataFrame) -> None:
+    """Rows (path, value) as files with these bytes."""
+    df.sparkSession.dataSource.register(PlacedBytes)
+    df.select("path", F.lit(0).cast("long").alias("at"), F.col("value").cast("binary").alias("data")).write.format(PlacedBytes.name()).mode("append").save()
+
+
+_OPTIONAL = "SELECT seen.*, s.scale, s.off, CASE WHEN s.scale IS NOT NULL THEN med END AS med, CASE WHEN seen.image_id % 6 = 0 THEN seen.image_id / 10e0 ELSE 1e0 END AS m0 FROM seen LEFT JOIN params s USING (scene_id, image_id) LEFT JOIN med USING (scene_id)"
+
+
+@query(with_seen("SELECT scene_id, name, width, height, round(fovx, 6) + 0.0 AS fovx, round(fovy, 6) + 0.0 AS fovy, round(c0, 6) + 0.0 AS c0, round(c2, 6) + 0.0 AS c2, round(scale, 6) + 0.0 AS depth_scale, round(off, 6) + 0.0 AS depth_offset, round(med, 6) + 0.0 AS med_scale, round(m0, 6) + 0.0 AS m0 FROM optional", params=_PARAMS, med=_MED, optional=_OPTIONAL))
 def loaded_scenes(spark, sf):
-    """Views by way of model files as text, whose camera parameters hold both focal lengths."""
-    rows = scenes.load_scene(spark, written_model(spark, sf, "txt"), "calibrated", ext="txt")
-    at = lambda k: r(F.get("centre", F.lit(k)), f"c{k}")
-    return rows.select(F.col("scene_id").cast("int").alias("scene_id"), "name", "width", "height", r("fovx", "fovx"), r("fovy", "fovy"), at(0), at(2))
+    """Views by way of model files as text, whose camera parameters hold both focal lengths, with depth parameters of most and exposures of some."""
+    root = written_model(spark, sf, "txt")
+    at = lambda rest: F.concat(F.lit(f"{root}/"), F.col("scene_id").cast("string"), F.lit(rest)).alias("path")
+    own = X.images(spark, sf).filter("image_id % 6 = 0").select("scene_id", F.col("name").alias("image_name"), F.array(F.col("image_id") / 10.0, *[F.lit(float(v)) for v in (0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)]).alias("m"))
+    placed(sinks.depth_params_json(depth_params(spark, sf)).select(at("/sparse/0/depth_params.json"), F.col("json").alias("value")))
+    placed(sinks.exposures_json(own).select(at("/exposure.json"), F.col("json").alias("value")))
+    rows = scenes.load_scene(spark, root, "calibrated", ext="txt")
+    centre = lambda k: r(F.get("centre", F.lit(k)), f"c{k}")
+    return rows.select(F.col("scene_id").cast("int").alias("scene_id"), "name", "width", "height", r("fovx", "fovx"), r("fovy", "fovy"), centre(0), centre(2), *[r(c, c) for c in ("depth_scale", "depth_offset", "med_scale")], r(F.get("exposure", F.lit(0)), "m0"))
 
 
 def text_files(df: DataFrame, name: str) -> str:
@@ -201,9 +215,8 @@ def depth_map_files(spark, sf):
     def png(depth: pd.Series) -> pd.Series:
         return pd.Series([files.encode_png(np.floor(np.reshape(d, (8, 8, 1)) * 60000).astype(np.uint16)) for d in depth])
 
-    spark.dataSource.register(PlacedBytes)
     path = F.concat(F.lit(f"{root}/"), F.col("image_id").cast("string"), F.lit(".png"))
-    X.depth_maps(spark, sf).select(path.alias("path"), F.lit(0).cast("long").alias("at"), png("depth").alias("data")).write.format(PlacedBytes.name()).mode("append").save()
+    placed(X.depth_maps(spark, sf).select(path.alias("path"), png("depth").alias("value")))
     back = files.read_inverse_depth(spark, root)
     total = F.aggregate("depth", F.lit(0.0), lambda a, x: a + x)
     return back.select(F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long").alias("image_id"), "map_width", "map_height", r(F.get("depth", F.lit(0)), "first"), r(total, "total", 4))
@@ -218,9 +231,8 @@ def dense_array_files(spark, sf):
     def dense(values: pd.Series) -> pd.Series:
         return pd.Series([b"8&8&1&" + np.reshape(v, (8, 8)).astype("<f4").tobytes() for v in values])
 
-    spark.dataSource.register(PlacedBytes)
     path = F.concat(F.lit(f"{root}/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".bin"))
-    X.read(spark, sf, "embeddings").select(path.alias("path"), F.lit(0).cast("long").alias("at"), dense("embedding").alias("data")).write.format(PlacedBytes.name()).mode("append").save()
+    placed(X.read(spark, sf, "embeddings").select(path.alias("path"), dense("embedding").alias("value")))
     back = files.read_dense_array(spark, root)
     weighed = F.aggregate(F.transform("values", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     part = lambda k: F.regexp_extract("path", r"/(\d+)/(\d+)\.bin$", k).cast("long")
