@@ -14,9 +14,15 @@ from ..functions.scalars import image_stem
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes of such a table, by the length of their rows as JSON.
+BROADCAST_BYTES = 256 << 20
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and these at most ``most_bytes``, which one job over their lengths finds out."""
+    lengths = df.select(F.length(F.to_json(F.struct("*"))).alias("n")).limit(most + 1)
+    rows, size = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
 
 
 def supported_cameras(cameras: DataFrame) -> DataFrame:

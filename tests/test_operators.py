@@ -311,3 +311,9 @@ def test_resized_by_area(spark):
     assert np.allclose(np.reshape(got[0], (2, 3, 4)), fine.reshape(2, 3, 7, 4, 10).mean((2, 4)))
     assert np.allclose(got[1], image.ravel()) and np.allclose(np.reshape(got[2], (2, 14, 20)), np.repeat(np.repeat(image, 2, 1), 2, 2))
     assert np.allclose(got[3], image.mean((1, 2))) and got[4] is None
+
+
+def test_small_counts_rows_and_bytes(spark):
+    rows = spark.range(100).selectExpr("id", "repeat('x', 1000) AS wide")
+    hinted = lambda df: "ResolvedHint (strategy=broadcast)" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(views.small(rows)) and not hinted(views.small(rows, most=99)) and not hinted(views.small(rows, most_bytes=50_000))
