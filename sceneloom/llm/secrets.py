@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +33,7 @@ SENSITIVE = re.compile(r"passw|pwd|secret|token|api[ _-]?key|credential|bearer|a
 SENSITIVE_WORDS = ("passw", "pwd", "secret", "token", "api", "credential", "bearer", "authorization", "private", "access")
 LEAST_NOVEL = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_NOVEL},}}")
+_LEADING = re.compile(r"[=.\-/+_]*")
 _PIECE = re.compile(rf"[A-Za-z0-9]{{{LEAST_NOVEL},}}")
 _WORD = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 _NOT_WORD = re.compile(r"[^aeiouy]+|.*[^aeiouy]{5}.*", re.IGNORECASE)
@@ -84,25 +86,50 @@ def blanked(text: str) -> str:
     return CANDIDATE.sub(lambda m: _PIECE.sub(blank, blank(m)), text)
 
 
+def joined_spans(spans: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans that don't touch, in order, which cover the same."""
+    starts, ends = [], []
+    for s, _, e in sorted(spans):
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]], novelty) -> list[tuple[int, str, int]]:
-    """Candidates after sensitive words, apart from spans that are already taken, of enough novelty."""
-    out, seen, plain = [], set(), None
+    """Candidates after sensitive words, apart from spans that are already taken, of enough novelty.
+
+    What is taken is looked up in order, a run of candidate characters is followed
+    to its end once, and only the context of a candidate is copied.
+    """
+    starts, ends = joined_spans(taken)
+    out, seen, plain, run_start, run_end = [], set(), None, 0, 0
     for end in sensitive_ends(text):
         for m in CANDIDATE.finditer(text, end, end + REACH + 4 * AROUND):
-            s, e = m.start(), CANDIDATE.match(text, m.start()).end()
-            if s > end + REACH:
+            if m.start() > end + REACH:
                 break
-            value = text[s:e].lstrip("=.-/+_")
+            if not run_start <= m.start() < run_end:
+                run_start = m.start()
+                run_end = CANDIDATE.match(text, m.start()).end()
+            s, e = _LEADING.match(text, m.start(), run_end).end(), run_end
             # Right after the word, with nothing between, it is a longer name.
-            if s == end and len(value) == e - s or not fits(value):
+            if s == end or s in seen or e - s < LEAST_NOVEL:
+                continue
+            k = bisect_left(starts, e) - 1
+            if k >= 0 and ends[k] > s:
                 continue
-            s = e - len(value)
-            if s in seen or any(s < y and x < e for x, _, y in taken):
+            value = text[s:e]
+            if not fits(value):
                 continue
             seen.add(s)
             plain = blanked(text) if plain is None else plain
-            around = plain.replace(value, " " * len(value)) if like_key(value) else plain
-            if novelty(around[max(0, s - AROUND) : s], value, around[e : e + AROUND]) >= NOVELTY:
+            # An occurrence of the value may stand across the context's border.
+            before, after = plain[max(0, s - AROUND - len(value)) : s], plain[e : e + AROUND + len(value)]
+            if like_key(value):
+                before, after = (x.replace(value, " " * len(value)) for x in (before, after))
+            if novelty(before[-AROUND:], value, after[:AROUND]) >= NOVELTY:
                 out.append((s, "novel", e))
     return out
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from sceneloom.llm import secrets as sc
 
@@ -174,3 +175,31 @@ def test_no_rows_and_null_ids(spark):
     assert sc.scan(documents(spark, [])).collect() == []
     rows = sc.scan(documents(spark, ["token=abcdef"] * 2).selectExpr("cast(null as long) as doc_id", "text", "1 as spans")).collect()
     assert [(r.doc_id, r.spans) for r in rows] == [(None, "assign:0:12")] * 2
+
+
+def test_long_texts_take_time_in_proportion():
+    """Many spans and candidates in one text; what is found in a part is found in the whole."""
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    lines = [f"password = {key(20)}\nthe token here is ({key(30)}) and more\n" for _ in range(8000)]
+    novelty, spent = sc.Novelty(b""), []
+    for n in (1000, 8000):
+        text = "".join(lines[:n])
+        began = time.perf_counter()
+        base = sc.base_spans(text)
+        found = sc.novel_spans(text, base, novelty)
+        spent.append(time.perf_counter() - began)
+        assert len(base) >= n and len(found) == n
+    assert spent[1] < 24 * spent[0] + 1
+    stuffed = "token=" * 50_000 + " secret-" * 50_000
+    began = time.perf_counter()
+    sc.novel_spans(stuffed, sc.base_spans(stuffed), novelty)
+    assert time.perf_counter() - began < 30
+
+
+def test_runs_ahead_do_not_hide_those_before():
+    """A later sensitive word asks for a run that stands before one which is known already."""
+    a, b = "Zk8Qw3Rt6Yp1Lm5Xc", "Hj4Nb7Vd2Gs9Kf3Pq"
+    text = f"secret and a token: ({a}) then ({b})"
+    found = sc.novel_spans(text, [], sc.Novelty(b""))
+    assert [text[s:e] for s, _, e in found] == [a, b]
