@@ -26,6 +26,8 @@ RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits a text before its merges.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 64
+#: Edits fewer leaves apart are applied as one: each takes the leaf before, its own and the next ones with it.
+LEAVES_NEAR = 4
 #: Different pre-tokens whose counts one task remembers.
 REMEMBERED = 200_000
 TREE = "leaf_chars array<int>, leaf_tokens array<int>"
@@ -158,6 +160,18 @@ def edited(text: str, tree: Tree, counter: Counter, start: int, end: int, put: s
     return new, until + shift - at
 
 
+def merged(text: str, edits: list[tuple[int, int, str]], near: int) -> list[tuple[int, int, str]]:
+    """``edits``, in ascending order, those within ``near`` characters of the one before as one with it: what stands between is put again."""
+    out: list[list] = []
+    for start, end, put in edits:
+        if out and start - out[-1][1] <= near:
+            out[-1][2] += [text[out[-1][1] : start], put]
+            out[-1][1] = end
+        else:
+            out.append([start, end, [put]])
+    return [(start, end, "".join(put)) for start, end, put in out]
+
+
 def build_trees(docs: DataFrame, ranks_file: str = RANKS_FILE, carry: list[str] | None = None, edits_of: Callable[[str], list[dict]] | None = None) -> DataFrame:
     """doc_id, text, the leaves of the text's tree, the columns ``carry``, and ``edits`` if ``edits_of`` finds them in the text.
 
@@ -181,8 +195,8 @@ def apply_edits(trees: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
     """Counts before and after the ``edits`` (``EDIT``, code points of the text) of each row of ``trees``.
 
     Edits must not overlap; of edits at one place the one that ends first
-    comes first, and equal ones count each. They are applied from the last to
-    the first. A null list is none. Rows that repeat are counted each; no rows
+    comes first, and equal ones count each. Edits a few leaves apart are
+    applied together, so that no part is encoded again and again, and these from the last to the first. A null list is none. Rows that repeat are counted each; no rows
     give none.
     """
     ranks = open(ranks_file, "rb").read()
@@ -192,10 +206,11 @@ def apply_edits(trees: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
         for rows in batches:
             out = []
             for doc, text, chars, tokens, edits in zip(rows["doc_id"].astype("Int64"), rows["text"], rows["leaf_chars"], rows["leaf_tokens"], rows["edits"], strict=True):
-                edits = [] if edits is None else sorted(((e["start"], e["end"], e["put"]) for e in edits), reverse=True)
+                edits = [] if edits is None else sorted((e["start"], e["end"], e["put"]) for e in edits)
                 before, n_chars, again = int(np.sum(tokens)), len(text), 0
                 tree = Tree(np.asarray(chars, np.int64), np.asarray(tokens, np.int64)) if edits else None
-                for edit in edits:
+                # An edit takes some leaves around it with it: those that would take the same ones are one.
+                for edit in reversed(merged(text, edits, LEAVES_NEAR * n_chars // len(chars))):
                     text, split = edited(text, tree, counter, *edit)
                     again += split
                 out.append((doc, n_chars, before, len(edits), len(text), tree.tokens if edits else before, again, len(chars)))

@@ -109,3 +109,25 @@ def test_tree_finds_leaves(n):
     for c in range(int(chars.sum())):
         leaf, at = tree.leaf_at(c)
         assert at == chars[:leaf].sum() and at <= c < at + chars[leaf]
+
+
+def test_many_edits_encode_no_more_than_the_text(spark):
+    """Edits all over a long text, some at one place; merged or not they give the same text."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["alpha", "beta", "12", "gamma."]) for _ in range(60_000))
+    starts = sorted(rng.sample(range(len(text) - 10), 8000))
+    edits = [(a, min(a + rng.choice([0, 1, 3]), b), rng.choice(["", "x", " new 7"])) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+    edits = sorted([*edits, (starts[5], starts[5], "b"), (starts[5], starts[5], "a")])
+    want = text
+    for start, end, put in reversed(edits):
+        want = want[:start] + put + want[end:]
+    for near in (0, 50, 10**9):
+        got = text
+        for start, end, put in reversed(tc.merged(text, edits, near)):
+            got = got[:start] + put + got[end:]
+        assert got == want
+    rows = tc.build_trees(documents(spark, [text]))
+    listed = spark.createDataFrame([([{"start": a, "end": b, "put": p} for a, b, p in edits],)], f"edits {tc.EDIT}")
+    row = tc.apply_edits(rows.crossJoin(listed)).first()
+    assert (row.n_chars_after, row.n_tokens_after, row.n_edits) == (len(want), full(want), 8002)
+    assert row.n_chars_encoded <= 1.1 * len(want)
