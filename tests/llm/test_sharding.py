@@ -1,7 +1,9 @@
+import math
 import zlib
 from itertools import product
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sceneloom.llm import sharding as sd
@@ -49,3 +51,57 @@ def test_few_repeated_and_no_rows(spark):
     clash = documents(spark, ["a"]).withColumn("shard", F.lit("x")).withColumn("__d0", F.lit(3))
     got = sd.sharded_documents(clash, scratch(spark)).collect()[0]
     assert (got.shard, got.slot, got["__d0"], got.text) == (0, 0, 3, "a")
+
+
+def walked(bits, dims):
+    """Each cell's place on the curve, with plain integers."""
+
+    def place(steps):
+        x, top = list(steps), 1 << (bits - 1)
+        q = top
+        while q > 1:
+            for i in range(dims):
+                if x[i] & q:
+                    x[0] ^= q - 1
+                else:
+                    t = (x[0] ^ x[i]) & (q - 1)
+                    x[0], x[i] = x[0] ^ t, x[i] ^ t
+            q >>= 1
+        for i in range(1, dims):
+            x[i] ^= x[i - 1]
+        t, q = 0, top
+        while q > 1:
+            t ^= q - 1 if x[-1] & q else 0
+            q >>= 1
+        return int("".join(str((v ^ t) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+    return {c: place(c) for c in product(range(1 << bits), repeat=dims)}
+
+
+def test_equals_plain_shards_and_slots(spark):
+    texts = [f"word{i % 61} " * (i % 40) for i in range(700)] + ["hot"] * 400 + [None, "", "é" * 30, "long " * 200_000]
+    n = len(texts)
+    langs, sources = [None if i % 5 == 0 else f"l{i % 3}" for i in range(n)], [f"s{i * i % 23}" if i % 7 else None for i in range(n)]
+    rows = []
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        h = xxhash.xxh64_intdigest(raw, 42)
+        key = (h - (1 << 64) if h >> 63 else h, zlib.crc32(raw), len(raw) + 16)
+        rows.append((key, i, (langs[i], sources[i], math.floor(math.log(key[2]) / math.log(2) * 32))))
+    low = lambda v: (v is not None, v)
+    steps = []
+    for k in range(3):
+        values = [r[2][k] for r in rows]
+        steps.append({v: sum(low(o) < low(v) for o in values) * 16 // n for v in set(values)})
+    least = {}
+    for key, _, dims in rows:
+        # A least value leaves nulls out, as Spark's does.
+        least[key] = [min((v for v in (d, old) if v is not None), default=None) for d, old in zip(dims, least.get(key, dims), strict=True)]
+    curve = walked(4, 3)
+    order = sorted((curve[tuple(steps[k][least[key][k]] for k in range(3))], *key, i) for key, i, _ in rows)
+    want = {}
+    for rank, (*_, i) in enumerate(order):
+        shard = rank * 40 // n
+        want[i] = (shard, rank - -(-shard * n // 40))
+    docs = documents(spark, texts, sources=sources, langs=langs).repartition(3)
+    assert {r.doc_id: (r.shard, r.slot) for r in sd.hilbert_shards(docs, scratch(spark)).collect()} == want

@@ -64,3 +64,29 @@ def test_rules_from_a_table(spark):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     rows = sorted(ur.judge(pages, scratch(spark), rules).collect())
     assert [tuple(r)[1:] for r in rows] == [plain(u) for u in URLS]
+
+
+def test_many_rules_and_few_fetched(spark):
+    """12,000 rules of a table: verdicts equal those of all rules tried one by one, and a URL fetches few of them."""
+    kinds = ("||shop{}.example.org^", "/track{}/*.gif", "^banner{}^", "-promo{}-")
+    rules = [("block", kinds[i % 4].format(i), 0) for i in range(11_990)] + [("allow", f"^banner{i}^*keep", 0) for i in range(2, 42, 4)]
+    hosts = [f"http://{'www.' if i % 2 else ''}shop{i * 4}.example.org/p" for i in range(40)]
+    paths = [f"http://a.org/track{i * 4 + 1}/x/{i}.gif" for i in range(40)] + [f"http://a.org/banner{i * 4 + 2}/{'keep' if i % 3 else 'x'}" for i in range(40)]
+    urls = hosts + paths + [f"http://b.net/x-promo{i * 4 + 3}-y" for i in range(40)] + ["http://shop4x.example.org/", "http://a.org/track1.gif", "http://c.io/example/org/gif"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, text string, rank int")
+    tried = [(v, t, re.compile(ur.regex_of(t))) for v, t, _ in rules]
+
+    def verdict(url):
+        fits = [(len(t), t, v == "block", v) for v, t, r in tried if r.search(url.split("://")[1])]
+        return max(fits)[3] if fits else "allow"
+
+    want = [verdict(u) for u in urls]
+    assert {"allow", "block"} == set(want)
+    for limit in (ur.BROADCAST_RULES, 0):
+        held = scratch(spark)
+        assert [r.verdict for r in sorted(ur.judge(pages, held, table, broadcast_rules=limit).collect())] == want
+        tokens, index = (spark.read.parquet(held.paths[n]) for n in ("tokens", "index"))
+        assert index.count() == len(rules)
+        fetched = tokens.join(index, "token").groupBy("url").count().agg({"count": "max"}).first()[0]
+        assert fetched <= 3
