@@ -245,6 +245,27 @@ def test_culled_cells_hide_nothing(spark, monkeypatch):
     assert len(few) <= met < 0.6 * prims.count() * 3
 
 
+@pytest.mark.parametrize("cell", [4, 1000])
+def test_all_before_the_camera_are_projected_without_a_margin(spark, cell):
+    """On the frame or not, whatever the cells; what a pose without a number leaves open is null."""
+    prims, views = many_splats(spark)
+    views = views.withColumn("tvec", F.when(F.col("view_id") == 5, F.array(F.lit(None).cast("double"), F.get("tvec", F.lit(1)), F.get("tvec", F.lit(2)))).otherwise(F.col("tvec")))
+    prims, views = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views")
+    got = {(r.view_id, r.prim_id): r for r in project.project(prims, views, keeper(spark, "t"), None, cell).collect()}
+    known, want = prims.filter("NOT isnan(x) AND z IS NOT NULL").collect(), {}
+    for v in views.collect():
+        (fx, fy), t = (v.width / 2 / math.tan(v.fovx / 2), v.height / 2 / math.tan(v.fovy / 2)), np.array(v.tvec, float)
+        for p in known:
+            c = np.reshape(v.view_rot, (3, 3)) @ [p.x, p.y, p.z] + t
+            if p.scene_id == v.scene_id and c[2] > project.NEAR:
+                want[v.view_id, p.prim_id] = None if np.isnan(c[0]) else fx * c[0] / c[2] + v.width / 2, fy * c[1] / c[2] + v.height / 2, c[2]
+    assert got.keys() == want.keys() and {v for v, _ in got} == set(range(6))
+    assert all((r.px, r.py, r.depth) == pytest.approx(want[k]) for k, r in got.items())
+    assert all((r.radius is None) == (r.view_id == 5) and (r.radius or 2) > 0 for r in got.values())
+    framed = {(r.view_id, r.prim_id): (r.px, r.radius, r.conic) for r in project.project(prims, views, keeper(spark, "t"), 0, cell).collect()}
+    assert 0 < len(framed) < len(got) and all(framed[k] == (got[k].px, got[k].radius, got[k].conic) for k in framed)
+
+
 @pytest.mark.parametrize("most", [4096, 6])
 def test_tiles_blended_as_blocks_equal_fragments(spark, most):
     """By harmonics and by given colours, with tiles whole and cut by depth; some splats stand at one depth."""

@@ -39,3 +39,12 @@ def test_equals_sql(spark, con, name):
 def test_gives_the_same_rows_again(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     assert rows and sorted(map(repr, rows)) == sorted(map(repr, QUERIES[name](spark, SF).collect()))
+
+
+def test_projection_keeps_what_no_frame_shows(spark, con):
+    """All primitives before each camera, told from the poses alone."""
+    got = {(r.view_id, r.prim_id): r for r in QUERIES["project_primitives"](spark, SF).collect()}
+    want = con.execute(queries.with_splats("SELECT image_id, prim_id, width, height FROM cam WHERE cz > 0.2e0")).fetchall()
+    assert sorted(got) == sorted(w[:2] for w in want)
+    off = lambda r, width, height: r.px + r.radius < 0 or r.px - r.radius >= width or r.py + r.radius < 0 or r.py - r.radius >= height
+    assert 0 < sum(off(got[w[:2]], *w[2:]) for w in want) < len(want)
