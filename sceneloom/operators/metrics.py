@@ -16,13 +16,17 @@ SSIM_TAPS, SSIM_SIGMA = 11, 1.5
 SSIM_C1, SSIM_C2 = 0.01**2, 0.03**2
 
 
-def pair_views(renders: DataFrame, truth: DataFrame) -> DataFrame:
-    """Renders with the ground truth of the same scene, method and file name."""
-    return renders.join(truth, ["scene_id", "method", "name"])
+#: What tells views apart where file names do.
+VIEW = ("scene_id", "method", "name")
 
 
-def missing_truth(renders: DataFrame, truth: DataFrame) -> DataFrame:
-    return renders.join(truth, ["scene_id", "method", "name"], "left_anti")
+def pair_views(renders: DataFrame, truth: DataFrame, key: tuple[str, ...] = VIEW) -> DataFrame:
+    """Renders with the ground truth of the same scene, method and file name; of the same ``key`` where names come again within a scene."""
+    return renders.join(truth, list(key))
+
+
+def missing_truth(renders: DataFrame, truth: DataFrame, key: tuple[str, ...] = VIEW) -> DataFrame:
+    return renders.join(truth, list(key), "left_anti")
 
 
 def _mean(values: Column) -> Column:

@@ -41,6 +41,29 @@ def test_gives_the_same_rows_again(spark, name):
     assert rows and sorted(map(repr, rows)) == sorted(map(repr, QUERIES[name](spark, SF).collect()))
 
 
+#: Queries over pairs of views, whose names may come again.
+BY_NAME = ["l1_and_mse", "masked_depth_l1", "metrics_cube", "metrics_rollup", "pair_views", "perceptual_distance", "perceptual_layers", "psnr_channel_mean", "psnr_image", "results_report", "scene_metrics"]
+
+
+@pytest.fixture(scope="module")
+def clashing(tmp_path_factory):
+    """Vectors around 100,000, from which on the names of views, of five digits, come again, all in two scenes."""
+    folder = tmp_path_factory.mktemp("clashing")
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT vec_id + 99990 AS vec_id, label % 2 AS label, embedding FROM read_parquet('{SF}/embeddings.parquet') WHERE vec_id < 130) TO '{folder}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", BY_NAME)
+def test_views_of_one_name_are_told_apart(spark, clashing, name):
+    folder, con = clashing
+    got = QUERIES[name](spark, folder)
+    names = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()
+    assert plain(map(tuple, got.select(names).collect())) == plain(want)
+
+
 def test_projection_keeps_what_no_frame_shows(spark, con):
     """All primitives before each camera, told from the poses alone."""
     got = {(r.view_id, r.prim_id): r for r in QUERIES["project_primitives"](spark, SF).collect()}
