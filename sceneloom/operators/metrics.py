@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def _blur(stack: np.ndarray) -> np.ndarray:
         pad = [(0, 0)] * stack.ndim
         pad[axis] = (SSIM_TAPS // 2,) * 2
         padded, n = np.pad(stack, pad), stack.shape[axis]
-        stack = sum(t * np.take(padded, range(k, k + n), axis) for k, t in enumerate(taps))
+        stack = sum(t * (padded[..., k : k + n] if axis == -1 else padded[..., k : k + n, :]) for k, t in enumerate(taps))
     return stack
 
 
@@ -102,40 +104,90 @@ def ssim(a: Column, b: Column, channels: int, height: int, width: int) -> Column
     return run(a, b)
 
 
+def _lists(values: np.ndarray) -> pa.Array:
+    """Each row of ``values`` as a list."""
+    n, k = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.ravel()))
+
+
+def _stacked(lists: pa.ListArray, at: np.ndarray) -> np.ndarray:
+    """The lists at ``at``, of one length, as rows."""
+    return lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+
+
+def _alike(*columns: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows that agree in all columns."""
+    if not len(columns[0]):
+        return []
+    _, which = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+    order = np.argsort(which.ravel(), kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1)
+
+
+#: What a strip says of itself, and what comes with it.
+_STRIP = ("top", "left", "high", "wide")
+_PLACE = ("height", "width", "tile_y", "tile_x")
+#: Values of halos that are scored at a time.
+_BLOCK = 1 << 20
+
+
 def _tiles_and_strips(tile: int, halo: int):
-    """Each tile to itself, and the strips of it that lie in the halo of another to that."""
+    """Each tile to itself, and the strips of it that lie in the halo of another to that. Tiles of one place in frames of one size go together."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                y0, x0 = r.tile_y * tile, r.tile_x * tile
-                high, wide = min(tile, r.height - y0), min(tile, r.width - x0)
-                a, b = (np.asarray(v, float).reshape(-1, high, wide) for v in (r.a, r.b))
-                for ty in range(max(0, (y0 - halo) // tile), min(-(-r.height // tile) - 1, (y0 + high - 1 + halo) // tile) + 1):
-                    for tx in range(max(0, (x0 - halo) // tile), min(-(-r.width // tile) - 1, (x0 + wide - 1 + halo) // tile) + 1):
+            place = [rows.column(c).to_numpy(zero_copy_only=False) for c in _PLACE]
+            lengths = pc.list_value_length(rows.column("a")).to_numpy(zero_copy_only=False)
+            for at in _alike(*place, lengths):
+                height, width, tile_y, tile_x = (int(v[at[0]]) for v in place)
+                y0, x0 = tile_y * tile, tile_x * tile
+                high, wide = min(tile, height - y0), min(tile, width - x0)
+                a, b = (_stacked(rows.column(c), at).reshape(len(at), -1, high, wide) for c in "ab")
+                image = rows.column("image").take(pa.array(at))
+                for ty in range(max(0, (y0 - halo) // tile), min(-(-height // tile) - 1, (y0 + high - 1 + halo) // tile) + 1):
+                    for tx in range(max(0, (x0 - halo) // tile), min(-(-width // tile) - 1, (x0 + wide - 1 + halo) // tile) + 1):
                         top, left = max(y0, ty * tile - halo), max(x0, tx * tile - halo)
                         end, right = min(y0 + high, (ty + 1) * tile + halo), min(x0 + wide, (tx + 1) * tile + halo)
-                        cut = (slice(None), slice(top - y0, end - y0), slice(left - x0, right - x0))
-                        out.append((r.image, r.height, r.width, ty, tx, top, left, end - top, right - left, a[cut].ravel(), b[cut].ravel()))
-            yield pd.DataFrame(out, columns=["image", "height", "width", "tile_y", "tile_x", "top", "left", "high", "wide", "a", "b"])
+                        cut = (slice(None), slice(None), slice(top - y0, end - y0), slice(left - x0, right - x0))
+                        ints = [pa.array(np.full(len(at), v, np.int32)) for v in (height, width, ty, tx, top, left, end - top, right - left)]
+                        yield pa.RecordBatch.from_arrays([image, *ints, *(_lists(v[cut].reshape(len(at), -1)) for v in (a, b))], names=["image", *_PLACE, *_STRIP, "a", "b"])
 
     return run
 
 
-def _ssim_of_tile(tile: int, halo: int):
-    """Sum of the structural similarity over one tile's own pixels, from it and its halo; outside of the image all is 0."""
+def _ssim_of_tiles(tile: int, halo: int):
+    """Sums of the structural similarity over tiles' own pixels, from their strips; outside of the image all is 0. Tiles of one place and the same strips go together."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        height, width, ty, tx = (int(rows[c].iloc[0]) for c in ("height", "width", "tile_y", "tile_x"))
-        channels = len(rows["a"].iloc[0]) // int(rows["high"].iloc[0] * rows["wide"].iloc[0])
-        both = np.zeros((2, channels, tile + 2 * halo, tile + 2 * halo))
-        for r in rows.itertuples():
-            y, x = r.top - ty * tile + halo, r.left - tx * tile + halo
-            for k, v in enumerate((r.a, r.b)):
-                both[k, :, y : y + r.high, x : x + r.wide] = np.asarray(v).reshape(channels, r.high, r.wide)
-        own = ssim_map(both[0], both[1])[:, halo : halo + min(tile, height - ty * tile), halo : halo + min(tile, width - tx * tile)]
-        return pd.DataFrame({"image": rows["image"].iloc[:1], "total": [own.sum()], "n": [own.size]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            place = [rows.column(c).to_numpy(zero_copy_only=False) for c in _PLACE]
+            lists = rows.column("strips")
+            count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            first = np.cumsum(count) - count
+            strips = lists.flatten()
+            parts = {c: strips.field(c) for c in (*_STRIP, "a", "b")}
+            ints = {c: parts[c].to_numpy(zero_copy_only=False) for c in _STRIP}
+            lengths = pc.list_value_length(parts["a"]).to_numpy(zero_copy_only=False)
+            total, n = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+            for same in _alike(*place, count):
+                # Strips come sorted by place: the k-th ones of tiles alike are alike but where one has been given strips of its own.
+                at = first[same][:, None] + np.arange(count[same[0]])
+                for some in _alike(*(v[at].T[k] for v in (*ints.values(), lengths) for k in range(at.shape[1]))):
+                    height, width, ty, tx = (int(v[same[some[0]]]) for v in place)
+                    kinds = [tuple(int(ints[c][k]) for c in _STRIP) for k in at[some[0]]]
+                    channels = int(lengths[at[some[0], 0]]) // (kinds[0][2] * kinds[0][3])
+                    side = tile + 2 * halo
+                    step = max(1, _BLOCK // (channels * side * side))
+                    for lo in range(0, len(some), step):
+                        block = some[lo : lo + step]
+                        both = np.zeros((2, len(block), channels, side, side))
+                        for j, (top, left, high, wide) in enumerate(kinds):
+                            y, x = top - ty * tile + halo, left - tx * tile + halo
+                            for k, c in enumerate("ab"):
+                                both[k, :, :, y : y + high, x : x + wide] = _stacked(parts[c], at[block, j]).reshape(len(block), channels, high, wide)
+                        own = ssim_map(both[0], both[1])[:, :, halo : halo + min(tile, height - ty * tile), halo : halo + min(tile, width - tx * tile)]
+                        total[same[block]], n[same[block]] = own.sum((1, 2, 3)), own[0].size
+            yield pa.RecordBatch.from_arrays([rows.column("image"), pa.array(total), pa.array(n)], names=["image", "total", "n"])
 
     return run
 
@@ -146,10 +198,11 @@ def ssim_by_tiles(tiles: DataFrame, tile: int) -> DataFrame:
     A tile gets the strips of its neighbours that its windows reach, so no task holds an image; sums join.
     """
     halo = SSIM_TAPS // 2
-    columns = ["image", "height", "width", "tile_y", "tile_x", "a", "b"]
-    ints = ", ".join(f"{c} int" for c in ("height", "width", "tile_y", "tile_x", "top", "left", "high", "wide"))
-    spread = tiles.select(columns).mapInPandas(_tiles_and_strips(tile, halo), f"image string, {ints}, a array<double>, b array<double>")
-    sums = spread.groupBy("image", "tile_y", "tile_x").applyInPandas(_ssim_of_tile(tile, halo), "image string, total double, n long")
+    columns = ["image", *[F.col(c).cast("int").alias(c) for c in _PLACE], *[F.col(c).cast("array<double>").alias(c) for c in "ab"]]
+    ints = ", ".join(f"{c} int" for c in (*_PLACE, *_STRIP))
+    spread = tiles.select(*columns).mapInArrow(_tiles_and_strips(tile, halo), f"image string, {ints}, a array<double>, b array<double>")
+    gathered = spread.groupBy("image", *_PLACE).agg(F.array_sort(F.collect_list(F.struct(*_STRIP, "a", "b"))).alias("strips"))
+    sums = gathered.mapInArrow(_ssim_of_tiles(tile, halo), "image string, total double, n long")
     return sums.groupBy("image").agg((F.sum("total") / F.sum("n")).alias("ssim"))
 
 
