@@ -64,6 +64,16 @@ def test_views_of_one_name_are_told_apart(spark, clashing, name):
     assert plain(map(tuple, got.select(names).collect())) == plain(want)
 
 
+def test_views_of_one_name_are_reported_by_number(spark, clashing):
+    """The order of the SQL says nothing of equal names; with the number behind the name it does."""
+    folder, con = clashing
+    sql = ORACLES["validation_report"]
+    told = sql.replace("ORDER BY name", "ORDER BY name, vec_id").replace("SELECT label AS scene_id, method", "SELECT label AS scene_id, vec_id, method").replace("scene_id, method, name, l1", "scene_id, vec_id, method, name, l1")
+    assert told.count("name, vec_id") == 2
+    got = QUERIES["validation_report"](spark, folder).select("split", "l1", "psnr", "n_views").collect()
+    assert plain(map(tuple, got)) == plain(con.execute(f"SELECT split, l1, psnr, n_views FROM ({told})").fetchall())
+
+
 def test_projection_keeps_what_no_frame_shows(spark, con):
     """All primitives before each camera, told from the poses alone."""
     got = {(r.view_id, r.prim_id): r for r in QUERIES["project_primitives"](spark, SF).collect()}
