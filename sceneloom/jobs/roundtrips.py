@@ -129,9 +129,11 @@ def results_report(spark, sf):
 
 @query(with_pairs("SELECT scene_id, method, name, round(l1, 6) + 0.0 AS l1 FROM scored", scored=_SCORED))
 def per_view_report(spark, sf):
-    rows = sinks.per_view_json(scored(spark, sf), {"L1": "l1"})
+    """Keys of the report are names behind the view's number, as names alone come again."""
+    own = scored(spark, sf).withColumn("name", F.concat_ws("/", "vec_id", "name"))
+    rows = sinks.per_view_json(own, {"L1": "l1"})
     back = rows.select("scene_id", F.explode(F.from_json("json", "map<string,map<string,map<string,double>>>")).alias("method", "v"))
-    return back.select("scene_id", "method", F.explode(F.col("v")["L1"]).alias("name", "l1")).select("scene_id", "method", "name", r("l1", "l1"))
+    return back.select("scene_id", "method", F.explode(F.col("v")["L1"]).alias("name", "l1")).select("scene_id", "method", F.substring_index("name", "/", -1).alias("name"), r("l1", "l1"))
 
 
 def written_model(spark: SparkSession, sf: str, ext: str = "bin") -> str:
