@@ -42,7 +42,7 @@ def test_gives_the_same_rows_again(spark, name):
 
 
 #: Queries over pairs of views, whose names may come again.
-BY_NAME = ["l1_and_mse", "masked_depth_l1", "metrics_cube", "metrics_rollup", "pair_views", "perceptual_distance", "perceptual_layers", "psnr_channel_mean", "psnr_image", "results_report", "scene_metrics", "ssim", "ssim_by_tiles", "combined_score"]
+BY_NAME = ["l1_and_mse", "masked_depth_l1", "metrics_cube", "metrics_rollup", "pair_views", "per_view_report", "scored_view_files", "perceptual_distance", "perceptual_layers", "psnr_channel_mean", "psnr_image", "results_report", "scene_metrics", "ssim", "ssim_by_tiles", "combined_score"]
 
 
 @pytest.fixture(scope="module")
