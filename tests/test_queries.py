@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sceneloom.jobs import queries, roundtrips, streams
 
@@ -74,6 +75,19 @@ def test_views_of_one_name_are_reported_by_number(spark, clashing):
     assert plain(map(tuple, got)) == plain(con.execute(f"SELECT split, l1, psnr, n_views FROM ({told})").fetchall())
 
 
+def test_rounding_is_that_of_the_sql(spark, con):
+    values = [0.5, 1.5, -0.5, -2.5, 0.00015, 2.00005, -1e-9, 1e15 + 0.5, -0.0, 123.45678949999, None, float("inf")]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(queries.rounded(F.col("v"), "a", 0), queries.rounded(F.col("v"), "b", 4)).collect()
+    want = con.execute("SELECT round(v, 0) + 0.0, round(v, 4) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()
+    assert list(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("name", ["transform_points", "world_to_camera_depth"])
+def test_points_of_one_file_meet_the_views_in_all_tasks(spark, name):
+    got = QUERIES[name](spark, SF)
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_projection_keeps_what_no_frame_shows(spark, con):
     """All primitives before each camera, told from the poses alone."""
     got = {(r.view_id, r.prim_id): r for r in QUERIES["project_primitives"](spark, SF).collect()}
