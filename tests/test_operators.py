@@ -245,6 +245,24 @@ def test_culled_cells_hide_nothing(spark, monkeypatch):
     assert len(few) <= met < 0.6 * prims.count() * 3
 
 
+@pytest.mark.parametrize("held", [project.HELD, 1])
+def test_counts_of_tiles_equal_their_rows(spark, held, monkeypatch):
+    """Counted in blocks, or row by row; no pair of a primitive and a view is shuffled or written."""
+    monkeypatch.setattr(project, "HELD", held)
+    prims, views = many_splats(spark)
+    prims, views, written = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views"), []
+
+    def keep(df, name):
+        written.append(keeper(spark, "t")(df, name))
+        return written[-1]
+
+    rows = project.assign_tiles(project.project(prims, views, keep, 8, 50), 8).groupBy(*project.KEY).count()
+    got = {tuple(r) for r in project.tile_counts(prims, views, keep, 8, 50).collect()}
+    assert got == {tuple(r) for r in rows.select(*project.KEY, "count").collect()} and len(got) > 50
+    assert not any({"prim_id", "view_id"} <= {*df.columns} for df in written)
+    assert all(df.count() <= prims.count() for df in written)
+
+
 @pytest.mark.parametrize("cell", [4, 1000])
 def test_all_before_the_camera_are_projected_without_a_margin(spark, cell):
     """On the frame or not, whatever the cells; what a pose without a number leaves open is null."""
