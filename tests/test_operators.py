@@ -263,6 +263,17 @@ def test_counts_of_tiles_equal_their_rows(spark, held, monkeypatch):
     assert all(df.count() <= prims.count() for df in written)
 
 
+def test_cuts_come_from_sampled_primitives_alone(spark):
+    """What the sample of the primitives makes is the sample of what all make."""
+    prims, views = many_splats(spark, 150)
+    prims, views = keeper(spark, "t")(prims, "prims"), keeper(spark, "t")(views, "views")
+    made = lambda rows: project.assign_tiles(project.project(rows, views, keeper(spark, "t"), 8), 8)
+    some = lambda df: {tuple(r) for r in df.select(*project.KEY, "prim_id").collect()}
+    tiled = keeper(spark, "t")(made(prims), "tiled")
+    drawn = some(made(project.sampled(prims, 48)))
+    assert drawn == some(project.sampled(tiled, 48)) and 0 < len(drawn) < tiled.count()
+
+
 @pytest.mark.parametrize("cell", [4, 1000])
 def test_all_before_the_camera_are_projected_without_a_margin(spark, cell):
     """On the frame or not, whatever the cells; what a pose without a number leaves open is null."""
